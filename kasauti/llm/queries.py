@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .byte_bpe import round_trip
-from .common import table
+from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .simhash import near_duplicates
@@ -32,6 +33,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    done = quality.score(docs, quality.fit(docs, labels), keep=["doc_id"])
+    return done.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
@@ -40,6 +47,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    done = toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"])
+    return done.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -49,7 +62,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op6_token_counts, op7_simhash, op9_line_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op5_quality, op6_token_counts, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filters)}
 
 SPACE = r"[\x20\x09-\x0D]"
 
