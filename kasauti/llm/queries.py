@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import quality, toxicity
 from .byte_bpe import round_trip
 from .common import held_out, table
+from .decontaminate import contaminations
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .simhash import near_duplicates
@@ -28,6 +29,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
@@ -62,7 +67,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op5_quality, op6_token_counts, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_byte_bpe, op5_quality, op6_token_counts, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filters)}
 
 SPACE = r"[\x20\x09-\x0D]"
 

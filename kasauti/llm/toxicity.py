@@ -36,9 +36,9 @@ from .learning import sigmoid, training_rows
 PER_CLASS = 2000
 MAX_BYTES = 32 << 10
 MIN_TEXTS = 3
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5)
 STEPS = 150
-RIDGE = 0.5
+RIDGE = 0.3
 STOPS = ".!?\n"
 #: Words and the stops between sentences.
 TOKEN = re.compile(r"\w+|[.!?\n]")
