@@ -11,6 +11,7 @@ from .byte_bpe import round_trip
 from .common import held_out, table
 from .decontaminate import contaminations
 from .exact_dedup import exact_dedup
+from .html_extract import extract
 from .line_dedup import line_dedup
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -38,6 +39,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     done = quality.score(docs, quality.fit(docs, labels), keep=["doc_id"])
@@ -67,7 +72,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_byte_bpe, op5_quality, op6_token_counts, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_byte_bpe, op4_html_extract, op5_quality, op6_token_counts, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filters)}
 
 SPACE = r"[\x20\x09-\x0D]"
 
