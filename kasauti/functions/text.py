@@ -2,6 +2,8 @@ r"""Text primitives as columns. White space is ASCII \s throughout; put U+00A0 t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,21 +75,33 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def grams(c: Column, n: int) -> Column:
     """Distinct character n-grams of a text without white space."""
     return F.when(F.char_length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
+def _set_f1(s: Column) -> Column:
+    shared = F.size(F.array_intersect(s["a"], s["b"]))
+    return F.when(shared > 0, 2.0 * shared / (F.size(s["a"]) + F.size(s["b"])))
+
+
 def char_fscore(a: Column, b: Column) -> Column:
     """Mean set F1 over 2-, 3- and 4-grams, of those n that share any; 0 if none does."""
-    left, right = (F.regexp_replace(c, r"\s+", "") for c in (a, b))
 
-    def one(n: int) -> Column:
-        shared = F.size(F.array_intersect(grams(left, n), grams(right, n)))
-        return F.when(shared > 0, 2.0 * shared / (F.size(grams(left, n)) + F.size(grams(right, n))))
+    def score(s: Column) -> Column:
+        sets = F.array(*[F.struct(grams(s["a"], n).alias("a"), grams(s["b"], n).alias("b")) for n in (2, 3, 4)])
+        return _let(
+            F.filter(F.transform(sets, _set_f1), lambda x: x.isNotNull()),
+            lambda f: F.when(F.size(f) == 0, 0.0).otherwise(F.aggregate(f, F.lit(0.0), lambda t, x: t + x) / F.size(f)),
+        )
 
-    scores = F.filter(F.array(one(2), one(3), one(4)), lambda x: x.isNotNull())
-    return F.when(F.size(scores) == 0, 0.0).otherwise(F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / F.size(scores))
+    left, right = (F.regexp_replace(c, r"\s+", "") for c in (a, b))
+    return _let(F.struct(left.alias("a"), right.alias("b")), score)
 
 
 def script_ratio(c: Column) -> Column:

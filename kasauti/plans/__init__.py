@@ -1,7 +1,7 @@
 """Named queries of the engine and their SQL."""
 
-from . import verification
+from . import texts, verification
 
-_MODULES = (verification,)
+_MODULES = (verification, texts)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
