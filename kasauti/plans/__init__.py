@@ -1,7 +1,7 @@
 """Named queries of the engine and their SQL."""
 
-from . import perturbations, samples, texts, verification
+from . import graphs, perturbations, policies, samples, texts, verification
 
-_MODULES = (verification, texts, perturbations, samples)
+_MODULES = (verification, texts, perturbations, samples, policies, graphs)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
