@@ -99,7 +99,8 @@ def _root(parent: list[int], x: int) -> int:
 
 
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int, int]]:
-    """A spanning forest, nearest links first, of the links between ``a`` and ``b`` (None: within ``a``)."""
+    """A spanning forest, nearest links first, of the links between ``a`` and ``b`` (None: within ``a``), arrays of signed longs."""
+    a, b = a.view(np.uint64), None if b is None else b.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
     other, rows = (a if b is None else b), max(1, SLAB // max(1, len(a if b is None else b)))
     nodes = np.concatenate([a, other]) if b is not None else a
     shift = len(a) if b is not None else 0
@@ -112,7 +113,8 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[i
         if len(i):
             # A forest of all slabs' forests joins what all links join.
             forest = _nearest(forest, i + at, j + shift, distance[i, j], len(nodes))
-    return [(int(nodes[u]), int(nodes[v]), d) for u, v, d in forest]
+    signed = nodes.view(np.int64)
+    return [(int(signed[u]), int(signed[v]), d) for u, v, d in forest]
 
 
 def _nearest(had: list[tuple[int, int, int]], u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> list[tuple[int, int, int]]:
@@ -146,7 +148,7 @@ def links(distinct: DataFrame, radius: int, blocks: int) -> DataFrame:
     # At most (64 / blocks + 1) ** blocks rows, whatever the input: 83,521 for four blocks.
     cells = cut(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("n")))
     dealt = placed.join(F.broadcast(cells), "cell").withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-    tiles = cut(dealt.groupBy("cell", "sub").agg(F.collect_list("fp").alias("fps")))
+    tiles = cut(dealt.groupBy("cell", "sub").agg(F.sort_array(F.collect_list("fp")).alias("fps")))
 
     near = cells.select("cell", "n", F.explode(F.array(*[F.lit(s).cast("long") for s in _steps(blocks, radius)])).alias("step"))
     others = cells.select((F.col("cell")).alias("cell_b"), F.col("n").alias("n_b"))
@@ -239,8 +241,9 @@ def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
 def drop_near_copies(df: DataFrame, width: int = 5, radius: int = 10, blocks: int = 1, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without all but the first of each group of near copies.
 
-    Fingerprints within ``radius`` are candidates; a link stands when the exact
-    Jaccard similarity of the two texts' shingles is ``similarity`` or more.
+    Fingerprints within ``radius`` are candidates. Of the candidates a spanning
+    forest, nearest links first, is verified: a link stands when the exact Jaccard
+    similarity of the two texts' shingles is ``similarity`` or more.
     """
     text = F.col(f"`{text_col}`")
     spread = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_or_empty(text)).alias("mark"), text_or_empty(text).alias("text"))
