@@ -54,8 +54,10 @@ def per_text(df: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array]], sche
     """``keep`` columns and what ``fn`` makes of each batch of texts (null: empty).
 
     ``fn`` gets at most ``rows`` texts at once, so memory follows the texts in hand.
-    ``schema`` is the DDL of fn's columns, whose names must differ from ``keep``.
+    ``schema`` is the DDL of fn's columns; a kept column of the same name gives way to fn's.
     """
+    own = {field.split()[0].lower() for field in schema.split(", ")}
+    keep = [c for c in keep if c.lower() not in own]
     source = df.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(f"`{text_col}`").alias("__text"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
 

@@ -97,7 +97,7 @@ def fit_texts(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
         by_word = np.bincount(pairs[:, 0], w[pairs[:, 1]], len(words))
         z = np.bincount(of_sentence, by_word[word_at], len(of_text)) + b
         odds = np.bincount(of_text, np.logaddexp(0, z), len(texts))  # -log of no sentence being toxic
-        pull = weight * np.where(y == 1, -1 / np.expm1(np.maximum(odds, 1e-9)), 1.0)
+        pull = weight * np.where(y == 1, -1 / np.expm1(np.clip(odds, 1e-9, 500.0)), 1.0)
         dz = sigmoid(z) * pull[of_text]
         by_word = np.bincount(word_at, dz[of_sentence], len(words))
         grad = np.append(np.bincount(pairs[:, 1], by_word[pairs[:, 0]], len(ids)) + RIDGE * w, dz.sum())
