@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import policies
+from ..operators import policies, reinforce
 from ..operators.sampling import split_60_20_20
 from ..sources.fixed import STATIC_TOP5
 from ..sources.tables import CTE_VERIFIED, with_ctes
@@ -96,11 +96,20 @@ def ucb_bandit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.ucb_bandit(verified(spark, sf_dir))
 
 
+def reinforce_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reinforce.reinforce(verified(spark, sf_dir))
+
+
+def hybrid_auditor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fixed perturbations, then the learned policy."""
+    return reinforce.reinforce(verified(spark, sf_dir), warm=STATIC_TOP5[:2])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         policy_static_top5, policy_random5_md5, policy_oracle, policy_top2_plus_random, hypergeometric_coverage, greedy_coverage_top5, blind_spots_and_recall, discovery_at_k,
-        episode_returns, policy_table_mean_sd, ucb_bandit,
+        episode_returns, policy_table_mean_sd, ucb_bandit, reinforce_policy, hybrid_auditor,
     )
 }
 

@@ -139,6 +139,52 @@ def test_files_round_trip(spark, tmp_path):
     assert df.select(files.pick(df, "claim").alias("c"), files.pick(df, "domain").alias("d")).first() == ("x", "")
 
 
+def test_policy_learns_the_arm_that_always_flips():
+    import numpy as np
+
+    from kasauti.operators import reinforce
+
+    states = np.eye(3)[np.arange(600) % 3]
+    weights = reinforce.train(states, [{7}] * 600, 1, 2)
+    for state in np.eye(3):
+        steps, rewards, first = reinforce.episode(weights, state, {7}, 2, lambda p: int(p.argmax()))
+        assert first == 1 and steps[0][2] == 7 and math.isclose(rewards[0], 0.95)
+    assert np.allclose(reinforce.returns([1.0, 0.0, 2.0]), [1 + 0.99**2 * 2, 0.99 * 2, 2])
+
+
+def test_learned_policies_cover_their_test_claims(spark):
+    from kasauti.plans import QUERIES
+
+    for name in ("reinforce_policy", "hybrid_auditor"):
+        for r in QUERIES[name](spark, SMALL).collect():
+            assert 0 < r["flipped"] <= r["claims"] and 0 <= r["rescued"] <= r["flipped"]
+
+
+def test_link_prediction_scores_held_out_arms(spark):
+    from kasauti.plans import QUERIES
+
+    rows = QUERIES["link_prediction"](spark, SMALL).collect()
+    assert {r["attack_idx"] % 4 for r in rows} == {3} and all(0 <= r["auroc"] <= 1 for r in rows)
+
+
+def test_generated_records(spark):
+    from kasauti.operators import records
+
+    claims = spark.createDataFrame([(1, "c", "e", "NEI"), (2, "c", "", "SUP")], "row_id long, claim string, evidence string, label string")
+    made = spark.createDataFrame([(1, a[0], '```\n"new text"\n```') for a in records.GENERATORS] + [(2, "CA_07_AdvTrigger", "__ERROR__")], "row_id long, attack_id string, text string")
+    got = {(r["row_id"], r["attack_id"][:5]): r for r in records.apply_generated(claims, made).collect()}
+    assert got[1, "CA_07"]["adversarial_claim"] == "new text c" and got[1, "CA_07"]["target_label"] == "NEI"
+    assert got[1, "EA_CL"]["skip_reason"] == "nei_claim_not_targeted" and got[1, "EA_CT"]["adversarial_evidence"] == "new text"
+    assert got[2, "CA_07"]["skip_reason"] == "no_usable_generation" and got[2, "EA_AD"]["skip_reason"].startswith("missing_claim_or_evidence")
+
+
+def test_sub_questions(spark):
+    from kasauti.operators import records
+
+    df = spark.createDataFrame([('{"sub_questions": ["a", "b"]}',), ("1. what is it\n- ab\n* where was it",), ("",)], "t string")
+    assert [r[0] for r in df.select(records.sub_questions(F.col("t"))).collect()] == [["a", "b"], ["what is it", "where was it"], []]
+
+
 def test_stream_equals_table(spark, tmp_path):
     events = spark.read.parquet(f"{SMALL}/events.parquet").repartition(3)
     events.write.parquet(str(tmp_path / "events"))
