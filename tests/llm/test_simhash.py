@@ -55,6 +55,17 @@ def test_against_brute_force(spark, monkeypatch, seed):
     assert sorted(repr((r["doc_id"], r["fingerprint"], r["component_id"])) for r in out) == sorted(repr((i, f"{f:016x}", c)) for (i, _), f, c in zip(rows, fps, expected))
 
 
+def test_minhash_bits_tell_similarity():
+    words = [f"w{i}" for i in range(400)]
+    base = sh.sketches(" ".join(words), 5, True)[1]
+    for changes, most in ((0, 0), (8, 16)):
+        other = list(words)
+        for i in range(changes):
+            other[20 + 40 * i] = "new"
+        assert (base ^ sh.sketches(" ".join(other), 5, True)[1]).bit_count() <= most
+    assert (base ^ sh.sketches(" ".join(f"v{i}" for i in range(400)), 5, True)[1]).bit_count() > 16
+
+
 def test_long_text_counts_every_shingle(monkeypatch):
     monkeypatch.setattr(sh, "SHINGLES", 16)
     text = " ".join(str(i % 91) for i in range(500))
