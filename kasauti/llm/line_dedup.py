@@ -31,8 +31,6 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Of the keys with at least ``HOT_ROWS`` lines, the most frequent ``HOT_KEYS`` are judged apart.
 HOT_ROWS, HOT_KEYS = 1_000, 10_000
-#: Length of a document's last stretch: to the end.
-TO_END = 2**30
 
 
 def lines_of(text: str | Column) -> Column:
@@ -50,13 +48,14 @@ def mark_of(text: str | Column) -> Column:
 
 def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """id, mark, n_dropped and keep (array of start and length) of each text that loses lines."""
-    source = df.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
+    split = lines_of(f"`{text_col}`")
+    source = df.select(F.col(f"`{id_col}`").alias("id"), mark_of(f"`{text_col}`").alias("mark"), split.alias("lines"), F.size(split).alias("n_lines"))
     lines = cut(
-        source.select("id", mark_of("text").alias("mark"), F.posexplode(lines_of("text")).alias("pos", "line"))
+        source.select("id", "mark", "n_lines", F.posexplode("lines").alias("pos", "line"))
         .filter(F.char_length("line") >= min_chars)
         .withColumn("line", key_of(F.col("line")))
         .filter(F.char_length("line") >= min_chars)
-        .select("id", "mark", "pos", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"))
+        .select("id", "mark", "n_lines", "pos", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"))
     )
     key = ["h1", "h2"]
 
@@ -73,10 +72,11 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter((F.col("n_docs") >= min_docs) & (F.col("nth_doc") > 1))
     )
 
-    dropped = hot_drops.select("id", "mark", "pos").unionByName(cold_drops.select("id", "mark", "pos"))
-    by_text = dropped.groupBy("id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    place = ["id", "mark", "n_lines", "pos"]
+    dropped = hot_drops.select(*place).unionByName(cold_drops.select(*place))
+    by_text = dropped.groupBy("id", "mark", "n_lines").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda at: at + 1))
-    ends = F.concat("gone", F.array(F.lit(TO_END)))
+    ends = F.concat("gone", F.array("n_lines"))
     stretches = F.zip_with(starts, ends, lambda start, end: F.struct(start.alias("start"), (end - start).alias("length")))
     return by_text.select("id", "mark", F.size("gone").cast("long").alias("n_dropped"), F.filter(stretches, lambda s: s["length"] > 0).alias("keep"))
 
