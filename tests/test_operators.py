@@ -139,6 +139,18 @@ def test_files_round_trip(spark, tmp_path):
     assert df.select(files.pick(df, "claim").alias("c"), files.pick(df, "domain").alias("d")).first() == ("x", "")
 
 
+def test_workbook(spark, tmp_path):
+    import zipfile
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}><si><t>claim</t></si><si><r><t>दिल्ली </t></r><r><t>x</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {space}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>label</t></is></c></row>'
+                   '<row><c r="A2" t="s"><v>1</v></c></row><row><c r="B3"><v>7</v></c></row></sheetData></worksheet>')
+    got = files.read_xlsx(spark, str(tmp_path / "a.xlsx"))
+    assert got.columns == ["claim", "label"] and [tuple(r) for r in got.collect()] == [("दिल्ली x", None), (None, "7")]
+
+
 def test_policy_learns_the_arm_that_always_flips():
     import numpy as np
 
