@@ -75,15 +75,26 @@ def attention(edges: DataFrame, source_score: DataFrame, target_score: DataFrame
     return expo.join(total, "dst").select("src", "dst", (F.col("x") / F.col("total")).alias("weight"))
 
 
+#: Queries that are broadcast at once; more of them pass over the candidates in blocks.
+QUERY_BLOCK = 20_000
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """id, other, similarity of the k most similar candidates of each query (id, features); ties go to the lower id.
 
-    Exact: every query meets every candidate, so the query set is a stated small one.
+    Exact: every query meets every candidate. Each task keeps k of its candidates
+    for a query before anything is shuffled.
     """
-    pairs = F.broadcast(queries.select("id", F.col("features").alias("fa"))).join(candidates.select(F.col("id").alias("other"), F.col("features").alias("fb")), F.col("id") != F.col("other"))
-    scored = pairs.select("id", "other", F.round(cosine(F.col("fa"), F.col("fb")), 9).alias("similarity"))
-    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    return scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k)
+    n = -(-queries.count() // QUERY_BLOCK) or 1
+    other = candidates.select(F.col("id").alias("other"), F.col("features").alias("fb"))
+    best, found = Window.partitionBy("id").orderBy(F.desc("similarity"), "other"), None
+    for block in range(n):
+        some = queries.select("id", F.col("features").alias("fa")).filter(F.pmod(F.xxhash64("id"), F.lit(n)) == block)
+        pairs = F.broadcast(some).join(other, F.col("id") != F.col("other"))
+        scored = pairs.select("id", "other", F.round(cosine(F.col("fa"), F.col("fb")), 9).alias("similarity"))
+        part = scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def pair_neighbours(claims: DataFrame) -> DataFrame:
@@ -91,6 +102,8 @@ def pair_neighbours(claims: DataFrame) -> DataFrame:
 
     An inverted index joins claims on domain and token, so only claims that share
     a token meet; claims that share none take the lowest other id of the domain.
+    The work grows with the square of a domain's claims that share a token, as the
+    best of all pairs is asked for: split large domains first.
     """
     own = claims.select("row_id", "domain", "tokens", F.size("tokens").alias("n"))
     words = own.select("row_id", "domain", "n", F.explode("tokens").alias("token"))

@@ -27,7 +27,7 @@ def stratified(df: DataFrame, domain: str, label: str, per_domain: int, labels:
     extra = F.greatest(F.lit(0), F.least(F.col("surplus"), F.col("short") - F.col("before")))
     quota = filled.select(domain, label, (F.col("take") + extra).alias("quota"))
     nth = F.row_number().over(Window.partitionBy(domain, label).orderBy(digest(F.col(id_col), "sample"), id_col))
-    return df.withColumn("nth", nth).join(F.broadcast(quota), [domain, label]).filter(F.col("nth") <= F.col("quota")).drop("nth", "quota")
+    return df.withColumn("nth", nth).join(quota, [domain, label]).filter(F.col("nth") <= F.col("quota")).drop("nth", "quota")
 
 
 def numbered(df: DataFrame, order: list[Column], id_col: str = "row_id") -> DataFrame:

@@ -12,7 +12,9 @@ from . import fixed
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents in fewer partitions than there are cores are dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def attacks(spark: SparkSession) -> DataFrame:

@@ -92,6 +92,13 @@ def test_published_graph_size(spark):
     assert 2 * 1120 * 22 + graph.similar_pairs(a, 12).count() == 49_364
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(30)], "id long, features array<double>")
+    one = sorted(map(tuple, graph.nearest(v.filter("id < 9"), v, 3).collect()))
+    monkeypatch.setattr(graph, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, graph.nearest(v.filter("id < 9"), v, 3).collect())) == one and len(one) == 27
+
+
 def test_sage_layer(spark):
     nodes = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, -1.0]), (3, [0.0, 0.0])], "id long, features array<double>")
     edges = spark.createDataFrame([(1, 3), (2, 3)], "src long, dst long")
