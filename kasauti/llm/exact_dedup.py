@@ -223,14 +223,21 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that :func:`exact_dedup` keeps, with all their columns."""
     stay = exact_dedup(df, id_col, text_col).filter("kept").select(F.col(f"`{id_col}`").alias("__id"), F.col("text_sha256").alias("__sha"))
-    return keep_rows(df, stay, id_col, F.sha2(normalised(f"`{text_col}`"), 256))
+    # Never null, and said so: else the join would compute it once more to rule nulls out.
+    return keep_rows(df, stay, id_col, F.coalesce(F.sha2(normalised(f"`{text_col}`"), 256), F.lit("")))
 
 
 def keep_rows(df: DataFrame, stay: DataFrame, id_col: str, mark: Column) -> DataFrame:
-    """One row of ``df`` for each (__id, __sha) of ``stay``, which holds no pair twice."""
-    marked = df.withColumn("__mark", mark)
-    some = marked.join(stay.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__sha")), "left_semi")
-    return some.dropDuplicates([id_col, "__mark"]).drop("__mark").select(*[F.col(f"`{c}`") for c in df.columns])
+    """One row of ``df`` for each (__id, __sha) of ``stay``, which holds no pair twice.
+
+    Both sides meet by the id as text, so the join and the removal of repeated
+    rows share one shuffle and null ids need no other path.
+    """
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    marked = df.withColumns({"__key": key(F.col(f"`{id_col}`")), "__mark": mark})
+    chosen = stay.select(key(F.col("__id")).alias("__key"), F.col("__sha").alias("__mark"))
+    some = marked.join(chosen.hint("shuffle_hash"), ["__key", "__mark"], "left_semi")
+    return some.dropDuplicates(["__key", "__mark"]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 __all__ = ["drop_copies", "exact_dedup", "keep_rows", "normalised"]
