@@ -38,7 +38,7 @@ MAX_BYTES = 32 << 10
 MIN_TEXTS = 3
 PREFIXES = (3, 4, 5)
 STEPS = 150
-RIDGE = 0.3
+RIDGE = 0.1
 STOPS = ".!?\n"
 #: Words and the stops between sentences.
 TOKEN = re.compile(r"\w+|[.!?\n]")
