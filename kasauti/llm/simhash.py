@@ -50,6 +50,8 @@ FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(1, 65)], np
 #: Differing MinHash bits up to which a candidate is kept: similarity 0.8 gives 6.4 on average with a deviation of 2.4,
 #: texts that share nothing give 32 with a deviation of 4.
 SIG_RADIUS = 16
+#: Texts in a block whose candidates are all verified, and bytes of their shingles, about.
+BLOCK, BLOCK_BYTES = 512, 1 << 22
 
 
 def words_of(text: str) -> list[bytes]:
@@ -203,7 +205,7 @@ def links(distinct: DataFrame, radius: int, blocks: int, signed: bool = False) -
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: each node hangs its larger neighbours on its smallest; small star: its smaller ones and itself."""
     if large:
-        sides = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sides = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
     else:
         sides = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     lowest = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -211,7 +213,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         out = hung.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = hung.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
+        # Of each node's rows one at least holds its smallest neighbour: there the node hangs itself.
+        out = hung.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
@@ -246,8 +249,8 @@ def near_duplicates(df: DataFrame, width: int = 3, radius: int = 2, blocks: int
     return done.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """The links whose texts share at least ``least`` of their distinct shingles (Jaccard)."""
+def _judged(pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """The links, and whether their texts share at least ``least`` of their distinct shingles (Jaccard)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,30 +259,116 @@ def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
                 for s, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                     x, y = set(shingle_hashes(words_of(s), width)), set(shingle_hashes(words_of(t), width))
                     good.append(len(x & y) >= least * len(x | y))
-                keep = pa.array(good)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(good, pa.bool_())], names=["u", "v", "good"])
 
-    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long, good boolean")
+
+
+def standing(fp: np.ndarray, sig: np.ndarray, part: np.ndarray, shingles: list[bytes], split: int, radius: int, least: float) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of parts, of the candidates that stand between rows before ``split`` and the others (0: between all rows).
+
+    Rows of one part count as joined already; every candidate that joins two others is verified.
+    """
+    u, s = fp.view(np.uint64), sig.view(np.uint64)
+    rows, others = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+    distance = np.bitwise_count(u[rows, None] ^ u[None, others])
+    near = (distance <= radius) & (np.bitwise_count(s[rows, None] ^ s[None, others]) <= SIG_RADIUS) & (part[rows, None] != part[None, others])
+    i, j = np.nonzero(near)
+    if not split:
+        i, j = i[i < j], j[i < j]
+    order = np.argsort(distance[i, j], kind="stable")
+    at = np.unique(part, return_inverse=True)[1].tolist()
+    parent, sets, out = list(range(len(at))), {}, []
+    for x, y in zip(i[order].tolist(), (j[order] + split).tolist()):
+        p, q = _root(parent, at[x]), _root(parent, at[y])
+        if p == q:
+            continue
+        for k in (x, y):
+            if k not in sets:
+                sets[k] = set(np.frombuffer(shingles[k], "<u8").tolist())
+        same = len(sets[x] & sets[y])
+        if same >= least * (len(sets[x]) + len(sets[y]) - same):
+            parent[max(p, q)] = min(p, q)
+            out.append((int(part[x]), int(part[y])))
+    return out
+
+
+def _further(judged: DataFrame, parts: DataFrame, texts: DataFrame, width: int, radius: int, least: float) -> DataFrame:
+    """u and v, roots of parts: links that stand between the ``parts`` (node, root) into which failed links of the forest leave a group of candidates.
+
+    All candidates of such a group that join two parts are verified, block by block.
+    """
+    part = parts.select(F.col("node").alias("fp"), F.col("root").alias("part"))
+    failed = judged.filter("NOT good").select("u", "v")
+    failed = failed.join(part.toDF("u", "part_u"), "u", "left").join(part.toDF("v", "part_v"), "v", "left")
+    groups = components(failed.select(F.coalesce("part_u", "u").alias("u"), F.coalesce("part_v", "v").alias("v")))
+    own = texts.select("fp", F.octet_length("text").cast("long").alias("size")).join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+    own = cut(own.join(groups.select(F.col("node").alias("part"), F.col("root").alias("group")), "part"))
+
+    # A part of a block's size or more has blocks of its own, which need no test among themselves.
+    whole = own.groupBy("group", "part").agg((F.count(F.lit(1)) >= BLOCK).alias("own"))
+    placed = own.join(whole, ["group", "part"]).withColumn("cell", F.when(F.col("own"), F.col("part")).otherwise(F.lit(0)))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int")
+    cells = cut(placed.groupBy("group", "own", "cell").agg(F.greatest(blocks, F.lit(1)).alias("n")))
+    dealt = placed.join(cells, ["group", "own", "cell"]).withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.unique(np.fromiter(shingle_hashes(words_of(t.as_py()), width), "<u8")).tobytes() for t in b.column(5)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], b.column(6), b.column(7), pa.array(made, pa.binary())], names=names)
+
+    names = ["group", "own", "cell", "sub", "fp", "sig", "part", "shingles"]
+    shown = dealt.select("group", "own", "cell", "sub", "fp", "part").join(texts, "fp").select("group", "own", "cell", "sub", "fp", "text", "sig", "part")
+    shown = shown.mapInArrow(run, "group long, own boolean, cell long, sub int, fp long, sig long, part long, shingles binary")
+    key = ["group", "own", "cell", "sub"]
+    tiles = cut(shown.groupBy(*key).agg(F.collect_list(F.struct("fp", "sig", "part", "shingles")).alias("x")))
+
+    one = cells.select("group", "own", "cell", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("sub"))
+    two = one.toDF("group", "own_b", "cell_b", "sub_b")
+    first, second = F.struct("own", "cell", "sub"), F.struct("own_b", "cell_b", "sub_b")
+    apart = ~(F.col("own") & F.col("own_b") & (F.col("cell") == F.col("cell_b")))
+    pairs = one.join(two, "group").filter(apart & (first <= second)).withColumn("same", first == second)
+    work = pairs.join(tiles, key).join(tiles.toDF("group", "own_b", "cell_b", "sub_b", "x_b"), ["group", "own_b", "cell_b", "sub_b"]).select("x", "x_b", "same")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                x, same = b.column(0)[k].values, b.column(2)[k].as_py()
+                sides = [side.flatten() for side in ([x] if same else [x, b.column(1)[k].values])]
+                fp, sig, part = (np.concatenate([c[n].to_numpy() for c in sides]) for n in range(3))
+                found = standing(fp, sig, part, [s for c in sides for s in c[3].to_pylist()], 0 if same else len(x), radius, least)
+                if found:
+                    u, v = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return work.mapInArrow(verify, "u long, v long")
 
 
 def drop_near_copies(df: DataFrame, width: int = 5, radius: int = 14, blocks: int = 1, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without all but the first of each group of near copies.
 
     Fingerprints within ``radius`` whose MinHash bits agree are candidates; the
-    second test keeps chance neighbours, of which a wide radius meets many, out. Of
-    the candidates a spanning forest, nearest links first, is verified: a link
-    stands when the exact Jaccard similarity of the two texts' shingles is
-    ``similarity`` or more.
+    second test keeps chance neighbours, of which a wide radius meets many, out. A
+    link stands when the exact Jaccard similarity of the two texts' shingles is
+    ``similarity`` or more. A spanning forest of the candidates, nearest links first,
+    is verified; in groups where one of its links fails, so is every other candidate
+    between texts that are not joined yet.
     """
     text = F.col(f"`{text_col}`")
     spread = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_or_empty(text)).alias("mark"), text_or_empty(text).alias("text"))
     marked = cut(fingerprints(spread, width, ["id", "mark"], "text", minhash=True).select("id", "mark", "fp", "sig", F.spark_partition_id().alias("leaf")))
     found = cut(links(marked.groupBy("fp").agg(F.min("sig").alias("sig")), radius, blocks, signed=True))
     ends = found.select(F.col("u").alias("fp")).unionByName(found.select(F.col("v").alias("fp"))).distinct()
-    shown = marked.join(ends, "fp").groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("at")).select("fp", "at.id", "at.mark")
-    texts = cut(spread.join(shown.hint("shuffle_hash"), ["id", "mark"]).groupBy("fp").agg(F.min("text").alias("text")))
+    shown = marked.join(ends, "fp").groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("at"), F.min("sig").alias("sig")).select("fp", "sig", "at.id", "at.mark")
+    texts = cut(spread.join(shown.hint("shuffle_hash"), ["id", "mark"]).groupBy("fp").agg(F.min("text").alias("text"), F.min("sig").alias("sig")))
     pairs = found.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("text_v")), "v")
-    done = _grouped(marked, components(_similar(pairs, width, similarity)))
+    judged = cut(_judged(pairs, width, similarity))
+    groups = components(judged.filter("good"))
+    if not judged.filter("NOT good").isEmpty():
+        joined = components(_further(judged, groups, texts, width, radius, similarity)).toDF("part", "joined")
+        own = texts.select(F.col("fp").alias("node")).join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("part"))
+        groups = own.join(joined, "part", "left").select("node", F.coalesce("joined", "part").alias("root"))
+    done = _grouped(marked, groups)
     first = F.row_number().over(Window.partitionBy("leaf", "fp", "id").orderBy("mark"))
     kept = done.withColumn("nth", first).filter((F.col("nth") == 1) & (F.col("leaf") == F.col("keep_leaf")) & F.col("id").eqNullSafe(F.col("component_id")))
     return keep_rows(df, kept.select(F.col("id").alias("__id"), F.col("mark").alias("__sha")).distinct(), id_col, F.xxhash64(text_or_empty(text)))

@@ -116,5 +116,39 @@ def test_drop_near_copies(spark):
     assert sh.drop_near_copies(docs.filter(F.col("doc_id") != 3)).count() == 3
 
 
+def edited_copies(seed, copies, words=200, edits=4):
+    r = random.Random(seed)
+    base = [f"w{r.randrange(5000)}" for _ in range(words)]
+    out = [(0, " ".join(base))]
+    for i in range(copies):
+        changed = list(base)
+        for k in r.sample(range(words), edits):
+            changed[k] = f"x{r.randrange(5000)}"
+        out.append((i + 1, " ".join(changed)))
+    return out
+
+
+def slow_kept(rows, radius=14):
+    """First ids of the groups that all candidates of enough similarity join."""
+    made = [sh.sketches(t, 5, True) for _, t in rows]
+    sets = [set(sh.shingle_hashes(sh.words_of(t), 5)) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            (f, s), (g, t) = made[i], made[j]
+            if (f ^ g).bit_count() <= radius and (s ^ t).bit_count() <= sh.SIG_RADIUS and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                p, q = sh._root(root, i), sh._root(root, j)
+                root[max(p, q)] = min(p, q)
+    return sorted(rows[i][0] for i in range(len(rows)) if sh._root(root, i) == i)
+
+
+@pytest.mark.parametrize("block", [256, 20])
+def test_star_of_edited_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(sh, "BLOCK", block)  # with 20 a group has several blocks, and large parts have blocks of their own
+    rows = edited_copies(3, 250)
+    kept = sorted(r["doc_id"] for r in sh.drop_near_copies(odd.documents(spark, rows)).collect())
+    assert kept == slow_kept(rows)
+
+
 def test_empty(spark):
     assert sh.near_duplicates(odd.documents(spark, []).limit(0)).collect() == []
