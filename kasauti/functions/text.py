@@ -82,7 +82,12 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def grams(c: Column, n: int) -> Column:
     """Distinct character n-grams of a text without white space."""
-    return F.when(F.char_length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+    def joined(letters: Column) -> Column:
+        # From an array, as a substring of a long text is found by counting from its start.
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(letters) - n), lambda i: F.concat(*[F.get(letters, i + k) for k in range(n)])))
+
+    return F.when(F.char_length(c) >= n, _let(F.split(c, ""), joined)).otherwise(F.array().cast("array<string>"))
 
 
 def _set_f1(s: Column) -> Column:

@@ -30,7 +30,7 @@ def generated_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sub_question_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.when(F.col("conv_id") % 2 == 0, F.to_json(F.struct(F.array("role", F.lit("why?")).alias("sub_questions")))).otherwise(F.concat(F.lit("1. "), "role", F.lit("\n- ab\n* "), F.substring("text", 1, 20)))
+    reply = F.when(F.col("conv_id") % 2 == 0, F.to_json(F.struct(F.array("role", F.lit("why?")).alias("sub_questions")))).otherwise(F.concat(F.lit("1. "), "role", F.lit("\n- ab\n* "), "text"))
     c = tables.read(spark, sf_dir, "conversations").select("role", records.sub_questions(reply).alias("q"))
     return c.groupBy("role", F.size("q").alias("questions")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -23,8 +23,7 @@ def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_ngram_fscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tables.claims(spark, sf_dir).select("row_id", F.substring("claim", 1, 60).alias("a"), F.substring("evidence", 1, 60).alias("b"))
-    return c.select("row_id", F.round(text.char_fscore(F.col("a"), F.col("b")), 6).alias("char_f"))
+    return tables.claims(spark, sf_dir).select("row_id", F.round(text.char_fscore(F.col("claim"), F.col("evidence")), 6).alias("char_f"))
 
 
 def orthographic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

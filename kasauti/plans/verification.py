@@ -139,8 +139,8 @@ def alias_label_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.read(spark, sf_dir, "documents").join(tables.read(spark, sf_dir, "labels"), "doc_id", "left")
     raw = docs.select(
         "doc_id",
-        F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.substring("text", 1, 80)).alias("claim"),
-        F.concat(F.lit(" "), F.substring("text", 1, 60), F.lit("  ")).alias("claim_text"),
+        F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("claim"),
+        F.concat(F.lit(" "), F.col("text"), F.lit("  ")).alias("claim_text"),
         F.when(F.col("quality") == 1, " supported").when(F.col("toxic") == 1, "Not enough info ").when(F.col("quality") == 0, "refutes").otherwise("?").alias("gold_label"),
         F.when(F.col("lang") == "en", "hi-IN").when(F.col("lang") == "fr", "TE ").otherwise(F.col("lang")).alias("lang"),
     )
