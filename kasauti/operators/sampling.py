@@ -61,7 +61,6 @@ def bootstrap_means(values: DataFrame, draws: int, value: str) -> DataFrame:
     ``values`` has nth (1 to total), total and the value. Each draw picks a number
     for every place, so draws are independent rows and need no order.
     """
-    total = values.select("total").limit(1)
-    picks = values.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(total)).select("draw", "total", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total"))).alias("place"))
+    picks = values.select("total", F.col("nth").cast("long").alias("place"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
     picks = picks.select("draw", (pick(F.col("total"), F.col("draw"), F.col("place")) + 1).alias("nth"))
     return picks.join(values.select(F.col("nth").cast("long").alias("nth"), value), "nth").groupBy("draw").agg(F.avg(value).alias("mean"))

@@ -15,6 +15,7 @@ CUTS = {
     "homoglyph_or_zero_width": [("substr(evidence, 1, 200)", "evidence")],
     "alias_label_normalise": [("substr(text, 1, 60)", "text"), ("substr(text, 1, 80)", "text")],
     "sub_question_counts": [("substr(text, 1, 20)", "text")],
+    "bootstrap_ci": [(" AND row_id % 10 = 0", "")],
 }
 
 
