@@ -49,6 +49,11 @@ def without_node(edges: DataFrame, node: int) -> DataFrame:
     return edges.filter((F.col("src") != node) & (F.col("dst") != node))
 
 
+def width(vectors: DataFrame, vector: str) -> int:
+    """The length of the longest array in the column ``vector`` (1 at least)."""
+    return max(1, vectors.agg(F.max(F.size(vector))).first()[0] or 1)
+
+
 def mean_aggregate(nodes: DataFrame, edges: DataFrame, dims: int) -> DataFrame:
     """dst, degree and mean: the average of the neighbours' feature arrays, one aggregation with a sum for each dimension."""
     gathered = edges.select("src", "dst").join(nodes.select(F.col("id").alias("src"), "features"), "src")
@@ -117,4 +122,4 @@ def pair_neighbours(claims: DataFrame) -> DataFrame:
     return fallback.join(found, "row_id", "left").select("row_id", F.coalesce("neighbour", "any").alias("neighbour"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
-__all__ = ["attack_features", "attention", "bipartite", "cosine", "mean_aggregate", "nearest", "pair_neighbours", "sage", "similar_pairs", "without_node"]
+__all__ = ["attack_features", "attention", "bipartite", "cosine", "mean_aggregate", "nearest", "pair_neighbours", "sage", "similar_pairs", "width", "without_node"]

@@ -12,6 +12,7 @@ from ..sources import tables
 from ..sources.tables import CTE_ATTACKS, CTE_CLAIMS, CTE_VERIFIED, with_ctes
 from .verification import verified
 
+#: Numbers of a vector that the SQL takes; the queries take all.
 DIMS = 8
 
 
@@ -42,7 +43,8 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sage_mean_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = graph.mean_aggregate(_vectors(spark, sf_dir), _edges(spark, sf_dir), DIMS)
+    v = _vectors(spark, sf_dir)
+    means = graph.mean_aggregate(v, _edges(spark, sf_dir), graph.width(v, "features"))
     return means.select("dst", "degree", F.posexplode("mean").alias("dim", "value")).select("dst", "degree", "dim", F.round("value", 5).alias("value"))
 
 

@@ -12,6 +12,7 @@ from ..sources.tables import CTE_ATTACKS, CTE_CLAIMS, CTE_VERIFIED, with_ctes
 from .graphs import FEATURED, cosine_sql
 from .verification import verified
 
+#: Numbers of a vector that the SQL takes; the queries take all.
 DIMS = 8
 
 
@@ -42,7 +43,7 @@ def records_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedding_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = tables.read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("features"))
-    pooled = records.mean_pool(v, "label", F.col("vec_id") % 3 != 0, DIMS)
+    pooled = records.mean_pool(v, "label", F.lit(True), graph.width(v, "features"))
     return pooled.select("label", F.posexplode("pooled").alias("dim", "value")).select("label", "dim", F.round("value", 5).alias("value"))
 
 
@@ -59,10 +60,10 @@ def state_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def augmented_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A claim's 2 numbers, its vector and the mean features of the perturbations that do not flip it."""
     seen = verified(spark, sf_dir).filter("NOT baseline_failed").select("row_id", "attack_idx", "gated_flip")
-    f = tables.attacks(spark).select("attack_idx", F.slice(graph.attack_features(), 1, DIMS).alias("f"))
+    f = tables.attacks(spark).select("attack_idx", graph.attack_features().alias("f"))
     open_ = seen.join(F.broadcast(f), "attack_idx").groupBy("row_id").agg(F.count(F.lit(1)).cast("double").alias("tried"), F.count_if("gated_flip").cast("double").alias("flips"), F.collect_list(F.when(~F.col("gated_flip"), F.col("f"))).alias("rest"))
-    v = tables.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double")).alias("own"))
-    s = open_.join(v, "row_id").select("row_id", records.augmented_state(F.array("tried", "flips"), F.col("own"), F.col("rest"), DIMS).alias("s"))
+    v = tables.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("own"))
+    s = open_.join(v, "row_id").select("row_id", records.augmented_state(F.array("tried", "flips"), F.col("own"), F.col("rest"), graph.width(f, "f")).alias("s"))
     return s.select("row_id", F.size("s").alias("dims"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 

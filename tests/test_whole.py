@@ -15,6 +15,9 @@ CUTS = {
     "homoglyph_or_zero_width": [("substr(evidence, 1, 200)", "evidence")],
     "alias_label_normalise": [("substr(text, 1, 60)", "text"), ("substr(text, 1, 80)", "text")],
     "sub_question_counts": [("substr(text, 1, 20)", "text")],
+    "sage_mean_aggregate": [("range(8)", "range(64)")],
+    "embedding_mean_pool": [(" WHERE vec_id % 3 <> 0", ""), ("range(8)", "range(64)")],
+    "augmented_state": [("f.f[1:8]", "f.f"), ("18 AS dims", "82 AS dims"), ("embedding[1:8]", "embedding")],
     "bootstrap_ci": [(" AND row_id % 10 = 0", "")],
 }
 
