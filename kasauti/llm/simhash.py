@@ -11,22 +11,26 @@ pair gives back a spanning forest of its links, nearest first, which joins what
 all its links join. Components then follow by alternating large and small stars,
 where a hub's rows are joined, never collected.
 
-Rows with one fingerprint are one node from the start; answers come back by
-fingerprint and input partition, so a fingerprint that a third of all rows share
-meets no single task.
+For :func:`near_duplicates` rows with one fingerprint are one node from the start,
+for :func:`drop_near_copies` rows with one set of distinct shingles (told by a
+64-bit digest of the set). Answers come back by node and input partition, so a
+node that a third of all rows share meets no single task.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint
 zero and is linked like any other; with fewer words than a shingle the whole
-sequence is the one shingle; rows that repeat an id or a text each give a row;
-null ids count for a group's links but never name it; empty tables give empty
-results; further columns are ignored by :func:`near_duplicates` and kept by
-:func:`drop_near_copies`.
+sequence is the one shingle; rows that repeat an id or a text each give a row of
+:func:`near_duplicates`, while of a group's rows that share its smallest id exactly
+one stays; null ids count for a group's links but never name it, and one row stays
+of a group that has no other; empty tables give empty results; further columns are
+ignored by :func:`near_duplicates` and kept by :func:`drop_near_copies`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import islice, product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,8 @@ from .exact_dedup import keep_rows
 
 #: Fingerprints in a tile, about; a pair of tiles is some 16 million comparisons.
 TILE = 4096
+#: And shapes in one; a tile of 200 kB then costs a task some 70 million comparisons each time it is sent.
+SHAPE_TILE = 8192
 #: Comparisons held in memory at once.
 SLAB = 1 << 20
 #: Shingles whose bits are counted at once.
@@ -68,32 +74,63 @@ def shingle_hashes(words: list[bytes], width: int) -> Iterator[int]:
     return (xxhash.xxh64_intdigest(s, SEED) for s in shingles)
 
 
-def sketches(text: str, width: int, minhash: bool = False) -> tuple[int, int]:
-    """The fingerprint, and if wanted 64 bits of MinHash: a bit of each of 64 permutations' least shingle hash."""
+def _bits(on: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(on, bitorder="little").tobytes(), "little")
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str, width: int) -> int:
+    """Of all shingles, repeats included."""
     words = words_of(text)
     n = max(1, len(words) - width + 1) if words else 0
-    ones, least, hashes = np.zeros(64, np.int64), np.full(64, 2**64 - 1, np.uint64), shingle_hashes(words, width)
+    ones, hashes = np.zeros(64, np.int64), shingle_hashes(words, width)
     for at in range(0, n, SHINGLES):
-        h = np.fromiter(hashes, "<u8", min(SHINGLES, n - at))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        for part in np.split(h, range(1024, len(h), 1024)) if minhash else ():
-            np.minimum(least, (part[:, None] * FACTORS[None, :]).min(axis=0), out=least)
-    bits = (2 * ones > n, (least >> np.uint64(32) & np.uint64(1)).astype(bool))
-    return tuple(int.from_bytes(np.packbits(b, bitorder="little").tobytes(), "little") for b in bits)
+        ones += _ones(np.fromiter(hashes, "<u8", min(SHINGLES, n - at)))
+    return _bits(2 * ones > n)
 
 
-def fingerprint(text: str, width: int) -> int:
-    return sketches(text, width)[0]
+class Shape(NamedTuple):
+    """What near copies are looked for by: all of the set of a text's distinct shingles."""
+
+    #: Digest of the set.
+    node: int
+    fp: int
+    #: A bit of each of 64 permutations' least shingle hash (MinHash).
+    sig: int
+    size: int
+
+
+def shape(text: str, width: int) -> Shape:
+    h = np.unique(np.fromiter(shingle_hashes(words_of(text), width), "<u8"))
+    ones, least = np.zeros(64, np.int64), np.full(64, 2**64 - 1, np.uint64)
+    for at in range(0, len(h), SHINGLES):
+        ones += _ones(h[at : at + SHINGLES])
+    for at in range(0, len(h), 1024):
+        np.minimum(least, (h[at : at + 1024, None] * FACTORS[None, :]).min(axis=0), out=least)
+    return Shape(xxhash.xxh64_intdigest(h.tobytes()), _bits(2 * ones > len(h)), _bits((least >> np.uint64(32) & np.uint64(1)).astype(bool)), len(h))
+
+
+def fingerprints(df: DataFrame, width: int, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` and fp (the fingerprint's 64 bits as a long) of every row."""
+
+    def run(texts: list[str]) -> dict[str, pa.Array]:
+        return {"fp": pa.array(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))}
+
+    return per_text(df, run, "fp long", text_col, keep)
 
 
-def fingerprints(df: DataFrame, width: int, keep: list[str], text_col: str = "text", minhash: bool = False) -> DataFrame:
-    """``keep``, fp (the fingerprint's 64 bits as a long) and sig (64 bits of MinHash, 0 unless wanted) of every row."""
+def shapes(df: DataFrame, width: int, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` and the :class:`Shape` of every row, as longs."""
 
     def run(texts: list[str]) -> dict[str, pa.Array]:
-        made = np.array([sketches(t, width, minhash) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
-        return {"fp": pa.array(made[:, 0]), "sig": pa.array(made[:, 1])}
+        made = np.array([shape(t, width) for t in texts], np.uint64).reshape(-1, len(Shape._fields)).view(np.int64)
+        return {name: pa.array(made[:, k]) for k, name in enumerate(Shape._fields)}
 
-    return per_text(df, run, "fp long, sig long", text_col, keep)
+    return per_text(df, run, "node long, fp long, sig long, size long", text_col, keep)
 
 
 def _counts(fp: Column, blocks: int) -> list[Column]:
@@ -117,26 +154,28 @@ def _root(parent: list[int], x: int) -> int:
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, sig_a: np.ndarray | None = None, sig_b: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """A spanning forest, nearest links first, of the links between ``a`` and ``b`` (None: within ``a``), arrays of signed longs.
 
-    With signatures, links whose MinHash bits differ in more than SIG_RADIUS don't count.
+    A link is (place in a, place in b, distance). With signatures, links whose
+    MinHash bits differ in more than SIG_RADIUS don't count.
     """
     a, b = a.view(np.uint64), None if b is None else b.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
-    other, rows = (a if b is None else b), max(1, SLAB // max(1, len(a if b is None else b)))
-    nodes = np.concatenate([a, other]) if b is not None else a
-    shift = len(a) if b is not None else 0
+    other = a if b is None else b
+    rows, shift = max(1, SLAB // max(1, len(other))), 0 if b is None else len(a)
     forest: list[tuple[int, int, int]] = []
     for at in range(0, len(a), rows):
-        distance = np.bitwise_count(a[at : at + rows, None] ^ other[None, :])
-        i, j = np.nonzero(distance <= radius)
+        # Within one tile, what lies before the slab has been compared with it.
+        low = at if b is None else 0
+        distance = np.bitwise_count(a[at : at + rows, None] ^ other[None, low:])
+        i, j = np.divmod(np.flatnonzero(distance <= radius), len(other) - low)
         if b is None:
-            i, j = i[i + at < j], j[i + at < j]
+            i, j = i[i < j], j[i < j]
         if sig_a is not None and len(i):
-            near = np.bitwise_count(sig_a[i + at].view(np.uint64) ^ (sig_a if sig_b is None else sig_b)[j].view(np.uint64)) <= SIG_RADIUS
+            sig = sig_a if sig_b is None else sig_b
+            near = np.bitwise_count(sig_a[i + at].view(np.uint64) ^ sig[j + low].view(np.uint64)) <= SIG_RADIUS
             i, j = i[near], j[near]
         if len(i):
             # A forest of all slabs' forests joins what all links join.
-            forest = _nearest(forest, i + at, j + shift, distance[i, j], len(nodes))
-    signed = nodes.view(np.int64)
-    return [(int(signed[u]), int(signed[v]), d) for u, v, d in forest]
+            forest = _nearest(forest, i + at, j + low + shift, distance[i, j], shift + len(other))
+    return [(u, v - shift, d) for u, v, d in forest]
 
 
 def _nearest(had: list[tuple[int, int, int]], u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> list[tuple[int, int, int]]:
@@ -163,18 +202,33 @@ def _nearest(had: list[tuple[int, int, int]], u: np.ndarray, v: np.ndarray, d: n
     return forest
 
 
-def links(distinct: DataFrame, radius: int, blocks: int, signed: bool = False) -> DataFrame:
-    """u, v and distance: links of fingerprints (column fp, none twice) that join all that lie within the radius.
+def _pieces_linked(work: DataFrame, radius: int) -> DataFrame:
+    """u, v and distance from pairs of tiles: ids, fps, sigs (null: don't count) of both sides, and whether they are the same."""
 
-    ``signed``: and whose signatures (column sig) agree enough.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for k in range(batch.num_rows):
+                ids, fps, sigs, ids_b, fps_b, sigs_b = (x.values.to_numpy(zero_copy_only=False) if (x := batch.column(c)[k]).is_valid else None for c in range(6))
+                same = batch.column(6)[k].as_py()
+                found = tile_links(fps, None, radius, sigs) if same else tile_links(fps, fps_b, radius, sigs, sigs_b)
+                if found:
+                    u, v, d = np.array(found).T
+                    parts.append((ids[u], (ids if same else ids_b)[v], d.astype(np.int32)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["u", "v", "distance"])
+
+    return work.select("ids", "fps", "sigs", "ids_b", "fps_b", "sigs_b", "same").mapInArrow(run, "u long, v long, distance int")
+
+
+def links(distinct: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """u, v and distance: links of fingerprints (column fp, none twice) that join all that lie within the radius."""
     own = sum((c.cast("long") * (1 << (8 * i)) for i, c in enumerate(_counts(F.col("fp"), blocks))), F.lit(0))
-    placed = distinct.select("fp", (F.col("sig") if signed else F.lit(None).cast("long")).alias("sig"), own.alias("cell"))
+    placed = distinct.select("fp", own.alias("cell"))
     # At most (64 / blocks + 1) ** blocks rows, whatever the input: 83,521 for four blocks.
     cells = cut(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("n")))
     dealt = placed.join(F.broadcast(cells), "cell").withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-    tiles = dealt.groupBy("cell", "sub").agg(F.sort_array(F.collect_list(F.struct("fp", "sig"))).alias("x"))
-    tiles = cut(tiles.select("cell", "sub", F.col("x.fp").alias("fps"), (F.col("x.sig") if signed else F.lit(None).cast("array<long>")).alias("sigs")))
+    tiles = cut(dealt.groupBy("cell", "sub").agg(F.sort_array(F.collect_list("fp")).alias("fps")))
 
     near = cells.select("cell", "n", F.explode(F.array(*[F.lit(s).cast("long") for s in _steps(blocks, radius)])).alias("step"))
     others = cells.select((F.col("cell")).alias("cell_b"), F.col("n").alias("n_b"))
@@ -185,21 +239,39 @@ def links(distinct: DataFrame, radius: int, blocks: int, signed: bool = False) -
         .select("cell", "cell_b", "sub", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("sub_b"))
         .filter((F.col("cell") < F.col("cell_b")) | (F.col("sub") <= F.col("sub_b")))
     )
-    second = tiles.select(F.col("cell").alias("cell_b"), F.col("sub").alias("sub_b"), F.col("fps").alias("fps_b"), F.col("sigs").alias("sigs_b"))
+    second = tiles.select(F.col("cell").alias("cell_b"), F.col("sub").alias("sub_b"), F.col("fps").alias("fps_b"))
     work = pairs.join(tiles, ["cell", "sub"]).join(second, ["cell_b", "sub_b"])
-    work = work.select("fps", "fps_b", "sigs", "sigs_b", ((F.col("cell") == F.col("cell_b")) & (F.col("sub") == F.col("sub_b"))).alias("same"))
+    none, same = F.lit(None).cast("array<long>"), (F.col("cell") == F.col("cell_b")) & (F.col("sub") == F.col("sub_b"))
+    return _pieces_linked(work.select(F.col("fps").alias("ids"), "fps", none.alias("sigs"), F.col("fps_b").alias("ids_b"), "fps_b", none.alias("sigs_b"), same.alias("same")), radius)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[int, int, int]] = []
-            for k in range(batch.num_rows):
-                a, b, s, t = (x.values.to_numpy(zero_copy_only=False) if (x := batch.column(c)[k]).is_valid else None for c in range(4))
-                found += tile_links(a, None, radius, s) if batch.column(4)[k].as_py() else tile_links(a, b, radius, s, t)
-            if found:
-                u, v, d = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.int32())], names=["u", "v", "distance"])
 
-    return work.mapInArrow(run, "u long, v long, distance int")
+def shape_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """u, v and distance: links of shapes (none twice) that join all whose fingerprints lie within the radius and whose MinHash bits agree.
+
+    Sets of a similarity differ in size by no more than that factor, so a tile holds
+    one class of sizes (a factor 1 / similarity wide) and meets its own class and the
+    next one. Within a class tiles follow the fingerprints' population counts, and
+    tile pairs whose counts differ beyond the radius are skipped.
+    """
+    # A little wider than the factor, so that rounding never puts two classes between a pair.
+    step = -math.log(similarity) * (1 + 1e-9) if similarity > 0 else math.inf
+    size_class = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.lit(step)).cast("int")
+    placed = nodes.select("node", "fp", "sig", size_class.alias("class"), F.bit_count("fp").alias("pop"))
+    # At most 65 rows for each class of sizes, so each window and the broadcast below are small.
+    counts = placed.groupBy("class", "pop").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("class").orderBy("pop")) - F.col("n")
+    cells = cut(counts.select("class", "pop", F.floor(before / SHAPE_TILE).alias("first"), F.ceil(F.col("n") / SHAPE_TILE).alias("n")))
+    dealt = placed.join(F.broadcast(cells), ["class", "pop"]).withColumn("sub", F.col("first") + F.pmod(F.xxhash64("node"), F.col("n")))
+    tiles = dealt.groupBy("class", "sub").agg(F.min("pop").alias("low"), F.max("pop").alias("high"), F.collect_list(F.struct("node", "fp", "sig")).alias("x"))
+    tiles = cut(tiles.select("class", "sub", "low", "high", F.col("x.node").alias("ids"), F.col("x.fp").alias("fps"), F.col("x.sig").alias("sigs")))
+
+    one = tiles.select("class", "sub", "low", "high", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class_b"))
+    two = tiles.select(F.col("class").alias("class_b"), F.col("sub").alias("sub_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    apart = F.greatest(F.col("low") - F.col("high_b"), F.col("low_b") - F.col("high"))
+    pairs = one.join(two, "class_b").filter(((F.col("class") < F.col("class_b")) | (F.col("sub") <= F.col("sub_b"))) & (apart <= radius))
+    pairs = pairs.select("class", "sub", "class_b", "sub_b", ((F.col("class") == F.col("class_b")) & (F.col("sub") == F.col("sub_b"))).alias("same"))
+    side = lambda end: tiles.select(*[F.col(c).alias(c + end) for c in ("class", "sub", "ids", "fps", "sigs")])
+    return _pieces_linked(pairs.join(side(""), ["class", "sub"]).join(side("_b"), ["class_b", "sub_b"]), radius)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -231,22 +303,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _grouped(marked: DataFrame, groups: DataFrame) -> DataFrame:
-    """``marked`` (id, fp, leaf) with component_id and the leaf that holds its first row."""
-    by_fp = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "leaf")).alias("first"))
-    rooted = by_fp.join(groups.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    """``marked`` (id, node, leaf) with root, component_id and the leaf that holds its first row."""
+    by_node = marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "leaf")).alias("first"))
+    rooted = by_node.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    told = rooted.join(best, "root").select("fp", "root", F.col("best.id").alias("component_id"), F.col("best.leaf").alias("keep_leaf"))
-    # Each fingerprint is asked for once by each leaf, so the last join is even.
-    asked = marked.groupBy("leaf", "fp").agg(F.count(F.lit(1)).alias("n")).drop("n").join(told, "fp")
-    return marked.join(asked, ["leaf", "fp"])
+    told = rooted.join(best, "root").select("node", "root", F.col("best.id").alias("component_id"), F.col("best.leaf").alias("keep_leaf"))
+    # Each node is asked for once by each leaf, so the last join is even.
+    asked = marked.groupBy("leaf", "node").agg(F.count(F.lit(1)).alias("n")).drop("n").join(told, "node")
+    return marked.join(asked, ["leaf", "node"])
 
 
 def near_duplicates(df: DataFrame, width: int = 3, radius: int = 2, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fingerprint (hex) and component_id (smallest id reachable over links) of every row."""
-    marked = cut(fingerprints(df, width, [id_col], text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), "fp", F.spark_partition_id().alias("leaf")))
-    groups = components(links(marked.select("fp").distinct(), radius, blocks))
+    marked = cut(fingerprints(df, width, [id_col], text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col("fp").alias("node"), F.spark_partition_id().alias("leaf")))
+    groups = components(links(marked.select(F.col("node").alias("fp")).distinct(), radius, blocks))
     done = _grouped(marked, groups)
-    return done.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return done.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _judged(pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -298,11 +370,11 @@ def _further(judged: DataFrame, parts: DataFrame, texts: DataFrame, width: int,
 
     All candidates of such a group that join two parts are verified, block by block.
     """
-    part = parts.select(F.col("node").alias("fp"), F.col("root").alias("part"))
+    part = parts.select("node", F.col("root").alias("part"))
     failed = judged.filter("NOT good").select("u", "v")
     failed = failed.join(part.toDF("u", "part_u"), "u", "left").join(part.toDF("v", "part_v"), "v", "left")
     groups = components(failed.select(F.coalesce("part_u", "u").alias("u"), F.coalesce("part_v", "v").alias("v")))
-    own = texts.select("fp", F.octet_length("text").cast("long").alias("size")).join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+    own = texts.select("node", F.octet_length("text").cast("long").alias("size")).join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
     own = cut(own.join(groups.select(F.col("node").alias("part"), F.col("root").alias("group")), "part"))
 
     # A part of a block's size or more has blocks of its own, which need no test among themselves.
@@ -310,7 +382,7 @@ def _further(judged: DataFrame, parts: DataFrame, texts: DataFrame, width: int,
     placed = own.join(whole, ["group", "part"]).withColumn("cell", F.when(F.col("own"), F.col("part")).otherwise(F.lit(0)))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int")
     cells = cut(placed.groupBy("group", "own", "cell").agg(F.greatest(blocks, F.lit(1)).alias("n")))
-    dealt = placed.join(cells, ["group", "own", "cell"]).withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    dealt = placed.join(cells, ["group", "own", "cell"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,7 +390,7 @@ def _further(judged: DataFrame, parts: DataFrame, texts: DataFrame, width: int,
             yield pa.RecordBatch.from_arrays([*b.columns[:5], b.column(6), b.column(7), pa.array(made, pa.binary())], names=names)
 
     names = ["group", "own", "cell", "sub", "fp", "sig", "part", "shingles"]
-    shown = dealt.select("group", "own", "cell", "sub", "fp", "part").join(texts, "fp").select("group", "own", "cell", "sub", "fp", "text", "sig", "part")
+    shown = dealt.select("group", "own", "cell", "sub", "node", "part").join(texts, "node").select("group", "own", "cell", "sub", "fp", "text", "sig", "part")
     shown = shown.mapInArrow(run, "group long, own boolean, cell long, sub int, fp long, sig long, part long, shingles binary")
     key = ["group", "own", "cell", "sub"]
     tiles = cut(shown.groupBy(*key).agg(F.collect_list(F.struct("fp", "sig", "part", "shingles")).alias("x")))
@@ -344,34 +416,40 @@ def _further(judged: DataFrame, parts: DataFrame, texts: DataFrame, width: int,
     return work.mapInArrow(verify, "u long, v long")
 
 
-def drop_near_copies(df: DataFrame, width: int = 5, radius: int = 14, blocks: int = 1, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(df: DataFrame, width: int = 5, radius: int = 20, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without all but the first of each group of near copies.
 
-    Fingerprints within ``radius`` whose MinHash bits agree are candidates; the
-    second test keeps chance neighbours, of which a wide radius meets many, out. A
-    link stands when the exact Jaccard similarity of the two texts' shingles is
-    ``similarity`` or more. A spanning forest of the candidates, nearest links first,
-    is verified; in groups where one of its links fails, so is every other candidate
-    between texts that are not joined yet.
+    Texts with one set of distinct shingles are one node; nothing else joins texts
+    unverified, equal fingerprints neither. Fingerprints of those sets within
+    ``radius`` whose MinHash bits agree are candidates; the second test keeps chance
+    neighbours, of which a wide radius meets many, out. A link stands when the exact
+    Jaccard similarity of the two sets is ``similarity`` or more. A spanning forest
+    of the candidates, nearest links first, is verified; in groups where one of its
+    links fails, so is every other candidate between texts that are not joined yet.
     """
     text = F.col(f"`{text_col}`")
     spread = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_or_empty(text)).alias("mark"), text_or_empty(text).alias("text"))
-    marked = cut(fingerprints(spread, width, ["id", "mark"], "text", minhash=True).select("id", "mark", "fp", "sig", F.spark_partition_id().alias("leaf")))
-    found = cut(links(marked.groupBy("fp").agg(F.min("sig").alias("sig")), radius, blocks, signed=True))
-    ends = found.select(F.col("u").alias("fp")).unionByName(found.select(F.col("v").alias("fp"))).distinct()
-    shown = marked.join(ends, "fp").groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("at"), F.min("sig").alias("sig")).select("fp", "sig", "at.id", "at.mark")
-    texts = cut(spread.join(shown.hint("shuffle_hash"), ["id", "mark"]).groupBy("fp").agg(F.min("text").alias("text"), F.min("sig").alias("sig")))
-    pairs = found.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("text_v")), "v")
+    marked = cut(shapes(spread, width, ["id", "mark"]).withColumn("leaf", F.spark_partition_id()))
+    # All rows of a node agree in these.
+    nodes = marked.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "sig", "size")])
+    found = cut(shape_links(nodes, radius, similarity))
+    ends = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct()
+    shown = marked.join(ends, "node").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("at"), F.min("fp").alias("fp"), F.min("sig").alias("sig"))
+    shown = shown.select("node", "fp", "sig", F.col("at.id").alias("at_id"), F.col("at.mark").alias("at_mark"))
+    met = spread.join(shown.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("at_id")) & (F.col("mark") == F.col("at_mark")))
+    texts = cut(met.groupBy("node").agg(*[F.min(c).alias(c) for c in ("text", "fp", "sig")]))
+    pairs = found.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
     judged = cut(_judged(pairs, width, similarity))
     groups = components(judged.filter("good"))
     if not judged.filter("NOT good").isEmpty():
         joined = components(_further(judged, groups, texts, width, radius, similarity)).toDF("part", "joined")
-        own = texts.select(F.col("fp").alias("node")).join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("part"))
+        own = texts.select("node").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("part"))
         groups = own.join(joined, "part", "left").select("node", F.coalesce("joined", "part").alias("root"))
     done = _grouped(marked, groups)
-    first = F.row_number().over(Window.partitionBy("leaf", "fp", "id").orderBy("mark"))
-    kept = done.withColumn("nth", first).filter((F.col("nth") == 1) & (F.col("leaf") == F.col("keep_leaf")) & F.col("id").eqNullSafe(F.col("component_id")))
+    # What is left of a group repeats its smallest id within one leaf.
+    smallest = done.filter((F.col("leaf") == F.col("keep_leaf")) & F.col("id").eqNullSafe(F.col("component_id")))
+    kept = smallest.withColumn("nth", F.row_number().over(Window.partitionBy("root").orderBy("node", "mark"))).filter("nth = 1")
     return keep_rows(df, kept.select(F.col("id").alias("__id"), F.col("mark").alias("__sha")).distinct(), id_col, F.xxhash64(text_or_empty(text)))
 
 
-__all__ = ["components", "drop_near_copies", "fingerprint", "links", "near_duplicates"]
+__all__ = ["components", "drop_near_copies", "fingerprint", "links", "near_duplicates", "shape", "shape_links"]

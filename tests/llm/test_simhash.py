@@ -57,13 +57,23 @@ def test_against_brute_force(spark, monkeypatch, seed):
 
 def test_minhash_bits_tell_similarity():
     words = [f"w{i}" for i in range(400)]
-    base = sh.sketches(" ".join(words), 5, True)[1]
+    base = sh.shape(" ".join(words), 5)
     for changes, most in ((0, 0), (8, 16)):
         other = list(words)
         for i in range(changes):
             other[20 + 40 * i] = "new"
-        assert (base ^ sh.sketches(" ".join(other), 5, True)[1]).bit_count() <= most
-    assert (base ^ sh.sketches(" ".join(f"v{i}" for i in range(400)), 5, True)[1]).bit_count() > 16
+        assert (base.sig ^ sh.shape(" ".join(other), 5).sig).bit_count() <= most
+    assert (base.sig ^ sh.shape(" ".join(f"v{i}" for i in range(400)), 5).sig).bit_count() > 16
+
+
+def test_shape_is_of_the_set(monkeypatch):
+    one, two = "a b c d e f g h " * 3, "a b c d e f g h " * 300
+    assert sh.shape(one, 5) == sh.shape(two, 5) and sh.shape(one, 5).size == 8
+    assert (sh.shape("", 5).fp, sh.shape("", 5).size) == (0, 0)
+    text = " ".join(str(i * i % 997) for i in range(3000))
+    whole = sh.shape(text, 5)
+    monkeypatch.setattr(sh, "SHINGLES", 100)
+    assert sh.shape(text, 5) == whole
 
 
 def test_long_text_counts_every_shingle(monkeypatch):
@@ -128,26 +138,89 @@ def edited_copies(seed, copies, words=200, edits=4):
     return out
 
 
-def slow_kept(rows, radius=14):
-    """First ids of the groups that all candidates of enough similarity join."""
-    made = [sh.sketches(t, 5, True) for _, t in rows]
-    sets = [set(sh.shingle_hashes(sh.words_of(t), 5)) for _, t in rows]
+def jaccard(x, y):
+    one, two = (set(zip(*(w[i:] for i in range(5)))) or ({tuple(w)} if w else set()) for w in (x.lower().split(), y.lower().split()))
+    return len(one & two) / len(one | two) if one | two else 1.0
+
+
+def slow_kept(rows):
+    """First ids of the groups that all pairs of enough similarity join: nothing but Jaccard decides."""
     root = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            (f, s), (g, t) = made[i], made[j]
-            if (f ^ g).bit_count() <= radius and (s ^ t).bit_count() <= sh.SIG_RADIUS and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if sh._root(root, i) != sh._root(root, j) and jaccard(rows[i][1], rows[j][1]) >= 0.8:
                 p, q = sh._root(root, i), sh._root(root, j)
                 root[max(p, q)] = min(p, q)
     return sorted(rows[i][0] for i in range(len(rows)) if sh._root(root, i) == i)
 
 
+def kept_of(spark, rows):
+    return sorted(r["doc_id"] for r in sh.drop_near_copies(odd.documents(spark, rows)).collect())
+
+
 @pytest.mark.parametrize("block", [256, 20])
 def test_star_of_edited_copies(spark, monkeypatch, block):
     monkeypatch.setattr(sh, "BLOCK", block)  # with 20 a group has several blocks, and large parts have blocks of their own
+    monkeypatch.setattr(sh, "SHAPE_TILE", 64 if block == 20 else 8192)
     rows = edited_copies(3, 250)
-    kept = sorted(r["doc_id"] for r in sh.drop_near_copies(odd.documents(spark, rows)).collect())
-    assert kept == slow_kept(rows)
+    assert kept_of(spark, rows) == slow_kept(rows)
+
+
+def test_texts_that_one_passage_fills_stay(spark):
+    """Over half of all shingles repeat one passage, so with repeats both would have its fingerprint."""
+    r = random.Random(5)
+    rows = [(i, "spam " * 400 + " ".join(str(r.random()) for _ in range(300))) for i in (1, 2, 3)]
+    assert sh.fingerprint(rows[0][1], 5) == sh.fingerprint(rows[1][1], 5)
+    assert kept_of(spark, rows) == [1, 2, 3]
+
+
+def test_equal_fingerprints_are_verified(spark, monkeypatch):
+    """Whatever fingerprints and MinHash say, unlike texts stay and like ones go."""
+    honest = sh.shape
+    monkeypatch.setattr(sh, "shape", lambda text, width: honest(text, width)._replace(fp=7, sig=7))
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(200 + i % 3))) for i in range(12)]
+    rows += [(20 + i, t + " and more") for i, t in rows[:4]]
+    assert kept_of(spark, rows) == list(range(12)) == slow_kept(rows)
+
+
+def alike(r, words, least):
+    """A copy of words whose similarity lies as little over ``least`` as some hundred random edits find."""
+    best, text = None, " ".join(words)
+    other = list(words)
+    for _ in range(len(words)):
+        changed = list(other)
+        at = r.randrange(len(changed))
+        changed[at : at + r.randrange(2)] = [f"n{r.randrange(10**6)}"]
+        if jaccard(text, " ".join(changed)) < least:
+            break
+        other, best = changed, True
+    return " ".join(other) if best else None
+
+
+@pytest.mark.parametrize("repeats", [1, 3, 5])
+def test_recall_against_jaccard(spark, repeats):
+    """Pairs of similarity 0.8 to 0.9, and with repeats: copies in which a third of the text stands several times."""
+    r = random.Random(repeats)
+    rows = []
+    while len(rows) < 600:
+        words = [f"w{r.randrange(3000)}" for _ in range(r.choice([25, 60, 150, 400]))]
+        third = len(words) // 3
+        other = alike(r, words, 0.8) if repeats == 1 else " ".join(words[:third] * repeats + words[third:])
+        if other and jaccard(" ".join(words), other) >= 0.8:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, other)]
+    kept = kept_of(spark, rows)
+    assert set(range(0, 600, 2)) <= set(kept)
+    found = 1 - sum(i % 2 for i in kept) / 300
+    assert found >= 0.98
+
+
+def test_rows_that_repeat_an_id_and_null_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    text = " ".join(words)
+    rows = [(5, text), (5, text + " tail"), (5, text + " other"), (None, text + " last"), (8, text + " more")]
+    assert kept_of(spark, rows) == [5]
+    assert sh.drop_near_copies(odd.documents(spark, [(None, text), (None, text + " tail"), (None, "x y z")])).count() == 2
 
 
 def test_empty(spark):
