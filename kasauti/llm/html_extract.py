@@ -2,69 +2,96 @@ r"""Main text of web pages by a site style tree.
 
 The DOMs of a host's pages are merged into one tree: elements with the same path
 of tags, classes and ids (digits left out) are one node. A node's *content*
-importance is the entropy of the texts of its blocks, its *presentation*
-importance the entropy of the sequences of children it shows, both over all pages
-of the host and relative to the entropy of as many different ones: 1 where every
-page shows something else, near 0 where all show the same. A host's few pages say
-little, so each is drawn towards the same node's value over all hosts by
-``PRIOR`` observations. A block's branch has the importance
-
-    GAMMA * content(block) + (1 - GAMMA) * presentation(its parent)
-
-and goes where this is below ``THRESHOLD``.
-
-Marked regions come first, as a tree of few pages cannot be surer than the page
-itself: elements whose tag, role, class or id names a menu, header, footer,
-sidebar, notice, advert, form or comments are left out with all below them; where
-an ``article`` (or, without one, a ``main``) is left, exactly its blocks are
-taken; only other pages are judged block by block by the tree.
+importance is the entropy of the texts of its blocks, relative to that of as many
+different ones; its *presentation* importance that of the sequences of children it
+shows, relative to ``LAYOUTS`` equally frequent ones, so that neither shrinks as
+pages are added. A host's few texts say little, so each node is drawn towards the
+same node of all hosts, and this towards ``NEUTRAL``, by ``PRIOR`` observations; a
+text that repeats counts as one observation, so copies of a page don't make it
+noise. A block's branch has the importance of the tree
+
+    CONTENT * content(block) + (1 - CONTENT) * presentation(its parent)
+
+relative to that of the page's most important one, and what the page says is
+evidence beside it: (1 - weight) * tree + weight * mark. Branches of an importance
+below ``THRESHOLD`` go. The evidence, by block:
+
+* *left out* (never stays): within elements whose tag or role names a menu, header,
+  footer, sidebar, notice, form and so on, or whose class or id is made of words for
+  these, adverts or comments and of neutral words alone. An element that holds the
+  page's article is a wrapper: its class, a form or a header then says nothing.
+* *region*: in ``article`` or ``main``. Without such a mark the tree decides alone;
+  with one, what is outside goes, and what is in ``main`` beside an ``article`` needs
+  a tree that speaks for it. Articles that call themselves cards or teasers are no
+  region, and with more text beside them than in them ``main`` is the region.
+* *doubtful*: a word for boilerplate among other words. Within a region the two
+  marks cancel out and the tree decides; elsewhere the tree must be sure.
 
 Statistics are counted for each task's batch, then aggregated by host, node and
-hash with map-side combining, so a hot host never meets in one task. The table of
-importances is broadcast up to ``BROADCAST_NODES`` nodes and joined by host beyond.
+hash with map-side combining. Pages then meet their host's nodes, which a task
+reads once for all pages of the host. Of hosts with more pages than one in
+``HOT_HOSTS`` of all, pages are dealt out by hash and the nodes repeated, never
+more often than there are pages; there are at most ``HOT_HOSTS`` such hosts.
 
 A block is the text between two boundaries of block elements, with character
 references decoded and runs of white space as one space; ``<br>`` is white space.
 Unclosed and stray tags are handled as browsers do in the common cases (an open
-``p`` ends where a block starts, ``li`` at the next ``li``, ...).
+``p`` ends where a block starts, ``li`` at the next ``li``, ...). Parsing takes time
+in proportion to the page: below ``DEPTH`` elements belong to the one above, as in
+browsers, and where a quote in a tag is never closed, quotes count no more in the
+rest of the page.
 
 Defined cases: null or empty html gives the empty text; a page without host
-belongs to the host ""; an unclosed comment, script or style swallows the rest;
-empty tables give empty results; repeated rows each give a row; further columns
-are ignored.
+belongs to the host ""; an unclosed comment, script or style and a tag that never
+ends swallow the rest; empty tables give empty results; repeated rows each give a
+row; further columns are ignored. A node that only one page shows is neutral, so a
+table of one page is judged by its marks.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
 from .url_filters import host_of
 
-GAMMA = 0.5
+CONTENT = 0.6
+LAYOUTS = 8
 PRIOR = 20
-THRESHOLD = 0.6
-#: Nodes of all hosts' trees up to which the importances are broadcast, at some 40 bytes each.
-BROADCAST_NODES = 500_000
+NEUTRAL = 0.5
+THRESHOLD = 0.75
+DEPTH = 512
+#: Evidence of mark and weight: in the page's region; there, but doubtful; in main beside an article; doubtful on a page without region.
+REGION, REGION_DOUBTFUL, BESIDE, DOUBTFUL_ALONE, NONE = (1.0, 0.6), (THRESHOLD, 0.4), (0.65, 0.4), (0.0, 0.2), (0.0, 0.0)
+#: Hosts whose pages are dealt out, and the fewest pages worth it.
+HOT_HOSTS, HOT_PAGES = 10_000, 2000
 
 # Names of HTML elements and of what is not an article's text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe template svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meta link q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
-LEFT_OUT_TAGS = frozenset("nav footer aside form head button select dialog menu object".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEFT_OUT_TAGS = frozenset("nav footer aside head button select dialog menu object".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-LEFT_OUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promotion recommended related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+LEFT_OUT_WORDS = ADVERT_WORDS | frozenset(
+    "banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pagination pager popup recommended related respond share sharing sidebar signup social subscribe toolbar widget widgets".split()
 )
+CARD_WORDS = frozenset("card cards teaser teasers preview previews".split())
+NEUTRAL_WORDS = frozenset(
+    "main site page global top bottom left right upper lower inner outer primary secondary mobile desktop sticky fixed container wrapper wrap holder box block area region section row col column list item items group slot bar unit zone module component panel strip link links text title body form inline large small medium js sm md lg xs xl".split()
+)
+NOT_A_MARK = frozenset("has have no not non with without hide hidden show".split())
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -75,30 +102,57 @@ CLOSES = {
     "body": (frozenset(["head"]), frozenset()),
 }
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
-    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|</?[A-Za-z][^<>]*\Z",
-    re.DOTALL,
-)
+#: A comment or declaration starts, or a whole tag: /, name, attributes, and > unless it never ends.
+TAG = re.compile(r"<!--|<[!?]|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)")
+#: The same where quotes don't count.
+TAG_UNQUOTED = re.compile(r"<!--|<[!?]|<(/?)([A-Za-z][^\s/>]*)([^>]*+)(>?)")
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
-
-ARTICLE, MAIN, OTHER, LEFT_OUT = 3, 2, 1, 0
-
-
-class Element(NamedTuple):
-    tag: str
-    key: int
-    region: int
-    children: list[int]
+CLOSING = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE) for tag in RAW}
+
+# What an element says of itself.
+NOTHING, SEALED, UNLESS_WRAPPER, HEADER, DOUBTFUL, MAIN, ARTICLE, CARD = range(8)
+# Where a block lies.
+OUT, OUTSIDE, IN_MAIN, IN_ARTICLE = range(4)
+
+
+class Element:
+    __slots__ = ("tag", "key", "parent", "says", "sealed", "holds", "children", "told")
+
+    def __init__(self, tag: str, key: int, parent: Element | None, says: int):
+        self.tag, self.key, self.parent, self.says = tag, key, parent, says
+        #: Within a menu, footer, sidebar and so on, where no article is the page's.
+        self.sealed: bool = says == SEALED or parent is not None and parent.sealed
+        #: Whether the page's article or main is below.
+        self.holds = False
+        self.children: list[int] = []
+        self.told: tuple[int, bool] | None = None
+
+    def place(self) -> tuple[int, bool]:
+        """Where its text lies, and whether that is doubtful; asked once the page is read."""
+        if self.told is None:
+            chain, e = [], self
+            while e is not None and e.told is None:
+                chain.append(e)
+                e = e.parent
+            region, doubtful = e.told if e is not None else (OUTSIDE, False)
+            for e in reversed(chain):
+                if region != OUT:
+                    if e.says == SEALED or e.says == UNLESS_WRAPPER and not e.holds or e.says == HEADER and region == OUTSIDE and not e.holds:
+                        region = OUT
+                    elif e.says == ARTICLE:
+                        region, doubtful = IN_ARTICLE, False
+                    elif e.says == MAIN and region == OUTSIDE:
+                        region, doubtful = IN_MAIN, False
+                    elif e.says == DOUBTFUL and not e.holds:
+                        doubtful = True
+                e.told = region, doubtful
+        return self.told
 
 
 class Block(NamedTuple):
-    key: int
-    parent: int
-    region: int
+    element: Element
     text: str
 
 
@@ -106,105 +160,151 @@ def _key(parent: int, mark: str) -> int:
     return xxhash.xxh64_intdigest(mark, parent & (2**64 - 1)) - 2**63
 
 
-def _region(tag: str, attributes: str, above: int) -> tuple[int, str]:
-    """The region an element opens, and what marks it among its siblings."""
-    mark, region = tag, above
-    if tag in ("article", "main"):
-        region = max(above, ARTICLE if tag == "article" else MAIN)
-    left_out = tag in LEFT_OUT_TAGS or tag == "header" and above < MAIN
-    if attributes:
+def _token_says(words: set[str]) -> int:
+    """What one class or id says by its words."""
+    if not words & LEFT_OUT_WORDS or words & NOT_A_MARK:
+        return NOTHING
+    if words - LEFT_OUT_WORDS - NEUTRAL_WORDS:
+        return DOUBTFUL
+    return HEADER if words & LEFT_OUT_WORDS == {"header"} else UNLESS_WRAPPER
+
+
+def _reads(tag: str, attributes: str) -> tuple[int, str]:
+    """What an element says, and what marks it among its siblings."""
+    mark, role, tokens = tag, "", []
+    if "=" in attributes:
         for name, *values in NAMED.findall(attributes):
-            value = "".join(values)
-            name = name.lower()
+            value, name = "".join(values), name.lower()
             if name == "role":
-                left_out |= value.lower() in LEFT_OUT_ROLES
-                region = max(region, MAIN) if value.lower() == "main" else region
+                role = value.lower()
             elif value:
                 mark += f" {name}={DIGITS.sub('', value)}"
-                words = {w.lower() for w in PARTS.findall(value)} & LEFT_OUT_WORDS
-                left_out |= bool(words - {"header"} if above >= MAIN else words) and tag not in ("html", "body")
-    return (LEFT_OUT if left_out or above == LEFT_OUT else region), mark
+                if tag in HEADINGS and name == "id":
+                    continue  # an anchor
+                tokens += [{w.lower() for w in PARTS.findall(token)} for token in value.split()]
+    if tag in LEFT_OUT_TAGS or role in LEFT_OUT_ROLES:
+        return SEALED, mark
+    region = ARTICLE if tag == "article" or role == "article" else MAIN if tag == "main" or role == "main" else NOTHING
+    if region:
+        # Topics and states of an article stand in its classes too: only words of their own count.
+        if any(words <= LEFT_OUT_WORDS | NEUTRAL_WORDS and words & LEFT_OUT_WORDS - {"header", "share", "social"} for words in tokens):
+            return SEALED, mark
+        return CARD if region == ARTICLE and any(words & CARD_WORDS for words in tokens) else region, mark
+    if tag in ("html", "body"):
+        return NOTHING, mark
+    if tag == "form":
+        return UNLESS_WRAPPER, mark
+    says = {_token_says(words) for words in tokens}
+    if UNLESS_WRAPPER in says:
+        return UNLESS_WRAPPER, mark
+    if tag == "header" or HEADER in says:
+        return HEADER, mark
+    return DOUBTFUL if DOUBTFUL in says else NOTHING, mark
+
+
+def _is_advert(attributes: str) -> bool:
+    """Of an inline element, whose other words are no region's."""
+    words = ({w.lower() for w in PARTS.findall(token)} for name, *values in NAMED.findall(attributes) if name.lower() != "role" for token in "".join(values).split())
+    return any(w & ADVERT_WORDS and w <= ADVERT_WORDS | NEUTRAL_WORDS for w in words)
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
     """Blocks in page order, and (node, hash of its children) of every element with children."""
-    root = Element("", 0, OTHER, [])
+    root = Element("", 0, None, NOTHING)
     stack, blocks, shown = [root], [], []
+    #: Where in the stack each tag stands.
+    open_at: defaultdict[str, list[int]] = defaultdict(list)
     text: list[str] = []
+    deeper = 0
+    #: The advert in a line that is open, how many of its name are, and the blocks' element before it.
+    advert, nested = "", 0
+    apart: Element | None = None
 
     def flush() -> None:
         words = entities.unescape("".join(text)).split()
         text.clear()
         if words:
-            top = next(e for e in reversed(stack) if e.tag not in INLINE)
-            above = next((e for e in reversed(stack[: stack.index(top)]) if e.tag not in INLINE), root)
-            blocks.append(Block(top.key, above.key, min(e.region for e in (top, stack[-1])), " ".join(words)))
+            blocks.append(Block(apart or stack[-1], " ".join(words)))
 
     def pop(n: int) -> None:
         while len(stack) > n:
             e = stack.pop()
+            open_at[e.tag].pop()
             if e.children:
                 shown.append((e.key, xxhash.xxh64_intdigest(repr(e.children)) - 2**63))
 
-    at, end = 0, len(page)
+    at, end, pattern = 0, len(page), TAG
     while at < end:
-        found = TAG.search(page, at)
+        found = pattern.search(page, at)
         if not found:
             text.append(page[at:])
             break
         if found.start() > at:
             text.append(page[at : found.start()])
+        closing, tag, attributes, whole = found.groups()
         at = found.end()
-        closing, tag, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
-        if not tag:
+        if tag is None:
+            stop = page.find("-->", at) + 3 if found[0] == "<!--" else page.find(">", at) + 1
+            at = stop if stop > at else end
+            continue
+        if not whole:
+            if pattern is TAG_UNQUOTED:
+                break
+            at, pattern = found.start(), TAG_UNQUOTED
             continue
         tag = tag.lower()
-        inline = tag in INLINE
         if tag == "br":
             text.append(" ")
             continue
-        if not inline and text:
+        if tag in INLINE:
+            if closing and tag == advert:
+                nested -= 1
+                if not nested:
+                    flush()
+                    advert, apart = "", None
+            elif not closing and tag == advert:
+                nested += 1
+            elif not closing and not advert and "=" in attributes and tag not in VOID and _is_advert(attributes):
+                flush()
+                advert, nested, apart = tag, 1, Element(tag, _key(stack[-1].key, tag), stack[-1], SEALED)
+            continue
+        if text:
             flush()
+        advert, apart = "", None
         if closing:
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == tag:
-                    if text and stack[n].region == LEFT_OUT:
-                        flush()
-                    pop(n)
-                    break
-                if inline and stack[n].tag not in INLINE:
-                    break
+            if deeper:
+                deeper -= 1
+            elif open_at[tag]:
+                pop(open_at[tag][-1])
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
             if not attributes.endswith("/"):
+                close = CLOSING[tag].search(page, at)
                 at = close.end() if close else end
             continue
-        if not inline:
-            n = len(stack)
-            while n > 1 and stack[n - 1].tag in INLINE:
-                n -= 1
-            if stack[n - 1].tag == "p":
-                pop(n - 1)
-            if tag in CLOSES:
-                same, bounds = CLOSES[tag]
-                for n in range(len(stack) - 1, 0, -1):
-                    if stack[n].tag in bounds:
-                        break
-                    if stack[n].tag in same:
-                        pop(n)
-                        break
+        if stack[-1].tag == "p" and not deeper:
+            pop(len(stack) - 1)
+        if tag in CLOSES and not deeper:
+            same, bounds = CLOSES[tag]
+            nearest = max((open_at[t][-1] for t in same if open_at[t]), default=0)
+            if nearest > max((open_at[t][-1] for t in bounds if open_at[t]), default=0):
+                pop(nearest)
         if tag in VOID:
             continue
-        region, mark = _region(tag, attributes, stack[-1].region)
-        if inline and region == LEFT_OUT != stack[-1].region and text:
-            flush()
-        if inline:
-            stack.append(Element(tag, stack[-1].key, region, []))
-        else:
-            key = _key(stack[-1].key, mark)
-            stack[-1].children.append(key)
-            stack.append(Element(tag, key, region, []))
+        if len(stack) > DEPTH:
+            deeper += 1
+            continue
+        above = stack[-1]
+        says, mark = _reads(tag, attributes)
+        key = _key(above.key, mark)
+        above.children.append(key)
+        element = Element(tag, key, above, says)
+        if says in (ARTICLE, MAIN) and not above.sealed:
+            e = above
+            while e is not None and not e.holds:
+                e.holds, e = True, e.parent
+        open_at[tag].append(len(stack))
+        stack.append(element)
     if text:
         flush()
     pop(1)
@@ -219,7 +319,7 @@ def _statistics(pages: DataFrame) -> DataFrame:
             seen: Counter[tuple] = Counter()
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 blocks, shown = parse(page)
-                seen.update((host, x.key, "content", xxhash.xxh64_intdigest(x.text.encode("utf-8", "surrogatepass")) - 2**63) for x in blocks)
+                seen.update((host, x.element.key, "content", xxhash.xxh64_intdigest(x.text.encode("utf-8", "surrogatepass")) - 2**63) for x in blocks)
                 seen.update((host, node, "presentation", children) for node, children in shown)
             rows = [(*k, n) for k, n in seen.items()]
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -229,45 +329,93 @@ def _statistics(pages: DataFrame) -> DataFrame:
     return counted.groupBy("host", "node", "kind", "hash").agg(F.sum("n").alias("n"))
 
 
+def _drawn(own: Column, usual: Column | float) -> Column:
+    """Towards ``usual``, by PRIOR against as many observations as there are different ones."""
+    return (F.col("different") * own + PRIOR * F.lit(usual)) / (F.col("different") + PRIOR)
+
+
 def importances(pages: DataFrame) -> DataFrame:
-    """host and nodes: a map from node to the importance of its content, and from ~node to that of its presentation."""
+    """host, node and importance: of its content, and as ~node of its presentation. Nodes that are neutral are left out."""
     counted = cut(_statistics(pages))
-    entropy = [F.sum("n").alias("seen"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("bits")]
-    relative = F.when(F.col("seen") > 1, F.col("bits") / F.log("seen")).otherwise(F.lit(1.0))
-    everywhere = counted.groupBy("node", "kind", "hash").agg(F.sum("n").alias("n")).groupBy("node", "kind").agg(*entropy).select("node", "kind", relative.alias("usual"))
+    entropy = [F.sum("n").alias("seen"), F.count(F.lit(1)).alias("different"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("bits")]
+    most = F.when(F.col("kind") == "content", F.log("seen")).otherwise(F.least(F.log("seen"), F.lit(math.log(LAYOUTS))))
+    relative = F.when(F.col("seen") > 1, F.least(F.lit(1.0), F.col("bits") / most))
+    everywhere = counted.groupBy("node", "kind", "hash").agg(F.sum("n").alias("n")).groupBy("node", "kind").agg(*entropy)
+    everywhere = everywhere.filter("seen > 1").select("node", "kind", _drawn(relative, NEUTRAL).alias("usual"))
     here = counted.groupBy("host", "node", "kind").agg(*entropy).withColumn("own", relative)
-    drawn = here.join(everywhere, ["node", "kind"]).withColumn("importance", (F.col("seen") * F.col("own") + PRIOR * F.col("usual")) / (F.col("seen") + PRIOR))
+    drawn = here.join(everywhere, ["node", "kind"]).withColumn("importance", _drawn(F.coalesce("own", "usual"), F.col("usual")))
     key = F.when(F.col("kind") == "content", F.col("node")).otherwise(F.bitwise_not("node"))
-    return drawn.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("node"), "importance"))).alias("nodes"))
+    return drawn.select("host", key.alias("node"), "importance")
 
 
-def main_text(page: str, nodes: dict[int, float]) -> str:
-    blocks, _ = parse(page)
-    best = max((b.region for b in blocks), default=LEFT_OUT)
-    if best == OTHER:
-        taken = [b for b in blocks if b.region == OTHER and GAMMA * nodes.get(b.key, 1.0) + (1 - GAMMA) * nodes.get(~b.parent, 1.0) >= THRESHOLD]
-    else:
-        taken = [b for b in blocks if b.region == best != LEFT_OUT]
-    return "\n".join(b.text for b in taken)
+def branch(element: Element, nodes: dict[int, float]) -> float:
+    """Importance of a block's branch by the tree alone."""
+    above = element.parent.key if element.parent else 0
+    return CONTENT * nodes.get(element.key, NEUTRAL) + (1 - CONTENT) * nodes.get(~above, NEUTRAL)
 
 
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(page: str, nodes: dict[int, float], marks: bool = True) -> str:
+    """The blocks that stay; without ``marks`` by the tree alone."""
+    blocks, _ = parse(page)
+    judged: list[tuple[Block, tuple[float, float]]] = [(b, NONE) for b in blocks]
+    if marks:
+        places = [b.element.place() for b in blocks]
+        size = [0, 0, 0, 0]
+        for b, (region, _) in zip(blocks, places):
+            size[region] += len(b.text)
+        wanted = next((r for r in (IN_ARTICLE, IN_MAIN) if size[r]), OUTSIDE)
+        if size[IN_MAIN] > size[IN_ARTICLE]:
+            wanted = IN_MAIN
+        judged = []
+        for b, (region, doubtful) in zip(blocks, places):
+            if region == OUT or region == OUTSIDE != wanted:
+                continue
+            if wanted == OUTSIDE:
+                judged.append((b, DOUBTFUL_ALONE if doubtful else NONE))
+            elif region < wanted:
+                judged.append((b, BESIDE))
+            else:
+                judged.append((b, REGION_DOUBTFUL if doubtful else REGION))
+    tree = [branch(b.element, nodes) for b, _ in judged]
+    best = max(tree, default=1.0)
+    return "\n".join(b.text for (b, (mark, weight)), t in zip(judged, tree) if (1 - weight) * t / best + weight * mark >= THRESHOLD)
+
+
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", marks: bool = True) -> DataFrame:
     """id_col, url_col, text and n_chars of every page."""
     pages = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), host_of(f"`{url_col}`").alias("host"), text_or_empty(f"`{html_col}`").alias("html"))
-    trees = cut(importances(pages))
-    size = trees.agg(F.sum(F.size("nodes"))).first()[0] or 0
-    told = pages.join(F.broadcast(trees) if size <= BROADCAST_NODES else trees, "host", "left")
+    nodes = cut(importances(pages))
+    counts = cut(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
+    total = counts.agg(F.sum("pages")).first()[0] or 0
+    many = max(HOT_PAGES, total // HOT_HOSTS + 1)
+    # At most HOT_HOSTS rows: each host has more than its share of all pages.
+    hot = F.broadcast(counts.filter(F.col("pages") >= many))
+    own = nodes.join(hot, "host").groupBy("host", "pages").agg(F.count(F.lit(1)).alias("nodes"))
+    dealt = F.broadcast(cut(own.select("host", F.ceil(F.col("pages") / F.greatest(F.lit(many), F.col("nodes"))).cast("int").alias("parts"))))
+    parts = F.coalesce("parts", F.lit(1))
+
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in pages.schema if f.name != "host"}
+    first = nodes.join(dealt, "host", "left").select("host", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "importance", *empty.values())
+    then = pages.join(dealt, "host", "left").select("host", F.pmod(F.xxhash64("id", "url", "html"), parts).cast("int").alias("part"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("importance"), *empty)
+    # Null nodes last: behind all nodes of the host come its pages.
+    met = first.unionByName(then).repartition("host", "part").sortWithinPartitions("host", "part", F.col("node").asc_nulls_last())
     kind = pages.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, {}
         for b in batches:
-            # The maps of a batch repeat for its hosts; each is read once.
-            hosts, own = b.column(2).to_pylist(), {}
-            for i, host in enumerate(hosts):
-                if host not in own:
-                    own[host] = dict(b.column(4)[i].as_py() or [])
-            texts = [main_text(page, own[host]) for host, page in zip(hosts, b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["id", "url", "text", "n_chars"])
-
-    done = told.select("id", "url", "host", "html", "nodes").mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
+            hosts, at, value, htmls = (b.column(c).to_pylist() for c in ("host", "node", "importance", "html"))
+            rows, texts = [], []
+            for i, (host, node) in enumerate(zip(hosts, at)):
+                if host != last:
+                    last, own = host, {}
+                if node is not None:
+                    own[node] = value[i]
+                else:
+                    rows.append(i)
+                    texts.append(main_text(htmls[i], own, marks))
+            some = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column("id"), some.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["id", "url", "text", "n_chars"])
+
+    done = met.mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
