@@ -74,7 +74,7 @@ DEPTH = 512
 #: Evidence of mark and weight: in the page's region; there, but doubtful; in main beside an article; doubtful on a page without region.
 REGION, REGION_DOUBTFUL, BESIDE, DOUBTFUL_ALONE, NONE = (1.0, 0.6), (THRESHOLD, 0.4), (0.65, 0.4), (0.0, 0.2), (0.0, 0.0)
 #: Hosts whose pages are dealt out, and the fewest pages worth it.
-HOT_HOSTS, HOT_PAGES = 10_000, 2000
+HOT_HOSTS, HOT_PAGES = 10_000, 256
 
 # Names of HTML elements and of what is not an article's text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
