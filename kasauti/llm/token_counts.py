@@ -7,10 +7,12 @@ has as many tokens as symbols at first less the merges done; no identifier is
 looked up or emitted.
 
 The vocabulary is a tokenizers file of a BPE model with word ends. Its own rules
-hold: special strings in a text count one each and part the text, the rest is
-composed (NFC) and lower-cased character by character, and the file's pattern
-gives the words. All of these act within what stands between two spaces, so a
-worker counts each distinct chunk once and keeps a bounded table of counts.
+hold: special strings in a text count one each and part the text; the rest is
+normalised and split into words by the library that reads the file, as its tables
+of characters are its own. Only what is plain ASCII is lower-cased and matched with
+the file's pattern here, where no table can differ. All of these act within what
+stands between two spaces, so a worker counts each distinct chunk once and keeps a
+bounded table of counts.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); texts are counted
 whole; empty tables give empty results; repeated rows each give a row; columns
@@ -21,7 +23,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from string import punctuation
@@ -29,12 +30,15 @@ from string import punctuation
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .byte_bpe import ALPHABET
 from .common import per_text
 
 #: Chunks and words whose counts a worker keeps; longer ones than KEPT_CHARS are counted anew.
 KEPT, KEPT_CHARS = 400_000, 64
+#: What only the library may normalise and split.
+ODD = re.compile(r"[^\t\n\r -~]")
 
 
 def merge_count(symbols: list[int], pairs: dict[int, int]) -> int:
@@ -81,9 +85,11 @@ class Counter:
         merges = [m if isinstance(m, list) else m.split(" ", 1) for m in spec["model"]["merges"]]
         self.pairs = {vocabulary[a] << 20 | vocabulary[b]: rank << 20 | vocabulary[a + b] for rank, (a, b) in enumerate(merges)}
         end = spec["model"]["end_of_word_suffix"] or ""
-        #: Symbol of each byte within a word and at its end; -1 for what the model, having no unknown token, drops.
-        self.inner = [vocabulary.get(c, -1) for c in ALPHABET]
-        self.last = [vocabulary.get(c + end, -1) for c in ALPHABET]
+        #: Symbol of each character of the byte alphabet within a word and at its end; -1 for what the model, having no unknown token, drops.
+        self.inner = {c: vocabulary.get(c, -1) for c in ALPHABET}
+        self.last = {c: vocabulary.get(c + end, -1) for c in ALPHABET}
+        library = Tokenizer.from_file(path)
+        self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(splits[0]["pattern"]["Regex"])
         specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
@@ -92,11 +98,11 @@ class Counter:
         self.known: dict[str, int] = {}
 
     def word(self, word: str) -> int:
+        """Tokens of a word spelt in the byte alphabet."""
         n = self.known.get(word)
         if n is None:
-            raw = word.encode()
-            symbols = [self.inner[b] for b in raw[:-1]]
-            symbols.append(self.last[raw[-1]])
+            symbols = [self.inner[c] for c in word[:-1]]
+            symbols.append(self.last[word[-1]])
             if -1 in symbols:
                 symbols = [s for s in symbols if s >= 0]
             n = len(symbols) - merge_count(symbols, self.pairs)
@@ -107,10 +113,9 @@ class Counter:
         return n
 
     def _words(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
-        else:
-            text = text.lower()
+        if ODD.search(text):
+            return [word for word, _ in self.split(self.normalise(text))]
+        text = text.lower()
         bare = text.rstrip(punctuation)
         if bare.isalpha():  # as most chunks are; the pattern would give the same
             return [bare] if len(bare) == len(text) else [bare, text[len(bare) :]]

@@ -41,6 +41,13 @@ def test_counts_as_library(text):
     assert COUNTER.count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
 
 
+def test_counts_of_every_code_point():
+    """Between letters, where it parts a word, joins it, is lower-cased or composed."""
+    texts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    expected = [len(e.ids) for e in LIBRARY.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [f"U+{ord(t[1]):04X}" for t, n in zip(texts, expected) if COUNTER.count(t) != n] == []
+
+
 def test_tables_that_overflow(monkeypatch):
     monkeypatch.setattr(byte_bpe, "KEPT_CHUNKS", 3)
     monkeypatch.setattr(byte_bpe, "KEPT_CHARS", 4)
