@@ -64,12 +64,14 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = hot_lines.groupBy(*key, "id").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("last_id"))
     hot_drops = lines.join(F.broadcast(told.filter(F.col("n_docs") >= min_docs)), key).filter(~F.col("id").eqNullSafe(F.col("last_id")))
 
-    by_key = Window.partitionBy(*key)
+    # In order of hash, document and position; what is kept of a key's lines before the current one is its first document.
+    ordered = Window.partitionBy(*key).orderBy(F.col("id").desc_nulls_last(), "pos")
+    seen = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cold = lines.join(F.broadcast(hot), key, "left_anti").repartitionByRange(partitions(df), *key)
+    cold = cold.withColumns({"first_id": F.first("id").over(seen), "next_doc": (F.row_number().over(ordered) > 1) & ~F.col("id").eqNullSafe(F.lag("id").over(ordered))})
     cold_drops = (
-        cold.withColumn("nth_doc", F.dense_rank().over(by_key.orderBy(F.col("id").desc_nulls_last())))
-        .withColumn("n_docs", F.max("nth_doc").over(by_key))
-        .filter((F.col("n_docs") >= min_docs) & (F.col("nth_doc") > 1))
+        cold.withColumn("n_docs", 1 + F.sum(F.col("next_doc").cast("int")).over(Window.partitionBy(*key)))
+        .filter((F.col("n_docs") >= min_docs) & ~F.col("id").eqNullSafe(F.col("first_id")))
     )
 
     place = ["id", "mark", "n_lines", "pos"]
