@@ -5,28 +5,43 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import held_out, text_or_empty
 
+#: Bytes of all texts of one label in a sample.
+TOTAL_BYTES = 16 << 20
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[str], list[int]]:
+
+def training_rows(
+    docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text", total_bytes: int = TOTAL_BYTES
+) -> tuple[list[str], list[str], list[int]]:
     """Texts of label 0 and of label 1, and how many rows have each label.
 
-    A bounded sample: at most ``per_class`` rows of each label, those whose ids
-    hash lowest, of texts up to ``max_bytes``; never a held-out row. Rows without
-    an id or a label of 0 or 1 teach nothing; a document with several labels
-    counts with the smallest.
+    A bounded sample: of each label at most ``per_class`` rows of ``docs``, those
+    whose ids hash lowest, of texts up to ``max_bytes`` and ``total_bytes`` together;
+    never a held-out row. Rows without an id or a label of 0 or 1 teach nothing; a
+    document with several labels counts with the smallest.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL")
     known = known.filter(~held_out("id")).groupBy("id").agg(F.min("label").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = [F.xxhash64("id"), F.col("id")]
-    ids = [known.filter(F.col("label") == v).orderBy(*order).limit(2 * per_class) for v in (0, 1)]
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("text")).filter(F.octet_length("text") <= max_bytes)
-    # Of at most 4 * per_class ids; the sample's texts are the only ones that move.
-    some = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-    found = [[r["text"] for r in some.filter(F.col("label") == v).orderBy(*order).limit(per_class).select("text").collect()] for v in (0, 1)]
-    return found[0], found[1], [counts.get(0, 0), counts.get(1, 0)]
+    met = known.join(texts.groupBy("id").agg(F.max(F.octet_length("text")).alias("size")), "id")
+    lowest = [met.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(per_class) for v in (0, 1)]
+    chosen, left = [], [total_bytes, total_bytes]
+    for r in lowest[0].unionByName(lowest[1]).select("id", "label", "size", F.xxhash64("id").alias("hash")).collect():
+        chosen.append((r["hash"], r["id"], r["label"], r["size"]))
+    rows = []
+    for n, (_, i, label, size) in enumerate(sorted(chosen)):
+        left[label] -= size
+        if left[label] >= 0:
+            rows.append((n, i, label))
+    sample = docs.sparkSession.createDataFrame(rows, StructType([StructField("nth", LongType()), known.schema["id"], StructField("label", LongType())]))
+    # Of at most 2 * per_class ids; the sample's texts are the only ones that move.
+    found = texts.join(F.broadcast(sample), "id").groupBy("nth", "label").agg(F.min("text").alias("text")).collect()
+    by_label = [[r["text"] for r in sorted(found, key=lambda r: r["nth"]) if r["label"] == v] for v in (0, 1)]
+    return by_label[0], by_label[1], [counts.get(0, 0), counts.get(1, 0)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
