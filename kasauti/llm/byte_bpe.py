@@ -172,7 +172,10 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", keep: l
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep``, n_tokens, ids_sha256 and decoded_sha256: :func:`encode` and :func:`decode` in one pass, of which digests stay."""
+    """``keep``, n_tokens, ids_sha256, decoded_sha256 and n_split: :func:`encode` and :func:`decode` in one pass, of which digests stay.
+
+    n_split is how many tokens begin within a character, by their offsets.
+    """
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
 
     def run(texts: list[str]) -> dict[str, pa.Array]:
@@ -182,6 +185,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", k
             "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
             "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
             "decoded_sha256": pa.array([hashlib.sha256(own.decode(i)).hexdigest() for i in ids]),
+            "n_split": pa.array([int((starts[1:] < ends[:-1]).sum()) for starts, ends in map(own.offsets, texts, ids)], pa.int64()),
         }
 
-    return per_text(df, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", text_col, keep)
+    return per_text(df, run, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long", text_col, keep)
