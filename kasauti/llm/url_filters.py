@@ -6,8 +6,9 @@ subdomains are one interval of keys. The urls of a partition are sorted by key
 and swept against the sorted rules; the sweep keeps a stack of the rules whose
 intervals hold the current key, outermost first. Of the rules on the stack whose
 path starts the url's path, the longest wins (host and path together; of equally
-long ones the first in order of host and path). Nothing is shuffled, so a hot
-host costs no more than its rows.
+long ones the first in alphabetical order, and of rules of one host and path that
+contradict each other the one that blocks). Nothing is shuffled, so a hot host
+costs no more than its rows.
 
 Rules are a parameter of the call. They travel to the tasks in blocks of at most
 ``BLOCK_RULES``; with more rules the sweep runs once for each block and keeps the
@@ -89,7 +90,7 @@ class Sweep:
         found = None
         for _, rules in self.stack:
             hit = next((r for r in rules if path.startswith(r.path)), None)
-            if hit and (found is None or (-len(hit.name), hit.host, hit.path) < (-len(found.name), found.host, found.path)):
+            if hit and (found is None or (-len(hit.name), hit.name) < (-len(found.name), found.name)):
                 found = hit
         return found
 
@@ -99,7 +100,9 @@ def filter_urls(df: DataFrame, rules: list[Rule], default: str = "allow", id_col
     out = df.select(F.col(f"`{id_col}`").alias("__id"), host_of(f"`{url_col}`").alias("host"), path_of(f"`{url_col}`").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels = F.reverse(F.split("host", r"\."))
     out = out.withColumn("__key", F.concat(F.array_join(labels, "."), F.lit(".")))
-    ordered = sorted(set(rules), key=lambda r: (host_key(r.host), r.path, r.verdict))
+    # One rule for each host and path: "block" comes behind "allow".
+    single = {(r.host, r.path): r for r in sorted(rules)}
+    ordered = sorted(single.values(), key=lambda r: (host_key(r.host), r.path))
     blocks = [ordered[i : i + BLOCK_RULES] for i in range(0, len(ordered), BLOCK_RULES)]
     schema = out.schema
     for block in blocks:

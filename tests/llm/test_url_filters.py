@@ -5,7 +5,7 @@ from kasauti.llm import url_filters as u
 
 def best(rules, host, path):
     fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-    return min(fits, key=lambda r: (-len(r.name), r.host, r.path), default=None)
+    return min(fits, key=lambda r: (-len(r.name), r.name), default=None)
 
 
 def split(url):
@@ -51,3 +51,13 @@ def test_empty_and_no_rules(spark):
 
 def test_rule_parsing():
     assert u.rule("block", "com/en/") == u.Rule("block", "com", "/en/") and u.rule("allow", "net").path == ""
+
+
+def test_rules_that_contradict_or_tie(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "http://a.a.a/xxxx")], "page_id long, url string")
+    rules = [u.Rule("allow", "a", "/x"), u.Rule("block", "a", "/x"), u.Rule("allow", "a", "/x")]
+    tie = [u.Rule("allow", "a.a.a", "/x"), u.Rule("block", "a.a", "/xxx"), u.Rule("allow", "a", "/")]
+    for block in (100_000, 1):
+        monkeypatch.setattr(u, "BLOCK_RULES", block)
+        assert [(r["rule"], r["verdict"]) for r in u.filter_urls(df, rules).collect()] == [("a/x", "block")]
+        assert [(r["rule"], r["verdict"]) for r in u.filter_urls(df, tie).collect()] == [("a.a.a/x", "allow")]
