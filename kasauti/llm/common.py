@@ -23,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a folder of
-    this machine is taken only where that setting is missing (tests).
+    The folder is the one the cluster names in spark.checkpoint.dir; only a session
+    within one process (tests) may go without.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kasauti-checkpoint-"))
     return df.checkpoint(eager=True)
 

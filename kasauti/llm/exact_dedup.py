@@ -15,9 +15,10 @@ leaf and digest) meets a digest at most once for each leaf.
 
 Defined cases: a null text counts as empty; a null identifier sorts last (a
 group of nothing else has a null keep_id); of rows that repeat both text and
-identifier exactly one stays, that of the lowest leaf; an empty table gives an
-empty result; further columns are ignored by :func:`exact_dedup` and kept by
-:func:`drop_copies`.
+identifier exactly one stays, that of the lowest leaf and there the one whose raw
+text hashes lowest (rows that agree in that too are alike but for further columns,
+and any of them stays); an empty table gives an empty result; further columns are
+ignored by :func:`exact_dedup` and kept by :func:`drop_copies`.
 """
 
 from __future__ import annotations
@@ -192,10 +193,19 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ``id_col`` holds integers. Texts are equal when :func:`normalised` makes
     them identical; SHA-256, length and XXH64 must all agree.
     """
+    return _judged(df, id_col, text_col).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def raw_hash(text: str | Column) -> Column:
+    return F.xxhash64(text_or_empty(text))
+
+
+def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same with id for id_col, and raw, a hash of the text as it is."""
     text = normalised(f"`{text_col}`")
     digests = cut(
-        df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
-        .select("id", F.spark_partition_id().alias("leaf"), F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("xx"))
+        df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), raw_hash(f"`{text_col}`").alias("raw"))
+        .select("id", "raw", F.spark_partition_id().alias("leaf"), F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("xx"))
     )
     leaves = max(2, digests.rdd.getNumPartitions(), partitions(df))
     bits = min(16, math.ceil(math.log2(leaves)))
@@ -206,12 +216,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     answers = _answers(runs, bits)
     asked = digests.groupBy("leaf", *KEYS).agg(F.count(F.lit(1)).alias("n")).drop("n")
     told = asked.join(answers, KEYS)
-    first = F.row_number().over(Window.partitionBy("leaf", *KEYS).orderBy(F.col("id").asc_nulls_last()))
+    first = F.row_number().over(Window.partitionBy("leaf", *KEYS).orderBy(F.col("id").asc_nulls_last(), "raw"))
     return (
         digests.withColumn("nth", first)
         .join(told, ["leaf", *KEYS])
         .select(
-            F.col("id").alias(id_col),
+            "id",
+            "raw",
             "keep_id",
             "group_size",
             ((F.col("nth") == 1) & (F.col("leaf") == F.col("keep_leaf"))).alias("kept"),
@@ -222,9 +233,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that :func:`exact_dedup` keeps, with all their columns."""
-    stay = exact_dedup(df, id_col, text_col).filter("kept").select(F.col(f"`{id_col}`").alias("__id"), F.col("text_sha256").alias("__sha"))
-    # Never null, and said so: else the join would compute it once more to rule nulls out.
-    return keep_rows(df, stay, id_col, F.coalesce(F.sha2(normalised(f"`{text_col}`"), 256), F.lit("")))
+    stay = _judged(df, id_col, text_col).filter("kept").select(F.col("id").alias("__id"), F.concat_ws(" ", F.hex("raw"), "text_sha256").alias("__sha"))
+    return keep_rows(df, stay, id_col, F.concat_ws(" ", F.hex(raw_hash(f"`{text_col}`")), F.sha2(normalised(f"`{text_col}`"), 256)))
 
 
 def keep_rows(df: DataFrame, stay: DataFrame, id_col: str, mark: Column) -> DataFrame:

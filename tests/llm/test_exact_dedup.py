@@ -48,3 +48,12 @@ def test_empty_and_drop(spark):
     assert kept.columns == docs.columns
     assert kept.count() == len(expected(odd.ODD))
     assert e.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_and_equal_text_that_look_different(spark):
+    rows = [(7, "a  b"), (7, "a b"), (7, "a\tb"), (9, "a b")]
+    for parts in (1, 3):
+        docs = odd.documents(spark, rows).coalesce(1).repartition(parts)
+        assert [r["doc_id"] for r in e.drop_copies(docs).collect()] == [7]
+    one = {e.drop_copies(odd.documents(spark, rows[k:3] + rows[:k]).coalesce(1)).first()["text"] for k in range(3)}
+    assert len(one) == 1
