@@ -12,8 +12,8 @@ from ..sources import tables
 from ..sources.tables import CTE_ATTACKS, CTE_CLAIMS, CTE_VERIFIED, with_ctes
 from .verification import verified
 
-#: Numbers of a vector that the SQL takes; the queries take all.
-DIMS = 8
+#: Numbers of an embedding.
+DIMS = 64
 
 
 def attack_similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ from ..sources.tables import CTE_ATTACKS, CTE_CLAIMS, CTE_VERIFIED, with_ctes
 from .graphs import FEATURED, cosine_sql
 from .verification import verified
 
-#: Numbers of a vector that the SQL takes; the queries take all.
-DIMS = 8
+#: Numbers of an embedding.
+DIMS = 64
 
 
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,19 +115,19 @@ ORACLES = {
             CAST(coalesce(sum(CASE WHEN result = 'applied' AND writes = 'claim' THEN length(t) WHEN result = 'applied' AND writes = 'trigger' THEN length(t) + 1 + length(claim) END), 0) AS BIGINT) AS claim_chars,
             CAST(coalesce(sum(CASE WHEN result = 'applied' AND writes = 'evidence' THEN length(t) END), 0) AS BIGINT) AS evidence_chars FROM x GROUP BY ALL""",
     ),
-    "sub_question_counts": r"""WITH l AS (SELECT role, conv_id, CASE WHEN conv_id % 2 = 0 THEN 2 ELSE least(4, len(list_filter(list_transform(string_split('1. ' || role || chr(10) || '- ab' || chr(10) || '* ' || substr(text, 1, 20), chr(10)),
+    "sub_question_counts": r"""WITH l AS (SELECT role, conv_id, CASE WHEN conv_id % 2 = 0 THEN 2 ELSE least(4, len(list_filter(list_transform(string_split('1. ' || role || chr(10) || '- ab' || chr(10) || '* ' || text, chr(10)),
             lambda x: trim(regexp_replace(x, '^[\d\-*\s.]+', ''))), lambda x: length(x) > 3))) END AS questions FROM conversations)
         SELECT role, questions, count(*) AS n FROM l GROUP BY ALL""",
     "records_with_source": with_ctes(CTE_VERIFIED, CTE_CLAIMS, then="""SELECT CASE WHEN c.row_id IS NULL THEN 'missing_source_row' ELSE 'found' END AS result, coalesce(c.label, 'NONE') AS label, count(*) AS n
         FROM outcomes o LEFT JOIN claims c USING (row_id) GROUP BY ALL"""),
-    "embedding_mean_pool": f"""SELECT label, CAST(dim AS INT) AS dim, round(avg(embedding[dim + 1]::DOUBLE), 5) AS value FROM embeddings, range({DIMS}) r(dim) WHERE vec_id % 3 <> 0 GROUP BY label, dim""",
+    "embedding_mean_pool": f"""SELECT label, CAST(dim AS INT) AS dim, round(avg(embedding[dim + 1]::DOUBLE), 5) AS value FROM embeddings, range({DIMS}) r(dim) GROUP BY label, dim""",
     "exemplar_pair_state": with_ctes(CTE_ATTACKS, FEATURED, "p AS (SELECT a.attack_idx AS target, b.attack_idx AS candidate, a.f AS x, b.f AS y, m.family = n.family AS fam, m.arm = n.arm AS arm, m.injected AS inj FROM f a JOIN f b ON a.attack_idx <> b.attack_idx JOIN attacks m ON m.attack_idx = a.attack_idx JOIN attacks n ON n.attack_idx = b.attack_idx)",
         f"s AS (SELECT *, {cosine_sql('x[1:12]', 'y[1:12]')} AS sim FROM p)",
         then="SELECT target, candidate, 34 AS dims, round(list_sum(x[1:12]) + list_sum(y) + sim + 2 * fam::INT + arm::INT + inj::INT, 6) AS total, round(sim, 6) AS similarity FROM s"),
     "state_ablation": "SELECT vec_id, round(list_sum(embedding[49:]::DOUBLE[]), 5) AS total, 48 + len(list_filter(embedding[49:], lambda x: x = 0)) AS zeros FROM embeddings",
-    "augmented_state": with_ctes(CTE_VERIFIED, FEATURED, f"""o AS (SELECT row_id, count(*) AS tried, count(*) FILTER (gated_flip) AS flips, coalesce(sum(list_sum(f.f[1:{DIMS}])) FILTER (NOT gated_flip), 0) / greatest(count(*) FILTER (NOT gated_flip), 1) AS rest
+    "augmented_state": with_ctes(CTE_VERIFIED, FEATURED, f"""o AS (SELECT row_id, count(*) AS tried, count(*) FILTER (gated_flip) AS flips, coalesce(sum(list_sum(f.f)) FILTER (NOT gated_flip), 0) / greatest(count(*) FILTER (NOT gated_flip), 1) AS rest
         FROM verified JOIN f USING (attack_idx) WHERE NOT baseline_failed GROUP BY row_id)""",
-        then=f"SELECT row_id, {2 + 2 * DIMS} AS dims, round(tried + flips + list_sum(embedding[1:{DIMS}]::DOUBLE[]) + rest, 5) AS total FROM o JOIN embeddings ON vec_id = row_id"),
+        then=f"SELECT row_id, 82 AS dims, round(tried + flips + list_sum(embedding::DOUBLE[]) + rest, 5) AS total FROM o JOIN embeddings ON vec_id = row_id"),
     "random_exemplars": f"""SELECT a.t::INT AS target, b.e::INT AS exemplar FROM range({len(ATTACKS)}) a(t) JOIN range({len(ATTACKS)}) b(e) ON t <> e
         QUALIFY row_number() OVER (PARTITION BY t ORDER BY md5('42:' || t || ':' || e)) <= 8""",
     "epsilon_grid": with_ctes(CTE_VERIFIED, "s AS (SELECT k AS setting, round(avg(CAST((fluency >= k) = meaning_preserved AS INT)), 6) AS score FROM verified, range(1, 6) r(k) GROUP BY k)",

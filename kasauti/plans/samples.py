@@ -57,7 +57,7 @@ ORACLES = {
     "five_fold_ntile": with_ctes(CTE_VERIFIED, VALID, then="SELECT row_id, CAST(ntile(5) OVER (ORDER BY md5('42:' || row_id || ':split'), row_id) AS INT) AS fold FROM valid"),
     "domain_label_cube": with_ctes(CTE_CLAIMS, "c AS (SELECT domain, coalesce(label, 'NONE') AS label FROM claims)",
         then="SELECT coalesce(domain, 'TOTAL') AS domain, coalesce(label, 'TOTAL') AS label, count(*) AS n FROM c GROUP BY CUBE (domain, label)"),
-    "bootstrap_ci": with_ctes(CTE_VERIFIED, "hits AS (SELECT row_id, max(CAST(gated_flip AS DOUBLE)) AS hit FROM verified WHERE NOT baseline_failed AND row_id % 10 = 0 GROUP BY row_id)", NUMBERED.format("hits"),
+    "bootstrap_ci": with_ctes(CTE_VERIFIED, "hits AS (SELECT row_id, max(CAST(gated_flip AS DOUBLE)) AS hit FROM verified WHERE NOT baseline_failed GROUP BY row_id)", NUMBERED.format("hits"),
         """picks AS (SELECT draw, 1 + ('0x' || substr(md5('42:' || draw || ':' || place), 1, 8))::BIGINT % total AS nth
             FROM (SELECT count(*) AS total FROM hits), range(200) d(draw), LATERAL (SELECT unnest(range(1, total + 1)) AS place) p)""",
         "means AS (SELECT draw, avg(hit) AS mean FROM picks JOIN numbered USING (nth) JOIN hits USING (row_id) GROUP BY draw)",

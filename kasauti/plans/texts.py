@@ -105,7 +105,7 @@ ORACLES = {
         p AS (SELECT doc_id, item_id, list_distinct({TOKENS.format(x='d.text')}) AS a, list_distinct({TOKENS.format(x='b.text')}) AS b
             FROM documents d, n, benchmark b WHERE d.doc_id % n.n = b.item_id)
         SELECT doc_id, item_id, round({JACCARD.format(a='a', b='b')}, 6) AS jaccard FROM p""",
-    "char_ngram_fscore": with_ctes(CTE_CLAIMS, "cut AS (SELECT row_id, substr(claim, 1, 60) AS a, substr(evidence, 1, 60) AS b FROM claims)", *fscore_ctes("cut", "row_id"), then="SELECT row_id, round(char_f, 6) AS char_f FROM scored"),
+    "char_ngram_fscore": with_ctes(CTE_CLAIMS, "cut AS (SELECT row_id, claim AS a, evidence AS b FROM claims)", *fscore_ctes("cut", "row_id"), then="SELECT row_id, round(char_f, 6) AS char_f FROM scored"),
     "orthographic_gate": f"""WITH d AS (SELECT lang, coalesce(text, '') AS t, string_split(coalesce(text, ''), '') AS l FROM documents)
         SELECT lang, {orthography_sql('t', 'l')} AS verdict, count(*) AS n FROM d GROUP BY ALL""",
     "deterministic_gate_pass_rate": with_ctes(

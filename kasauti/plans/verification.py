@@ -218,7 +218,7 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY attack_id ORDER BY flipped DESC, row_id) = 1"""),
     "attack_filter": with_ctes(CTE_VERIFIED, f"c AS ({COUNTS.format(keys='attack_id, arm, family')})",
         then="SELECT attack_id, arm, family, round(flips_raw / nullif(eligible, 0), 6) AS raw_asr, round(flips_gated / nullif(gated_eligible, 0), 6) AS gated_asr FROM c WHERE arm = 'Rule'"),
-    "alias_label_normalise": r"""WITH raw AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' || substr(text, 1, 60) || chr(160) || ' ' ELSE substr(text, 1, 80) END AS claim,
+    "alias_label_normalise": r"""WITH raw AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' || text || chr(160) || ' ' ELSE text END AS claim,
             CASE WHEN quality = 1 THEN 'SUP' WHEN toxic = 1 THEN 'NEI' WHEN quality = 0 THEN 'REF' ELSE '' END AS label,
             CASE WHEN lang = 'en' THEN 'hi' WHEN lang = 'fr' THEN 'te' WHEN lang LIKE 'hi%' THEN 'hi' END AS language
         FROM documents LEFT JOIN labels USING (doc_id)),
