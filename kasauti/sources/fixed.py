@@ -95,5 +95,8 @@ LEXICON = [
     ("in", ["inn", "i n"], "typo"),
     ("are", ["be", "were"], "adjective"),
     ("was", ["is", "were"], "adjective"),
+    ("was", ["were", "had been"], "adjective"),
+    ("of", ["Off", "Ofer", "Oven"], "entity"),
+    ("is", ["Isle", "Is"], "entity"),
 ]
 STOPWORDS = ["the", "and"]

@@ -1,5 +1,6 @@
 """Operators on small tables whose results are known."""
 
+import re
 import math
 
 from hypothesis import HealthCheck, given, settings
@@ -44,6 +45,32 @@ def test_homoglyph_invisible_omission(spark):
     assert got[3]["o"] in ("born 1998, died", "born (in May) , died") and got[2]["o"] is None
 
 
+def test_omission_deletes_the_drawn_place(spark):
+    """Every construct of every kind can go, each at its own place."""
+    texts = [
+        "वे 1998 से 2004 तक, 2004 तक और 2004 में थे",
+        "2 अक्टूबर 1869 को और 12 मार्च को",
+        "12 वर्ष तक, 12 वर्षों से, 40 प्रतिशत, 40 प्रतिशत और १२ बार",
+        "5 लाख (लगभग) 7 के बाद 1999-2001 (लगभग)",
+        "from 1984 to 1984 and 1984 (twice) or 10-12 and 3%, 3%",
+        "1999", "(x)", "nothing here",
+    ]
+    patterns = [p.replace(r"\p{Nd}", r"\d") for p in perturb.DELETABLE]
+    rows = [(k * 100 + n, t) for n, t in enumerate(texts) for k in range(60)]
+    got = spark.createDataFrame(rows, "row_id long, t string").select("row_id", "t", perturb.omit(F.col("t"), F.col("row_id")).alias("o")).collect()
+    for t in texts:
+        spots = [m.span() for p in patterns for m in re.finditer(p, t)]
+        expected = {re.sub(r"\s{2,}", " ", (t[:a] + t[b:]).strip()).strip(" ,-") or None for a, b in spots} or {None}
+        assert {r["o"] for r in got if r["t"] == t} == expected
+
+
+def test_later_entries_and_entities(spark):
+    claims = spark.createDataFrame([(1, "(Agra) is far")], "row_id long, claim string")
+    lexicon = spark.createDataFrame([("Agra", ["Agra Road"], "entity", 0), ("far", ["remote"], "synonym", 1), ("far", ["distant"], "synonym", 2)], "word string, alternatives array<string>, kind string, place int")
+    out = perturb.substitute_each(claims, lexicon, {"s": (["synonym"], ()), "e": (["entity"], ()), "n": (["none"], ())})
+    assert {r["attack"]: r["changed"] for r in out.collect()} == {"s": "(Agra) is distant", "e": "(Agra Road) is far", "n": None}
+
+
 def test_substitute_keeps_punctuation_and_last_kind(spark):
     claims = spark.createDataFrame([(1, 'say "hot"!'), (2, "none")], "row_id long, claim string")
     lexicon = spark.createDataFrame([("hot", ["warm"], "synonym"), ("hot", ["hot", "torrid"], "adjective")], "word string, alternatives array<string>, kind string")
