@@ -46,8 +46,9 @@ def apply_generated(claims: DataFrame, generated: DataFrame) -> DataFrame:
 
 
 def sub_questions(c: Column, most: int = 4) -> Column:
-    """The questions of a planner's JSON reply, else up to ``most`` lines without bullets that have more than three characters."""
-    told = F.from_json(c, "sub_questions array<string>")["sub_questions"]
+    """The questions of a planner's JSON object (none if it names none), else up to ``most`` lines without bullets that have more than three characters."""
+    is_object = F.try_parse_json(c).isNotNull() & F.ltrim(c).startswith("{")
+    told = F.when(is_object, F.coalesce(F.from_json(c, "sub_questions array<string>")["sub_questions"], F.array().cast("array<string>")))
     lines = F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[\d\-*\s.]+", "")))
     return F.coalesce(told, F.slice(F.filter(lines, lambda x: F.char_length(x) > 3), 1, most))
 

@@ -76,8 +76,14 @@ def read_per_attack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_json_columns(df: DataFrame) -> DataFrame:
-    """technique_params as a map and validity_flags as a struct; null where the text is no JSON."""
-    return df.withColumn("technique_params", F.from_json("technique_params", "map<string,string>")).withColumn("validity_flags", F.from_json("validity_flags", FLAGS))
+    """technique_params as a map and validity_flags as a struct; where the text is no JSON, null, and the text in technique_params_text or validity_flags_text."""
+    kept = {f"{c}_text": F.when(F.try_parse_json(F.col(c)).isNull(), F.col(c)) for c in ("technique_params", "validity_flags")}
+    return df.withColumns(kept | {"technique_params": F.from_json("technique_params", "map<string,string>"), "validity_flags": F.from_json("validity_flags", FLAGS)})
+
+
+def first_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """At most ``limit`` rows in the file's order; all without one or with 0."""
+    return df.limit(limit) if limit else df
 
 
 def pick(df: DataFrame, name: str) -> Column:

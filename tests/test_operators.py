@@ -228,6 +228,8 @@ def test_sub_questions(spark):
     from kasauti.operators import records
 
     df = spark.createDataFrame([('{"sub_questions": ["a", "b"]}',), ("1. what is it\n- ab\n* where was it",), ("",)], "t string")
+    none = spark.createDataFrame([('{"a": 1}',), ('["what is it"]',), ('{"sub_questions": broken',)], "t string")
+    assert [r[0] for r in none.select(records.sub_questions(F.col("t"))).collect()] == [[], ['["what is it"]'], ['{"sub_questions": broken']]
     assert [r[0] for r in df.select(records.sub_questions(F.col("t"))).collect()] == [["a", "b"], ["what is it", "where was it"], []]
 
 
@@ -237,3 +239,10 @@ def test_stream_equals_table(spark, tmp_path):
     rates.run_to_table(rates.windowed_rates(rates.read_events(spark, str(tmp_path / "events")), "1 day"), "rates_out", str(tmp_path / "checkpoint"))
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(spark.table("rates_out")) == key(rates.windowed_rates(events, "1 day"))
+
+
+def test_text_that_is_no_json_stays(spark):
+    df = spark.createDataFrame([('{"a": "b"}', "{broken"), ("no", None)], "technique_params string, validity_flags string")
+    got = [(r["technique_params"], r["technique_params_text"], r["validity_flags_text"]) for r in files.parse_json_columns(df).collect()]
+    assert got == [({"a": "b"}, None, "{broken"), (None, "no", None)]
+    assert files.first_rows(df, 1).count() == 1 and files.first_rows(df).count() == 2
