@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stats import kappa, log_factorial, ratio
+from ..functions.stats import MORE, WIDE, kappa, log_factorial, ratio
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, *keys: str) -> DataFrame:
@@ -53,15 +56,59 @@ def majority(votes: DataFrame, vote: str, *keys: str) -> DataFrame:
 
 
 def fisher_greater(counts: DataFrame, tests: int) -> DataFrame:
-    """p and Bonferroni-corrected p that a group's hits exceed chance: columns k (hits), n (group), all_k (all hits), all_n (all)."""
+    """p and Bonferroni-corrected p that a group's hits exceed chance: columns k (hits), n (group), all_k (all hits), all_n (all).
+
+    Terms further than ``WIDE`` deviations from both the mean and k are left out,
+    so the sequence grows with the deviation and not with the counts.
+    """
     choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
     k, n, big_k, big_n = (F.col(c).cast("long") for c in ("k", "n", "all_k", "all_n"))
     term = lambda i: F.exp(choose(big_k, i) + choose(big_n - big_k, n - i) - choose(big_n, n))
-    tail = F.aggregate(F.sequence(k, F.least(n, big_k)), F.lit(0.0), lambda s, i: s + term(i))
+    mean = n.cast("double") * big_k / big_n
+    spread = F.ceil(WIDE * F.sqrt(mean * (1 - big_k / big_n) * (big_n - n) / F.greatest(F.lit(1), big_n - 1))) + MORE
+    first = F.greatest(k, n + big_k - big_n, F.floor(mean) - spread)
+    last = F.greatest(first, F.least(n, big_k, F.greatest(k, F.ceil(mean)) + spread))
+    tail = F.aggregate(F.sequence(first, last), F.lit(0.0), lambda s, i: s + term(i))
     p = F.when(k > F.least(n, big_k), 0.0).otherwise(F.least(F.lit(1.0), tail))
     return counts.withColumn("p", p).withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p") * tests))
 
 
+#: Words in the name of a perturbation nobody measured, its tier, probability of success and scope, first match first; fixed values.
+CASCADE = [
+    (["multi-hop", "hop"], "MID", 0.35, "untestable"),
+    (["gradient", "hotflip", "embedding"], "POS", 0.70, "untestable"),
+    (["evidence", "retrieval", "corpus"], "POS", 0.58, "testable"),
+    (["char", "keyboard", "visual"], "NEG", 0.03, "testable"),
+]
+OTHERWISE = ("MID", 0.22, "testable")
+
+
+def unmeasured(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with tier, probability, scope and priority by the words in ``name`` (null: as a name without any)."""
+    low = F.coalesce(F.lower(F.col(name)), F.lit(""))
+    outcome = lambda t, p, s: F.struct(F.lit(t).alias("tier"), F.lit(p).alias("probability"), F.lit(s).alias("scope"))
+    found = outcome(*OTHERWISE)
+    for words, *given in reversed(CASCADE):
+        found = F.when(reduce(or_, [F.contains(low, F.lit(w)) for w in words]), outcome(*given)).otherwise(found)
+    rated = df.withColumn("__found", found).select(*df.columns, "__found.*")
+    urgent = (F.col("tier") == "POS") & (F.col("scope") == "testable")
+    return rated.withColumn("priority", F.when(urgent, "High").when(F.col("tier") == "MID", "Medium").otherwise("Low"))
+
+
+def ranked(df: DataFrame, score: str, id_col: str) -> DataFrame:
+    """``df`` with rank (from 1) by falling score, then rising integer id.
+
+    Spans of 65,536 ids are numbered on their own; what stands before each comes
+    from counts, so neither one score nor all rows meet in a task.
+    """
+    spans = df.withColumn("__span", F.shiftright(F.col(id_col).cast("long"), 16))
+    sizes = spans.groupBy(score, "__span").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(F.lit(1)).orderBy(F.desc(score), "__span").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(score, "__span", F.coalesce(F.sum("__n").over(whole), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(score, "__span").orderBy(id_col))
+    return spans.withColumn("__own", own).join(before, [score, "__span"]).withColumn("rank", F.col("__own") + F.col("__before")).drop("__own", "__before", "__span")
+
+
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     d = F.col(a) - F.col(b)
     return df.agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_difference"), ratio(F.avg(d) * F.sqrt(F.count(F.lit(1))), F.stddev_samp(d)).alias("t"))

@@ -102,23 +102,53 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     return found
 
 
+#: A token in more sets of a domain than this gives no first bound; one in more than ``HOT`` is dealt out in parts.
+RARE, HOT = 200, 5_000
+
+
 def pair_neighbours(claims: DataFrame) -> DataFrame:
     """row_id and neighbour: of the same domain, the claim that shares most distinct tokens relative to the longer; ties go to the lower id.
 
-    An inverted index joins claims on domain and token, so only claims that share
-    a token meet; claims that share none take the lowest other id of the domain.
-    The work grows with the square of a domain's claims that share a token, as the
-    best of all pairs is asked for: split large domains first.
+    Claims of one token set are one node, and have each other. A claim alone with
+    its set first meets those it shares one of its three rarest tokens with; the
+    best of them bounds how many tokens a better one must share, hence how few of
+    the rarest tokens of both must meet (prefix filter). That join is exact, each
+    task keeps the best of a claim, and frequent tokens are dealt out in parts.
+    Without common tokens it is the lowest other id of the domain; null of none.
     """
-    own = claims.select("row_id", "domain", "tokens", F.size("tokens").alias("n"))
-    words = own.select("row_id", "domain", "n", F.explode("tokens").alias("token"))
-    other = words.select(F.col("row_id").alias("neighbour"), "domain", F.col("n").alias("m"), "token")
-    shared = words.join(other, ["domain", "token"]).filter(F.col("row_id") != F.col("neighbour")).groupBy("row_id", "neighbour").agg(F.count(F.lit(1)).alias("common"), F.max(F.greatest("n", "m")).alias("longest"))
-    scored = shared.select("row_id", "neighbour", F.round(F.col("common") / F.col("longest"), 9).alias("overlap"))
-    found = scored.groupBy("row_id").agg(F.min(F.struct((-F.col("overlap")).alias("no"), "neighbour")).alias("x")).select("row_id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.no")).alias("overlap"))
-    first = own.groupBy("domain").agg(F.min("row_id").alias("low"))
-    second = own.join(first, "domain").filter("row_id <> low").groupBy("domain").agg(F.min("row_id").alias("next"))
-    fallback = own.join(first, "domain").join(second, "domain", "left").select("row_id", F.when(F.col("row_id") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("any"))
+    own = claims.select("row_id", "domain", F.sort_array("tokens").alias("tokens"), F.size("tokens").alias("n"))
+    full = own.filter("n > 0")
+    sets = full.groupBy("domain", "tokens").agg(F.min("row_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    twins = full.join(sets.filter("copies > 1"), ["domain", "tokens"])
+    second = twins.filter("row_id <> low").groupBy("low").agg(F.min("row_id").alias("next"))
+    alike = twins.join(second, "low").select("row_id", F.when(F.col("row_id") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("neighbour"), F.lit(1.0).alias("overlap"))
+
+    words = sets.select("domain", "low", "copies", F.explode("tokens").alias("token"))
+    counts = words.groupBy("domain", "token").agg(F.count(F.lit(1)).alias("often"))
+    listed = words.join(counts, ["domain", "token"]).groupBy("domain", "low").agg(F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("often", "token"))).alias("words"))
+    nodes = listed.select("domain", "low", "copies", "words", F.transform("words", lambda w: w["token"]).alias("tokens"), F.size("words").alias("n"))
+    placed = lambda df: df.select(*[c for c in df.columns if c != "words"], F.posexplode("words").alias("at", "w")).select("*", "w.often", "w.token").drop("w")
+    index = placed(nodes).select("domain", "token", "often", "at", F.col("low").alias("neighbour"), F.col("tokens").alias("others"), F.col("n").alias("m"))
+    share = F.size(F.array_intersect("tokens", "others")) / F.greatest("n", "m")
+
+    alone = nodes.filter("copies = 1").drop("copies")
+    rare = (F.col("at") < 3) & (F.col("often") <= RARE)
+    met = placed(alone).filter(rare).drop("at", "often").join(index.filter(rare).drop("at", "often"), ["domain", "token"]).filter("low <> neighbour")
+    bound = met.groupBy("low").agg(F.max(share).alias("least"))
+
+    needed = lambda size: F.ceil(F.col("least") * F.col(size) - 1e-6)
+    asked = placed(alone.join(bound, "low", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))).filter(F.col("at") <= F.col("n") - needed("n"))
+    parts = F.floor(F.col("often") / HOT)
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts))).drop("at", "often")
+    held = index.withColumn("part", F.pmod(F.xxhash64("neighbour"), parts + 1)).drop("often")
+    close = asked.join(held, ["domain", "token", "part"]).filter((F.col("low") != F.col("neighbour")) & (F.col("at") <= F.col("m") - needed("m")) & (F.col("m") >= needed("n")) & (F.col("n") >= needed("m")))
+    best = close.groupBy("low").agg(F.min(F.struct((-F.round(share, 9)).alias("no"), "neighbour")).alias("x"))
+    found = alike.unionByName(best.select(F.col("low").alias("row_id"), F.col("x.neighbour").alias("neighbour"), (-F.col("x.no")).alias("overlap")))
+
+    first = own.groupBy("domain").agg(F.min("row_id").alias("first"))
+    after = own.join(first, "domain").filter("row_id <> first").groupBy("domain").agg(F.min("row_id").alias("after"))
+    any_other = F.when(F.col("row_id") == F.col("first"), F.col("after")).otherwise(F.col("first"))
+    fallback = own.join(first, "domain", "left").join(after, "domain", "left").select("row_id", any_other.alias("any"))
     return fallback.join(found, "row_id", "left").select("row_id", F.coalesce("neighbour", "any").alias("neighbour"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 

@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.picks import digest, pick
+from ..functions.picks import digest
+
+
+#: Hex digits of a hash range: 65,536 ranges of each stratum, so that none holds more than some millions of 100 billion rows.
+RANGE_DIGITS = 4
+
+
+def ranges(df: DataFrame, purpose: str, id_col: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its hash and range, and a row for each range of each stratum ``keys``: the rows before it and the stratum's total.
+
+    Only counts meet the windows.
+    """
+    keyed = df.withColumn("__key", digest(F.col(id_col), purpose)).withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
+    sizes = keyed.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    stratum = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    before = F.coalesce(F.sum("__n").over(stratum.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return keyed, sizes.select(*keys, "__range", before.alias("__before"), F.sum("__n").over(stratum).alias("total"))
 
 
 def stratified(df: DataFrame, domain: str, label: str, per_domain: int, labels: list[str], id_col: str = "row_id") -> DataFrame:
@@ -14,9 +32,11 @@ def stratified(df: DataFrame, domain: str, label: str, per_domain: int, labels:
 
     Each label may give a share of per_domain // len(labels), the largest label
     also the remainder; what a label lacks is filled from the others' surplus,
-    largest surplus first. Only counts are joined, never rows of a domain at once.
+    largest surplus first. Counts of hash ranges tell which ranges reach into the
+    sample; only their rows are ordered, so a stratum is never in one task.
     """
-    counts = df.groupBy(domain, label).agg(F.count(F.lit(1)).alias("have"))
+    keyed, sizes = ranges(df, "sample", id_col, [domain, label])
+    counts = sizes.groupBy(domain, label).agg(F.max("total").alias("have"))
     size_order = Window.partitionBy(domain).orderBy(F.desc("have"), label)
     base, rest = per_domain // len(labels), per_domain % len(labels)
     want = counts.withColumn("want", F.lit(base) + F.when(F.row_number().over(size_order) == 1, rest).otherwise(0))
@@ -26,15 +46,15 @@ def stratified(df: DataFrame, domain: str, label: str, per_domain: int, labels:
     filled = took.withColumn("short", short).withColumn("before", before)
     extra = F.greatest(F.lit(0), F.least(F.col("surplus"), F.col("short") - F.col("before")))
     quota = filled.select(domain, label, (F.col("take") + extra).alias("quota"))
-    nth = F.row_number().over(Window.partitionBy(domain, label).orderBy(digest(F.col(id_col), "sample"), id_col))
-    return df.withColumn("nth", nth).join(quota, [domain, label]).filter(F.col("nth") <= F.col("quota")).drop("nth", "quota")
+    reached = sizes.join(quota, [domain, label]).filter(F.col("__before") < F.col("quota")).select(domain, label, "__range", "__before", "quota")
+    nth = F.row_number().over(Window.partitionBy(domain, label, "__range").orderBy("__key", id_col))
+    chosen = keyed.join(reached, [domain, label, "__range"]).withColumn("nth", nth + F.col("__before"))
+    return chosen.filter(F.col("nth") <= F.col("quota")).drop("nth", "quota", "__key", "__range", "__before")
 
 
 def numbered(df: DataFrame, order: list[Column], id_col: str = "row_id") -> DataFrame:
     """``df`` with nth (from 1) and total in hash order, without a window over all rows: counts of hash ranges are summed instead."""
-    keyed = df.withColumn("__key", digest(F.col(id_col), "split")).withColumn("__range", F.substring("__key", 1, 2))
-    sizes = keyed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    keyed, offsets = ranges(df, "split", id_col, [])
     own = F.row_number().over(Window.partitionBy("__range").orderBy("__key", *order))
     return keyed.join(F.broadcast(offsets), "__range").withColumn("nth", own + F.col("__before")).drop("__key", "__range", "__before")
 
@@ -55,12 +75,35 @@ def folds(df: DataFrame, k: int = 5, id_col: str = "row_id") -> DataFrame:
     return rows.withColumn("fold", fold.cast("int")).drop("nth", "total")
 
 
-def bootstrap_means(values: DataFrame, draws: int, value: str) -> DataFrame:
-    """draw and mean of ``draws`` resamples, drawn with replacement by hash.
+def poisson_steps(bits: int = 16) -> list[int]:
+    """Shares of 2 ** bits below which a draw of the Poisson distribution of mean 1 is 0, at most 1, at most 2, ..."""
+    steps, share, term, n = [], 0.0, math.exp(-1.0), 0
+    while not steps or steps[-1] < 2**bits - 1:
+        share, n = share + term, n + 1
+        term /= n
+        steps.append(min(2**bits - 1, round(share * 2**bits)))
+    return steps
+
+
+#: Draws that one digest of 32 hex digits gives, and the digits of one.
+DRAWS, DIGITS = 8, 4
+
+
+def bootstrap_means(values: DataFrame, draws: int, value: str, id_col: str = "row_id") -> DataFrame:
+    """draw and mean of ``draws`` resamples.
 
-    ``values`` has nth (1 to total), total and the value. Each draw picks a number
-    for every place, so draws are independent rows and need no order.
+    How often a row stands in a resample is Poisson distributed with mean 1, by
+    hash of row and draw: the form of resampling with replacement that needs no
+    row to know the others. Sums are formed where the rows are and only
+    draws x tasks of them are shuffled. A draw that takes no row has a null mean.
     """
-    picks = values.select("total", F.col("nth").cast("long").alias("place"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
-    picks = picks.select("draw", (pick(F.col("total"), F.col("draw"), F.col("place")) + 1).alias("nth"))
-    return picks.join(values.select(F.col("nth").cast("long").alias("nth"), value), "nth").groupBy("draw").agg(F.avg(value).alias("mean"))
+    steps = [format(x, f"0{DIGITS}x") for x in poisson_steps(4 * DIGITS)]
+    group = values.select(value, F.col(id_col).alias("__id"), F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS))).alias("__group"))
+    hashed = group.withColumn("__key", digest(F.col("__group"), F.col("__id"), "bootstrap"))
+    part = lambda i: F.substring("__key", 1 + DIGITS * i, DIGITS)
+    times = lambda i: sum(((part(i) >= x).cast("long") for x in steps[1:]), (part(i) >= steps[0]).cast("long"))
+    sums = [f(i).alias(f"{n}{i}") for i in range(DRAWS) for n, f in (("w", lambda i: F.sum(times(i))), ("s", lambda i: F.sum(times(i) * F.col(value))))]
+    each = hashed.groupBy("__group").agg(*sums)
+    rows = F.array(*[F.struct((F.col("__group") * DRAWS + i).alias("draw"), F.col(f"w{i}").alias("w"), F.col(f"s{i}").alias("s")) for i in range(DRAWS)])
+    out = each.select(F.explode(rows).alias("x")).select("x.*").filter(F.col("draw") < draws)
+    return out.select("draw", (F.col("s") / F.nullif(F.col("w"), F.lit(0))).alias("mean"))

@@ -12,6 +12,7 @@ from ..sources.tables import CTE_CLAIMS, CTE_VERIFIED, with_ctes
 from .verification import verified
 
 PER_DOMAIN = 12
+RESAMPLES = 200
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +34,9 @@ def domain_label_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile interval of the share of claims that any perturbation flips, over 200 resamples of the domains' claims."""
+    """Percentile interval of the share of claims that any perturbation flips, over resamples of all claims."""
     hits = verified(spark, sf_dir).filter("NOT baseline_failed").groupBy("row_id").agg(F.max(F.col("gated_flip").cast("double")).alias("hit"))
-    drawn = sampling.bootstrap_means(sampling.numbered(hits, [F.col("row_id")]), 200, "hit")
+    drawn = sampling.bootstrap_means(hits, RESAMPLES, "hit")
     return drawn.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("ci_low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("ci_high"), F.round(F.avg("mean"), 6).alias("mean"))
 
 
@@ -57,9 +58,8 @@ ORACLES = {
     "five_fold_ntile": with_ctes(CTE_VERIFIED, VALID, then="SELECT row_id, CAST(ntile(5) OVER (ORDER BY md5('42:' || row_id || ':split'), row_id) AS INT) AS fold FROM valid"),
     "domain_label_cube": with_ctes(CTE_CLAIMS, "c AS (SELECT domain, coalesce(label, 'NONE') AS label FROM claims)",
         then="SELECT coalesce(domain, 'TOTAL') AS domain, coalesce(label, 'TOTAL') AS label, count(*) AS n FROM c GROUP BY CUBE (domain, label)"),
-    "bootstrap_ci": with_ctes(CTE_VERIFIED, "hits AS (SELECT row_id, max(CAST(gated_flip AS DOUBLE)) AS hit FROM verified WHERE NOT baseline_failed GROUP BY row_id)", NUMBERED.format("hits"),
-        """picks AS (SELECT draw, 1 + ('0x' || substr(md5('42:' || draw || ':' || place), 1, 8))::BIGINT % total AS nth
-            FROM (SELECT count(*) AS total FROM hits), range(200) d(draw), LATERAL (SELECT unnest(range(1, total + 1)) AS place) p)""",
-        "means AS (SELECT draw, avg(hit) AS mean FROM picks JOIN numbered USING (nth) JOIN hits USING (row_id) GROUP BY draw)",
+    "bootstrap_ci": with_ctes(CTE_VERIFIED, "hits AS (SELECT row_id, max(CAST(gated_flip AS DOUBLE)) AS hit FROM verified WHERE NOT baseline_failed GROUP BY row_id)",
+        f"draws AS (SELECT d AS draw, hit, ('0x' || substr(md5('42:' || (d // {sampling.DRAWS}) || ':' || row_id || ':bootstrap'), 1 + {sampling.DIGITS} * (d % {sampling.DRAWS}), {sampling.DIGITS}))::BIGINT AS u FROM hits, range({RESAMPLES}) r(d))",
+        f"means AS (SELECT draw, sum(w * hit) / nullif(sum(w), 0) AS mean FROM (SELECT draw, hit, {' + '.join(f'(u >= {x})::INT' for x in sampling.poisson_steps())} AS w FROM draws) GROUP BY draw)",
         then="SELECT round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high, round(avg(mean), 6) AS mean FROM means"),
 }

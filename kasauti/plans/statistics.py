@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,26 +71,17 @@ def paired_t_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.paired_t(each, "rule", "llm").select("n", F.round("mean_difference", 6).alias("mean_difference"), F.round("t", 4).alias("t"))
 
 
-def unmeasured_rule_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts stand in for perturbations nobody measured: an ordered cascade on their types gives tier and priority."""
-    name = F.lower(F.concat_ws(" ", "p_type", "p_name"))
-    has = lambda *words: F.expr(" OR ".join(f"name LIKE '%{w}%'" for w in words))
-    parts = tables.read(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
-    cascade = [(has("promo", "hop"), "MID", 0.35, "untestable"), (has("economy", "gradient"), "POS", 0.70, "untestable"), (has("standard", "evidence"), "POS", 0.58, "testable"), (has("small", "char"), "NEG", 0.03, "testable")]
+#: Words that parts' types stand for, so that each rule of the cascade applies to some.
+STAND_INS = {"promo": "multi-hop", "economy": "gradient", "standard": "retrieval", "small": "keyboard"}
 
-    def pick(i: int, rest: object) -> Column:
-        out = F.when(cascade[0][0], F.lit(cascade[0][i]))
-        for rule in cascade[1:]:
-            out = out.when(rule[0], F.lit(rule[i]))
-        return out.otherwise(F.lit(rest))
 
-    rated = parts.select("p_partkey", pick(1, "MID").alias("tier"), pick(2, 0.22).alias("probability"), pick(3, "testable").alias("scope"))
-    priority = F.when((F.col("tier") == "POS") & (F.col("scope") == "testable"), "High").when(F.col("tier") == "MID", "Medium").otherwise("Low")
-    sized = rated.groupBy("probability").agg(F.count(F.lit(1)).alias("n"))
-    before = sized.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("probability", "before")
-    own = F.row_number().over(Window.partitionBy("probability").orderBy("p_partkey"))
-    ranked = rated.withColumn("own", own).join(F.broadcast(before), "probability").withColumn("rank", F.col("own") + F.col("before"))
-    return ranked.select("rank", "p_partkey", "tier", "probability", "scope", priority.alias("priority"))
+def unmeasured_rule_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts stand in for perturbations nobody measured, ranked by the probability that an ordered cascade on their names gives."""
+    name = F.lower(F.concat_ws(" ", "p_type", "p_name"))
+    for word, meant in STAND_INS.items():
+        name = F.replace(name, F.lit(word), F.lit(meant))
+    rated = evaluation.unmeasured(tables.read(spark, sf_dir, "part").select("p_partkey", name.alias("name")), "name")
+    return evaluation.ranked(rated, "probability", "p_partkey").select("rank", "p_partkey", "tier", "probability", "scope", "priority")
 
 
 def empirical_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,9 +134,9 @@ ORACLES = {
         then="SELECT domain, k, n, round(least(1.0, p), 5) AS p, round(least(1.0, least(1.0, p) * 5), 5) AS p_bonferroni FROM p"),
     "paired_t_arms": with_ctes(CTE_VERIFIED, "d AS (SELECT domain, avg(CAST(gated_flip AS INT)) FILTER (arm = 'Rule') - avg(CAST(gated_flip AS INT)) FILTER (arm = 'LLM') AS x FROM verified WHERE NOT baseline_failed GROUP BY domain)",
         then="SELECT count(*) AS n, round(avg(x), 6) AS mean_difference, round(avg(x) * sqrt(count(*)) / stddev_samp(x), 4) AS t FROM d"),
-    "unmeasured_rule_ranking": """WITH n AS (SELECT p_partkey, lower(p_type || ' ' || p_name) AS name FROM part),
-        k AS (SELECT p_partkey, CASE WHEN name LIKE '%promo%' OR name LIKE '%hop%' THEN 1 WHEN name LIKE '%economy%' OR name LIKE '%gradient%' THEN 2
-            WHEN name LIKE '%standard%' OR name LIKE '%evidence%' THEN 3 WHEN name LIKE '%small%' OR name LIKE '%char%' THEN 4 ELSE 5 END AS rule FROM n),
+    "unmeasured_rule_ranking": f"""WITH n AS (SELECT p_partkey, {reduce(lambda x, w: f"replace({x}, '{w[0]}', '{w[1]}')", STAND_INS.items(), "lower(p_type || ' ' || p_name)")} AS name FROM part),
+        k AS (SELECT p_partkey, CASE WHEN regexp_matches(name, 'hop') THEN 1 WHEN regexp_matches(name, 'gradient|hotflip|embedding') THEN 2
+            WHEN regexp_matches(name, 'evidence|retrieval|corpus') THEN 3 WHEN regexp_matches(name, 'char|keyboard|visual') THEN 4 ELSE 5 END AS rule FROM n),
         r(rule, tier, probability, scope, priority) AS (VALUES (1, 'MID', 0.35::DOUBLE, 'untestable', 'Medium'), (2, 'POS', 0.70::DOUBLE, 'untestable', 'Low'), (3, 'POS', 0.58::DOUBLE, 'testable', 'High'), (4, 'NEG', 0.03::DOUBLE, 'testable', 'Low'), (5, 'MID', 0.22::DOUBLE, 'testable', 'Medium'))
         SELECT row_number() OVER (ORDER BY probability DESC, p_partkey) AS rank, p_partkey, tier, probability, scope, priority FROM k JOIN r USING (rule)""",
     "empirical_tiers": with_ctes(CTE_ATTACKS, then="SELECT attack_id, CASE WHEN gated_asr_pct / 100 >= 0.40 THEN 'POS' WHEN gated_asr_pct / 100 >= 0.15 THEN 'MID' ELSE 'NEG' END AS tier FROM attacks"),

@@ -1,12 +1,16 @@
 """Operators on small tables whose results are known."""
 
-import re
+import hashlib
 import math
+import random
+import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kasauti.functions import stats
 from kasauti.operators import asr, evaluation, graph, perturb, policies, sampling
 from kasauti.plans.verification import verified
 from kasauti.sources import files, tables
@@ -246,3 +250,72 @@ def test_text_that_is_no_json_stays(spark):
     got = [(r["technique_params"], r["technique_params_text"], r["validity_flags_text"]) for r in files.parse_json_columns(df).collect()]
     assert got == [({"a": "b"}, None, "{broken"), (None, "no", None)]
     assert files.first_rows(df, 1).count() == 1 and files.first_rows(df).count() == 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pair_neighbours_against_all_pairs(spark, seed, monkeypatch):
+    """Few words, so that ties, equal sets, frequent words split in parts and missing bounds all occur."""
+    monkeypatch.setattr(graph, "HOT", 3)
+    monkeypatch.setattr(graph, "RARE", 4)
+    rng = random.Random(seed)
+    claims = [(i, rng.choice("xyz") if i else "w", rng.sample("abcdefghijkl", rng.choice([0, 1, 2, 3, 5, 8]))) for i in range(60)] + [(99, None, ["a"])]
+    found = {r["row_id"]: (r["neighbour"], round(r["overlap"], 6)) for r in graph.pair_neighbours(spark.createDataFrame(claims, "row_id long, domain string, tokens array<string>")).collect()}
+    for i, domain, words in claims:
+        others = [(-round(len(set(words) & set(w)) / max(len(words), len(w), 1), 9), j) for j, d, w in claims if j != i and d == domain and d is not None]
+        no, j = min(others, default=(0.0, None))
+        assert found[i] == (j, round(-no, 6)), i
+    assert len(found) == len(claims)
+
+
+def test_unmeasured_words(spark):
+    names = {"Multi-Hop chain": "MID", "hop": "MID", "Gradient step": "POS", "HotFlip": "POS", "embedding noise": "POS", "evidence swap": "POS", "Retrieval": "POS", "corpus": "POS",
+             "char noise": "NEG", "keyboard": "NEG", "visual": "NEG", "tense": "MID", "hop over evidence": "MID", "char gradient": "POS"}
+    rows = spark.createDataFrame([*names.items(), (None, "MID")], "name string, expected string")
+    out = evaluation.unmeasured(rows, "name").collect()
+    assert all(r["tier"] == r["expected"] for r in out) and len(out) == 15
+    assert {r["name"]: (r["probability"], r["scope"], r["priority"]) for r in out}["evidence swap"] == (0.58, "testable", "High")
+
+
+def test_ranked_over_spans(spark):
+    ids = [0, 5, 65_535, 65_536, 65_537, 10**12]
+    rows = spark.createDataFrame([(i, s) for i in ids for s in (0.5, 0.25)], "id long, s double")
+    out = sorted(evaluation.ranked(rows, "s", "id").collect(), key=lambda r: r["rank"])
+    assert [(r["rank"], r["s"], r["id"]) for r in out] == [(n, s, i) for n, (s, i) in enumerate([(s, i) for s in (0.5, 0.25) for i in ids], 1)]
+
+
+def test_fisher_and_mcnemar_of_large_counts(spark):
+    """Against exact sums of all terms."""
+    def log_choose(n, k):
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    cases = [(5200, 10_000, 50_000, 100_000), (4800, 10_000, 50_000, 100_000), (0, 10_000, 50_000, 100_000), (30, 10_000, 40, 100_000), (3, 3, 5, 10)]
+    df = spark.createDataFrame(cases, "k long, n long, all_k long, all_n long")
+    for r in evaluation.fisher_greater(df, 5).collect():
+        k, n, kk, nn = r["k"], r["n"], r["all_k"], r["all_n"]
+        exact = sum(math.exp(log_choose(kk, i) + log_choose(nn - kk, n - i) - log_choose(nn, n)) for i in range(max(k, n + kk - nn), min(n, kk) + 1))
+        assert abs(r["p"] - min(1.0, exact)) < 1e-6 * max(exact, 1e-3), r
+    pairs = spark.createDataFrame([(50_000, 50_700), (50_000, 52_000), (0, 40), (10, 200_000)], "b long, c long")
+    for r in pairs.withColumn("p", stats.mcnemar_exact(F.col("b"), F.col("c"))).collect():
+        n, k = r["b"] + r["c"], min(r["b"], r["c"])
+        exact = min(1.0, 2 * sum(math.exp(log_choose(n, i) - n * math.log(2.0)) for i in range(k + 1)))
+        assert abs(r["p"] - exact) < 1e-6 * max(exact, 1e-3), r
+
+
+def test_bootstrap_weights_and_interval(spark):
+    """Weights follow the Poisson distribution; means spread as those of resampling with replacement do."""
+    assert [round(x / 65536, 3) for x in sampling.poisson_steps()[:4]] == [0.368, 0.736, 0.92, 0.981]
+    rows = spark.range(2000).select(F.col("id").alias("row_id"), (F.col("id") % 4 == 0).cast("double").alias("hit"))
+    means = [r["mean"] for r in sampling.bootstrap_means(rows, 203, "hit").collect()]
+    assert len(means) == 203 and abs(sum(means) / 203 - 0.25) < 0.003
+    spread = math.sqrt(sum((m - 0.25) ** 2 for m in means) / 203)
+    assert 0.8 < spread / math.sqrt(0.25 * 0.75 / 2000) < 1.2
+
+
+def test_stratified_orders_only_ranges_that_reach_in(spark):
+    rows = spark.range(5000).select(F.col("id").alias("row_id"), F.lit("d").alias("domain"), F.when(F.col("id") % 3 == 0, "SUP").otherwise("REF").alias("label"))
+    got = sampling.stratified(rows, "domain", "label", 1501, ["SUP", "REF", "NEI"]).collect()
+    key = lambda i: hashlib.md5(f"42:{i}:sample".encode()).hexdigest()
+    for label, ids in (("SUP", range(0, 5000, 3)), ("REF", [i for i in range(5000) if i % 3])):
+        taken = {r["row_id"] for r in got if r["label"] == label}
+        assert taken == set(sorted(ids, key=key)[: len(taken)])
+    assert len(got) == 1501
