@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,6 +82,21 @@ def attention(edges: DataFrame, source_score: DataFrame, target_score: DataFrame
     return expo.join(total, "dst").select("src", "dst", (F.col("x") / F.col("total")).alias("weight"))
 
 
+def gat(nodes: DataFrame, edges: DataFrame, linear: list[list[float]], source: list[float], target: list[float], bias: list[float]) -> DataFrame:
+    """id and h = elu(sum of weight x W x_src over the edges to a node + b), with weights by ``attention`` of a_src . W x_src + a_dst . W x_dst.
+
+    Missing and null features count as 0; a node that nothing points to has elu(b).
+    """
+    at = lambda i: F.coalesce(F.get("features", F.lit(i)).cast("double"), F.lit(0.0))
+    total = lambda terms: reduce(lambda x, y: x + y, terms)
+    turned = nodes.select("id", F.array(*[total(at(i) * F.lit(w) for i, w in enumerate(row)) for row in linear]).alias("z"))
+    score = lambda a: turned.select("id", total(F.get("z", F.lit(o)) * F.lit(x) for o, x in enumerate(a)).alias("score"))
+    weighed = attention(edges, score(source), score(target)).join(turned.select(F.col("id").alias("src"), "z"), "src")
+    sums = weighed.groupBy(F.col("dst").alias("id")).agg(*[F.sum(F.col("weight") * F.get("z", F.lit(o))).alias(f"s{o}") for o in range(len(linear))])
+    raised = [F.coalesce(F.col(f"s{o}"), F.lit(0.0)) + F.lit(b) for o, b in enumerate(bias)]
+    return nodes.select("id").join(sums, "id", "left").select("id", F.array(*[F.when(x > 0, x).otherwise(F.expm1(x)) for x in raised]).alias("h"))
+
+
 #: Queries that are broadcast at once; more of them pass over the candidates in blocks.
 QUERY_BLOCK = 20_000
 
@@ -152,4 +169,4 @@ def pair_neighbours(claims: DataFrame) -> DataFrame:
     return fallback.join(found, "row_id", "left").select("row_id", F.coalesce("neighbour", "any").alias("neighbour"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
-__all__ = ["attack_features", "attention", "bipartite", "cosine", "mean_aggregate", "nearest", "pair_neighbours", "sage", "similar_pairs", "width", "without_node"]
+__all__ = ["attack_features", "attention", "bipartite", "cosine", "gat", "mean_aggregate", "nearest", "pair_neighbours", "sage", "similar_pairs", "width", "without_node"]

@@ -55,6 +55,20 @@ def attention_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
 
 
+#: What a claim's vector and a perturbation's features, filled up with zeros, are multiplied by; any fixed numbers do.
+GAT_LINEAR = [[((7 * o + 3 * i) % 11 - 5) / 10 for i in range(64)] for o in range(4)]
+GAT_SOURCE, GAT_TARGET, GAT_BIAS = [0.3, -0.2, 0.1, 0.4], [-0.1, 0.2, 0.5, -0.3], [0.05, -0.5, 0.1, -0.2]
+
+
+def gat_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One attention layer: what perturbations hear from the claims they were tried on."""
+    edges = graph.bipartite(verified(spark, sf_dir)).filter("dst < 0")
+    arms = tables.attacks(spark).select((-1 - F.col("attack_idx")).cast("long").alias("id"), graph.attack_features().alias("features"))
+    vectors = _vectors(spark, sf_dir).select(F.col("id").cast("long").alias("id"), F.transform("features", lambda x: x.cast("double")).alias("features"))
+    out = graph.gat(vectors.unionByName(arms), edges, GAT_LINEAR, GAT_SOURCE, GAT_TARGET, GAT_BIAS).filter("id < 0")
+    return out.select("id", F.posexplode("h").alias("dim", "value")).select("id", "dim", F.round("value", 6).alias("value"))
+
+
 def knn_tier_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors whose id is divisible by 50 take the label that their five nearest vote for, weighted by similarity."""
     v = _vectors(spark, sf_dir)
@@ -84,6 +98,13 @@ def leave_attack_out_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guess.join(rates.withColumnRenamed("attack_idx", "src"), "src").select("src", F.round("predicted", 6).alias("predicted"), F.round("rate", 6).alias("actual"))
 
 
+def leave_attack_out_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline's folds averaged, each perturbation with equal weight."""
+    each = leave_attack_out_baseline(spark, sf_dir)
+    six = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return each.agg(F.count(F.lit(1)).alias("folds"), six(F.col("predicted"), "mean_predicted"), six(F.col("actual"), "mean_actual"), six(F.abs(F.col("predicted") - F.col("actual")), "mean_error"))
+
+
 def neighbor_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = tables.claims(spark, sf_dir).filter("label IS NOT NULL").select("row_id", "domain", F.array_distinct(text.tokens(F.lower("claim"))).alias("tokens"))
     return graph.pair_neighbours(labelled).select("row_id", "neighbour", F.round("overlap", 6).alias("overlap"))
@@ -91,7 +112,7 @@ def neighbor_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (attack_similarity_edges, bipartite_edges_degree, edge_mask, sage_mean_aggregate, attention_weights, knn_tier_vote, exemplar_vote, leave_attack_out_baseline, neighbor_pairing)
+    for f in (attack_similarity_edges, bipartite_edges_degree, edge_mask, sage_mean_aggregate, attention_weights, gat_layer, knn_tier_vote, exemplar_vote, leave_attack_out_baseline, leave_attack_out_macro, neighbor_pairing)
 }
 
 ONE = lambda c, values: ", ".join(f"({c} = '{v}')::INT::DOUBLE" for v in values)
@@ -134,3 +155,15 @@ ORACLES = {
         "n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY overlap DESC, neighbour) = 1)",
         then="SELECT l.row_id, n.neighbour, round(coalesce(n.overlap, 0.0), 6) AS overlap FROM l LEFT JOIN n USING (row_id)"),
 }
+
+_z = lambda f: "[" + ", ".join(f"list_dot_product({f}, {row}::DOUBLE[])" for row in GAT_LINEAR) + "]"
+_out = lambda o: f"coalesce(sum(w * z[{o + 1}]), 0) + {GAT_BIAS[o]}"
+
+ORACLES["gat_layer"] = with_ctes(CTE_VERIFIED, FEATURED, EDGES,
+    f"nodes AS (SELECT id, {_z('x')} AS z FROM (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS x FROM embeddings UNION ALL SELECT (-1 - attack_idx)::BIGINT, list_concat(f, list_transform(range({64 - 16}), lambda i: 0.0::DOUBLE)) FROM f))",
+    f"e AS (SELECT src, dst, a.z, list_dot_product(a.z, {GAT_SOURCE}::DOUBLE[]) + list_dot_product(b.z, {GAT_TARGET}::DOUBLE[]) AS e FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE dst < 0)",
+    "l AS (SELECT src, dst, z, CASE WHEN e > 0 THEN e ELSE 0.2 * e END AS e FROM e)", "x AS (SELECT dst, z, exp(e - max(e) OVER (PARTITION BY dst)) AS x FROM l)", "w AS (SELECT dst, z, x / sum(x) OVER (PARTITION BY dst) AS w FROM x)",
+    f"s AS (SELECT id, unnest(range(4))::INT AS dim, unnest([{', '.join(map(_out, range(4)))}]) AS v FROM (SELECT id FROM nodes WHERE id < 0) LEFT JOIN w ON dst = id GROUP BY id)",
+    then="SELECT id, dim, round(CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END, 6) AS value FROM s")
+ORACLES["leave_attack_out_macro"] = f"""SELECT count(*) AS folds, round(avg(predicted), 6) AS mean_predicted, round(avg(actual), 6) AS mean_actual, round(avg(abs(predicted - actual)), 6) AS mean_error
+    FROM ({ORACLES["leave_attack_out_baseline"]})"""

@@ -21,8 +21,7 @@ def policy_static_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_random5_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = verified(spark, sf_dir)
-    return policies.summary(policies.replay(seen, policies.random_steps(seen, 1, 5)), "Random-5", 5)
+    return policies.summary(policies.replay_drawn(verified(spark, sf_dir), [1], 5), "Random-5", 5)
 
 
 def policy_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +58,8 @@ def greedy_coverage_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blind_spots_and_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims that some perturbation flips but none of the static five, and how many of them others find."""
     seen = verified(spark, sf_dir).filter("NOT baseline_failed")
-    each = policies.replay(seen, policies.random_steps(seen, 1, 5, STATIC_TOP5[:2])).select("row_id", F.col("first_step").isNotNull().alias("mixed"))
-    random = policies.replay(seen, policies.random_steps(seen, 1, 5)).select("row_id", F.col("first_step").isNotNull().alias("random"))
+    each = policies.first_then(seen, STATIC_TOP5[:2], 1, 5).select("row_id", F.col("first_step").isNotNull().alias("mixed"))
+    random = policies.replay_drawn(seen, [1], 5).select("row_id", F.col("first_step").isNotNull().alias("random"))
     base = seen.groupBy("row_id").agg(F.bool_or("gated_flip").alias("any"), F.bool_or(F.col("gated_flip") & F.col("attack_idx").isin(STATIC_TOP5)).alias("top5"))
     blind = base.filter(F.col("any") & ~F.col("top5")).join(each, "row_id").join(random, "row_id")
     n = F.nullif(F.count(F.lit(1)), F.lit(0))
@@ -83,11 +82,9 @@ def episode_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def policy_table_mean_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random-5 and Top2+Random over seeds: mean, population and sample deviation of success."""
-    seen, parts = verified(spark, sf_dir), []
-    for seed in SEEDS:
-        parts.append(policies.summary(policies.replay(seen, policies.random_steps(seen, seed, 5)), "Random-5", 5))
-        parts.append(policies.summary(policies.first_then(seen, STATIC_TOP5[:2], seed, 5), "Top2+Random", 5))
-    runs = reduce(DataFrame.unionByName, parts)
+    seen = verified(spark, sf_dir)
+    methods = {"Random-5": [], "Top2+Random": STATIC_TOP5[:2]}
+    runs = reduce(DataFrame.unionByName, [policies.summary(policies.replay_drawn(seen, list(SEEDS), 5, after), name, 5, "seed") for name, after in methods.items()])
     rate = F.col("success_rate_pct")
     return runs.groupBy("method").agg(F.count(F.lit(1)).alias("seeds"), F.round(F.avg(rate), 5).alias("mean_pct"), F.round(F.stddev_pop(rate), 5).alias("sd_pop"), F.round(F.stddev_samp(rate), 5).alias("sd_samp"), F.round(F.avg((22 - F.col("mean_calls")) / 22), 5).alias("call_reduction"))
 
