@@ -45,7 +45,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sage_mean_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     means = graph.mean_aggregate(v, _edges(spark, sf_dir), graph.width(v, "features"))
-    return means.select("dst", "degree", F.posexplode("mean").alias("dim", "value")).select("dst", "degree", "dim", F.round("value", 5).alias("value"))
+    return means.select("dst", "degree", F.posexplode("mean").alias("dim", "value")).select("dst", "degree", "dim", (F.signum("value") * F.round(F.abs("value"), 5)).alias("value"))  # a small negative number is -0.0, as in IEEE 754
 
 
 def attention_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
