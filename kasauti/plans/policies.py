@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import policies, reinforce
+from ..operators import ablation, policies, reinforce
 from ..operators.sampling import split_60_20_20
+from ..sources import tables
 from ..sources.fixed import STATIC_TOP5
 from ..sources.tables import CTE_VERIFIED, with_ctes
 from .verification import verified
@@ -102,11 +103,17 @@ def hybrid_auditor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reinforce.reinforce(verified(spark, sf_dir), warm=STATIC_TOP5[:2])
 
 
+def ablation_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned policies with and without graph nodes, price, exploration and failed claims."""
+    vectors = tables.read(spark, sf_dir, "embeddings").groupBy(F.col("vec_id").alias("row_id")).agg(F.first("embedding").alias("vector"))
+    return ablation.suite(verified(spark, sf_dir), vectors, tables.attacks(spark))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         policy_static_top5, policy_random5_md5, policy_oracle, policy_top2_plus_random, hypergeometric_coverage, greedy_coverage_top5, blind_spots_and_recall, discovery_at_k,
-        episode_returns, policy_table_mean_sd, ucb_bandit, reinforce_policy, hybrid_auditor,
+        episode_returns, policy_table_mean_sd, ucb_bandit, reinforce_policy, hybrid_auditor, ablation_suite,
     )
 }
 
