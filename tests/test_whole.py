@@ -8,7 +8,7 @@ from .compare import same
 
 DATA = "/root/testdata/sf0.01"
 
-NAMES = ["char_ngram_fscore", "omission_spans", "homoglyph_or_zero_width", "alias_label_normalise", "sub_question_counts", "sage_mean_aggregate", "embedding_mean_pool", "augmented_state", "bootstrap_ci"]
+NAMES = ["char_ngram_fscore", "omission_spans", "homoglyph_or_zero_width", "alias_label_normalise", "sub_question_counts", "sage_mean_aggregate", "embedding_mean_pool", "augmented_state", "bootstrap_ci", "attacked_records", "audit_rates"]
 
 
 @pytest.mark.parametrize("name", NAMES)
