@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.picks import digest
+from ..functions.text import squeeze
 from ..functions.verdicts import clean_response, is_usable
 from .graph import attack_features, cosine
 
@@ -59,6 +60,21 @@ def with_source(records: DataFrame, claims: DataFrame) -> DataFrame:
     return records.join(own, "row_id", "left").withColumn("skip_reason", F.when(F.col("found").isNull(), "missing_source_row")).drop("found")
 
 
+def results(attacked: DataFrame, claims: DataFrame, verified: DataFrame) -> DataFrame:
+    """A row of text for each attacked record, with its claim and what was made of it; '' where there is none, white space made single spaces.
+
+    ``verified`` has each row_id and attack_id once; rows without a verdict keep their claim.
+    """
+    own = claims.select("row_id", F.col("claim").alias("original_claim"), F.col("evidence").alias("original_evidence"), F.col("label").alias("gold_label"))
+    judged = ["flipped", "reason", "fluency", "meaning_preserved", "excluded", "gate_reason"]
+    said = verified.select("row_id", "attack_id", "verdict", F.col("verdict_raw") if "verdict_raw" in verified.columns else F.lit("").alias("verdict_raw"), *judged)
+    joined = attacked.join(own, "row_id", "left").join(said, ["row_id", "attack_id"], "left")
+    one = lambda c: F.coalesce(squeeze(F.col(c)), F.lit("")).alias(c)
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    texts = ["original_claim", "original_evidence", "adversarial_claim", "adversarial_evidence"]
+    return joined.select("row_id", "attack_id", *map(one, texts), told("gold_label"), told("verdict"), one("verdict_raw"), *map(told, judged))
+
+
 def mean_pool(vectors: DataFrame, key: str, mask: Column, dims: int, vector: str = "features") -> DataFrame:
     """key and pooled: the mean of each group's vectors that the mask lets through."""
     sums = vectors.filter(mask).groupBy(key).agg(*[F.avg(F.get(vector, F.lit(i)).cast("double")).alias(f"m{i}") for i in range(dims)])

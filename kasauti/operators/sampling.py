@@ -27,21 +27,28 @@ def ranges(df: DataFrame, purpose: str, id_col: str, keys: list[str]) -> tuple[D
     return keyed, sizes.select(*keys, "__range", before.alias("__before"), F.sum("__n").over(stratum).alias("total"))
 
 
-def stratified(df: DataFrame, domain: str, label: str, per_domain: int, labels: list[str], id_col: str = "row_id") -> DataFrame:
+def stratified(df: DataFrame, domain: str, label: str, per_domain: int | DataFrame, labels: list[str], id_col: str = "row_id") -> DataFrame:
     """``per_domain`` rows of each domain, as equal over labels as the rows allow.
 
-    Each label may give a share of per_domain // len(labels), the largest label
+    ``per_domain`` is a number for all domains or a table of domain and target (each
+    domain once, of a size to broadcast; domains without a target give no rows). Each
+    label may give a share of per_domain // len(labels), the largest label
     also the remainder; what a label lacks is filled from the others' surplus,
     largest surplus first. Counts of hash ranges tell which ranges reach into the
     sample; only their rows are ordered, so a stratum is never in one task.
     """
     keyed, sizes = ranges(df, "sample", id_col, [domain, label])
     counts = sizes.groupBy(domain, label).agg(F.max("total").alias("have"))
+    if isinstance(per_domain, DataFrame):
+        targets = per_domain.select(F.col(per_domain.columns[0]).alias(domain), F.greatest(F.lit(0), F.col("target")).cast("int").alias("__target"))
+        counts = counts.join(F.broadcast(targets), domain)
+    else:
+        counts = counts.withColumn("__target", F.lit(per_domain))
     size_order = Window.partitionBy(domain).orderBy(F.desc("have"), label)
-    base, rest = per_domain // len(labels), per_domain % len(labels)
-    want = counts.withColumn("want", F.lit(base) + F.when(F.row_number().over(size_order) == 1, rest).otherwise(0))
+    base, rest = F.floor(F.col("__target") / len(labels)).cast("int"), F.col("__target") % len(labels)
+    want = counts.withColumn("want", base + F.when(F.row_number().over(size_order) == 1, rest).otherwise(0))
     took = want.withColumn("take", F.least("have", "want")).withColumn("surplus", F.col("have") - F.col("take"))
-    short = (F.lit(per_domain) - F.sum("take").over(Window.partitionBy(domain))).alias("short")
+    short = (F.col("__target") - F.sum("take").over(Window.partitionBy(domain))).alias("short")
     before = F.coalesce(F.sum("surplus").over(Window.partitionBy(domain).orderBy(F.desc("surplus"), label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     filled = took.withColumn("short", short).withColumn("before", before)
     extra = F.greatest(F.lit(0), F.least(F.col("surplus"), F.col("short") - F.col("before")))

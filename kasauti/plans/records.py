@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, linking, records
+from ..operators import graph, linking, records, registry
 from ..operators.evaluation import ranking
 from ..sources import tables
 from ..sources.fixed import ATTACKS
 from ..sources.tables import CTE_ATTACKS, CTE_CLAIMS, CTE_VERIFIED, with_ctes
 from .graphs import FEATURED, cosine_sql
+from .perturbations import GLYPH, JUMBLE
 from .verification import verified
 
 #: Numbers of an embedding.
@@ -42,6 +43,21 @@ def records_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(F.coalesce("skip_reason", F.lit("found")).alias("result"), F.coalesce("label", F.lit("NONE")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Perturbations of ``result_records`` and where their SQL finds the texts.
+SHOWN = {"CA_CHAR_05_HomoglyphPerturbation": "glyph", "CA_WORD_03_Jumbling": "jumble"}
+
+
+def result_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows of two perturbations: how many of each outcome, and the length of their texts."""
+    claims = tables.claims(spark, sf_dir)
+    attacked = registry.perturb_all(claims, None, {a: registry.REGISTRY[a] for a in SHOWN})
+    rows = records.results(attacked, claims, verified(spark, sf_dir))
+    chars = lambda c: F.sum(F.char_length(c)).alias(f"{c}_chars")
+    return rows.groupBy("attack_id", "gold_label", "verdict", "flipped", "reason", "excluded", "gate_reason").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.expr("try_cast(fluency AS BIGINT)"), F.lit(0))).alias("fluency"), *map(chars, ["original_claim", "original_evidence", "adversarial_claim", "adversarial_evidence"])
+    )
+
+
 def embedding_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = tables.read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("features"))
     pooled = records.mean_pool(v, "label", F.lit(True), graph.width(v, "features"))
@@ -93,7 +109,7 @@ def link_prediction_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (generated_attacks, sub_question_counts, records_with_source, embedding_mean_pool, exemplar_pair_state, state_ablation, augmented_state, random_exemplars, epsilon_grid, link_prediction, link_prediction_macro)
+    for f in (generated_attacks, sub_question_counts, records_with_source, result_records, embedding_mean_pool, exemplar_pair_state, state_ablation, augmented_state, random_exemplars, epsilon_grid, link_prediction, link_prediction_macro)
 }
 
 _spec = ", ".join(f"({i}, '{a}', '{w}', '{t}', {s}, {j})" for i, (a, w, t, s, j) in enumerate(records.GENERATORS))
@@ -116,6 +132,12 @@ ORACLES = {
         SELECT role, questions, count(*) AS n FROM l GROUP BY ALL""",
     "records_with_source": with_ctes(CTE_VERIFIED, CTE_CLAIMS, then="""SELECT CASE WHEN c.row_id IS NULL THEN 'missing_source_row' ELSE 'found' END AS result, coalesce(c.label, 'NONE') AS label, count(*) AS n
         FROM outcomes o LEFT JOIN claims c USING (row_id) GROUP BY ALL"""),
+    "result_records": with_ctes(CTE_VERIFIED, CTE_CLAIMS, JUMBLE, GLYPH, "made AS (" + " UNION ALL ".join(f"SELECT row_id, '{a}' AS attack_id, changed FROM {x}" for a, x in SHOWN.items()) + ")",
+        "v AS (SELECT row_id, attack_id, verdict, flipped, reason, fluency, excluded, gate_reason FROM verified)",
+        then="SELECT attack_id, coalesce(label, '') AS gold_label, " + ", ".join(f"coalesce({c}::VARCHAR, '') AS {c}" for c in ("verdict", "flipped", "reason", "excluded", "gate_reason"))
+        + ", count(*) AS n, CAST(coalesce(sum(fluency), 0) AS BIGINT) AS fluency, "
+        + ", ".join(rf"CAST(sum(length(coalesce(trim(regexp_replace({c}, '[ \t\n\v\f\r]+', ' ', 'g')), ''))) AS BIGINT) AS {n}_chars" for c, n in (("claim", "original_claim"), ("evidence", "original_evidence"), ("changed", "adversarial_claim")))
+        + ", 0 AS adversarial_evidence_chars FROM made JOIN claims USING (row_id) LEFT JOIN v USING (row_id, attack_id) WHERE trim(coalesce(claim, '')) <> '' GROUP BY ALL"),
     "embedding_mean_pool": f"""SELECT label, CAST(dim AS INT) AS dim, round(avg(embedding[dim + 1]::DOUBLE), 5) AS value FROM embeddings, range({DIMS}) r(dim) GROUP BY label, dim""",
     "exemplar_pair_state": with_ctes(CTE_ATTACKS, FEATURED, "p AS (SELECT a.attack_idx AS target, b.attack_idx AS candidate, a.f AS x, b.f AS y, m.family = n.family AS fam, m.arm = n.arm AS arm, m.injected AS inj FROM f a JOIN f b ON a.attack_idx <> b.attack_idx JOIN attacks m ON m.attack_idx = a.attack_idx JOIN attacks n ON n.attack_idx = b.attack_idx)",
         f"s AS (SELECT *, {cosine_sql('x[1:12]', 'y[1:12]')} AS sim FROM p)",
