@@ -14,8 +14,10 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .line_dedup import line_dedup
 from .simhash import near_duplicates
+from .token_alignment import alignment_counts
 from .token_counts import token_counts
 from .url_filters import filter_urls, rule
+from .vector_codes import vector_codes
 
 URL_RULES = [
     rule("block", "com/en/"),
@@ -72,11 +74,52 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_byte_bpe, op4_html_extract, op5_quality, op6_token_counts, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filters)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment_counts(table(spark, sf_dir, "documents"), *paths)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_byte_bpe, op4_html_extract, op5_quality, op6_token_counts, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filters, op11_token_alignment, op12_vector_codes)}
 
 SPACE = r"[\x20\x09-\x0D]"
 
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Every distance of every round, as vector_codes defines them."""
+    sql = f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, len(embedding) // {parts} AS d,
+                list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        x AS MATERIALIZED (SELECT r, (i - 1) // d AS p, (i - 1) % d AS pos, v[i] AS x FROM (SELECT r, d, v, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+        b0 AS MATERIALIZED (SELECT p, r AS e, pos, x AS c FROM x WHERE r < {entries}),"""
+    for n in range(rounds + 1):
+        sql += f"""
+        a{n} AS MATERIALIZED (
+            SELECT r, p, min(dist * {entries} + e) % {entries} AS e, CAST(min(dist * {entries} + e) // {entries} AS BIGINT) AS dist
+            FROM (SELECT r, p, e, CAST(sum((x - c) * (x - c)) AS BIGINT) AS dist FROM x JOIN b{n} USING (p, pos) GROUP BY r, p, e) GROUP BY r, p
+        ),"""
+        if n < rounds:
+            sql += f"""
+        m{n} AS MATERIALIZED (SELECT p, e, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{n} USING (r, p) GROUP BY p, e, pos),
+        b{n + 1} AS MATERIALIZED (SELECT p, e, pos, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM b{n} LEFT JOIN m{n} USING (p, e, pos)),"""
+    return sql + f"""
+        coded AS (
+            SELECT vec_id, label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error
+            FROM a{rounds} JOIN kept USING (r) GROUP BY r, vec_id, label
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(c, ',' ORDER BY p, e, pos)) FROM b{rounds}) AS codebooks_sha256
+        FROM coded"""
+
+
 ORACLES = {
+    "op12_vector_codes": _codes_sql(),
     "op1_exact_dedup": rf"""
         WITH digests AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{SPACE}+', ' ', 'g')) AS text_sha256 FROM documents
