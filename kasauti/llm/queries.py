@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .line_dedup import line_dedup
 from .simhash import near_duplicates
+from .suffix_dedup import drop_repeats
 from .token_alignment import alignment_counts
 from .token_counts import token_counts
 from .url_filters import filter_urls, rule
@@ -83,7 +84,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_byte_bpe, op4_html_extract, op5_quality, op6_token_counts, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filters, op11_token_alignment, op12_vector_codes)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = drop_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_byte_bpe, op4_html_extract, op5_quality, op6_token_counts, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filters, op11_token_alignment, op12_vector_codes, op13_suffix_dedup)}
 
 SPACE = r"[\x20\x09-\x0D]"
 
