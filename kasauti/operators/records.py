@@ -68,7 +68,7 @@ def results(attacked: DataFrame, claims: DataFrame, verified: DataFrame) -> Data
     own = claims.select("row_id", F.col("claim").alias("original_claim"), F.col("evidence").alias("original_evidence"), F.col("label").alias("gold_label"))
     judged = ["flipped", "reason", "fluency", "meaning_preserved", "excluded", "gate_reason"]
     said = verified.select("row_id", "attack_id", "verdict", F.col("verdict_raw") if "verdict_raw" in verified.columns else F.lit("").alias("verdict_raw"), *judged)
-    joined = attacked.join(own, "row_id", "left").join(said, ["row_id", "attack_id"], "left")
+    joined = attacked.drop("gold_label").join(own, "row_id", "left").join(said, ["row_id", "attack_id"], "left")
     one = lambda c: F.coalesce(squeeze(F.col(c)), F.lit("")).alias(c)
     told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     texts = ["original_claim", "original_evidence", "adversarial_claim", "adversarial_evidence"]

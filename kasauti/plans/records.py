@@ -11,7 +11,7 @@ from ..sources import tables
 from ..sources.fixed import ATTACKS
 from ..sources.tables import CTE_ATTACKS, CTE_CLAIMS, CTE_VERIFIED, with_ctes
 from .graphs import FEATURED, cosine_sql
-from .perturbations import GLYPH, JUMBLE
+from .perturbations import GLYPH, JUMBLE, TABLE_LANGUAGES
 from .verification import verified
 
 #: Numbers of an embedding.
@@ -44,13 +44,13 @@ def records_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Perturbations of ``result_records`` and where their SQL finds the texts.
-SHOWN = {"CA_CHAR_05_HomoglyphPerturbation": "glyph", "CA_WORD_03_Jumbling": "jumble"}
+SHOWN = {"CA_CHAR_05_HomoglyphPerturbation": "(SELECT row_id, CASE WHEN language IN ('en', 'de') THEN changed END AS changed FROM glyph JOIN claims USING (row_id))", "CA_WORD_03_Jumbling": "(SELECT row_id, CASE WHEN language IN ('en', 'fr', 'de') THEN changed END AS changed FROM jumble JOIN claims USING (row_id))"}
 
 
 def result_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows of two perturbations: how many of each outcome, and the length of their texts."""
     claims = tables.claims(spark, sf_dir)
-    attacked = registry.perturb_all(claims, None, {a: registry.REGISTRY[a] for a in SHOWN})
+    attacked = registry.perturb_all(claims, None, {a: registry.REGISTRY[a] for a in SHOWN}, TABLE_LANGUAGES)
     rows = records.results(attacked, claims, verified(spark, sf_dir))
     chars = lambda c: F.sum(F.char_length(c)).alias(f"{c}_chars")
     return rows.groupBy("attack_id", "gold_label", "verdict", "flipped", "reason", "excluded", "gate_reason").agg(
