@@ -59,8 +59,31 @@ VOTES = [
 # The policy that tries the five strongest perturbations, in order.
 STATIC_TOP5 = [19, 17, 20, 14, 18]
 
-# What joins injected evidence to the original, and Hindi words that stand for a verdict.
+# What joins injected evidence to the original, what verifier and judge are asked, and Hindi words that stand for a verdict.
 INJECTED_SEPARATOR = " एक अन्य स्रोत के अनुसार: "
+MOCK_SIGN = "एक अन्य स्रोत"
+VERIFIER_SYSTEM = "You are an automated fact-checking system. You verify Hindi claims against evidence. Do not show any reasoning or thinking. Output ONLY one label: SUP, REF, or NEI."
+VERIFIER_PROMPT = (
+    "Classify whether the evidence supports, refutes, or is insufficient for the claim.\n\n"
+    'Claim: "{claim}"\n\nEvidence: "{evidence}"\n\n'
+    "Labels:\n"
+    "- SUP (supported): the evidence fully supports the claim.\n"
+    "- REF (refuted): the evidence contradicts the claim.\n"
+    "- NEI (not enough info): the evidence is insufficient to decide.\n\n"
+    "Examples:\n"
+    '1. Claim: "दिल्ली भारत की राजधानी है।" Evidence: "दिल्ली भारत की राजधानी है।" -> SUP\n'
+    '2. Claim: "भारत की राजधानी मुंबई है।" Evidence: "दिल्ली भारत की राजधानी है।" -> REF\n'
+    '3. Claim: "दिल्ली का मौसम अच्छा है।" Evidence: "दिल्ली भारत की राजधानी है।" -> NEI\n\n'
+    "Now classify the claim above. Output only the label, with no reasoning."
+)
+JUDGE_SYSTEM = "You are a Hindi-language quality judge. Do not show any reasoning or thinking. Output ONLY valid JSON, no explanations."
+JUDGE_PROMPT = (
+    'Original claim: "{original_claim}"\n\nAttacked text: "{attacked_text}"\n\n'
+    "Judge the attacked text:\n"
+    "- fluency: 1-5 (5 = perfect natural Hindi, 1 = broken/garbled).\n"
+    "- meaning_preserved: true if the attacked text still means the same as the original claim, false if the meaning changed.\n\n"
+    'Respond as JSON: {"fluency": <int>, "meaning_preserved": <true|false>}'
+)
 HINDI_HINTS = [
     ("SUP", ["समर्थित", "समर्थन", "सही", "सत्य", "पुष्टि"]),
     ("REF", ["खंडित", "खंडन", "गलत", "असत्य", "विरोध"]),
