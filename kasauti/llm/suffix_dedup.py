@@ -46,9 +46,9 @@ from pyspark.sql.window import Window
 from .common import cut, partitions, text_or_empty
 
 #: Bytes of an anchor.
-GRAM = 16
-#: Text in a leaf, about; a longer text is a leaf of its own.
-LEAF_BYTES = 1 << 23
+GRAM = 32
+#: Text in a block, which is compressed as one, and in a leaf, about; a longer text is a leaf of its own.
+BLOCK_BYTES, LEAF_BYTES, LEVEL = 1 << 18, 1 << 23, 6
 #: Bytes whose anchors are looked for at once; a place takes that many bits beside its hash.
 PIECE_BITS = 20
 #: Positions of a suffix array: three ranks fit into 63 bits. Gathered before one is built, about.
@@ -99,9 +99,12 @@ def anchors(texts: list[bytes], least: int) -> Anchors:
         raise ValueError(f"least is {GRAM} or more")
     for raw, owner, origin, ends in _pieces(texts, least):
         words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-        h = words[:-8] * MIX[0]
-        other = words[8:] * MIX[1]
-        h ^= other ^ (other >> np.uint64(31))
+        m = len(raw) - GRAM + 1
+        h = words[:m] * MIX[0]
+        for k in range(8, GRAM, 8):
+            h ^= h >> np.uint64(31)
+            h += words[k : k + m]
+            h *= MIX[1]
         h ^= h >> np.uint64(32)
         h *= MIX[2]
         h ^= h >> np.uint64(29)
@@ -244,40 +247,66 @@ def capacity(least: int) -> int:
 
 
 def _stored(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """leaf, nth (place in the leaf), id, n_bytes and blob of every row."""
+    """leaf, nth (place of the first text in the leaf), ids, sizes and blob of every block of texts."""
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(f"`{text_col}`").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, nth, filled = TaskContext.get().partitionId() << 32, 0, 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(start, 256), []
-                for text in part.column(1).to_pylist():
-                    if filled and filled + len(text) > LEAF_BYTES:
-                        leaf, nth, filled = leaf + 1, 0, 0
-                    rows.append((leaf, nth, len(text), zstandard.compress(text, 1)))
-                    nth, filled = nth + 1, filled + len(text) + 64
-                leaves, places, sizes, blobs = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(places, pa.int32()), part.column(0), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["leaf", "nth", "id", "n_bytes", "blob"])
+        leaf, nth, filled, size = TaskContext.get().partitionId() << 32, 0, 0, 0
+        ids: list[int | None] = []
+        texts: list[bytes] = []
+
+        def block() -> pa.RecordBatch:
+            sizes, blob = list(map(len, texts)), zstandard.compress(b"".join(texts), LEVEL)
+            made = [pa.array([leaf], pa.int64()), pa.array([nth - len(texts)], pa.int32()), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([blob], pa.binary())]
+            ids.clear()
+            texts.clear()
+            return pa.RecordBatch.from_arrays(made, names=["leaf", "nth", "ids", "sizes", "blob"])
 
-    return cut(source.mapInArrow(run, "leaf long, nth int, id long, n_bytes long, blob binary"))
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1))):
+                if texts and size + len(text) > BLOCK_BYTES:
+                    yield block()
+                    size = 0
+                if filled and filled + len(text) > LEAF_BYTES:
+                    if texts:
+                        yield block()
+                    leaf, nth, filled, size = leaf + 1, 0, 0, 0
+                ids.append(i)
+                texts.append(text)
+                nth, filled, size = nth + 1, filled + len(text) + 64, size + len(text) + 64
+        if texts:
+            yield block()
+
+    return cut(source.mapInArrow(run, "leaf long, nth int, ids array<bigint>, sizes array<bigint>, blob binary"))
+
+
+def _texts(sizes: list[list[int]], blobs: list[bytes]) -> list[bytes]:
+    """The texts of blocks, in order."""
+    out = []
+    for own, blob in zip(sizes, blobs):
+        raw, at = zstandard.decompress(blob), 0
+        for n in own:
+            out.append(raw[at : at + n])
+            at += n
+    return out
 
 
-def _texts(blobs: list[bytes]) -> list[bytes]:
-    return list(map(zstandard.decompress, blobs))
+def _places(firsts: list[int], sizes: list[list[int]]) -> list[int]:
+    return [nth + k for nth, own in zip(firsts, sizes) for k in range(len(own))]
 
 
 def _repeated_anchors(stored: DataFrame, least: int) -> DataFrame:
     """leaf, key and total of the anchors that stand more than once, for each leaf that holds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((leaf, blob) for b in batches for leaf, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         for leaf, held in groupby(rows, key=lambda r: r[0]):
-            keys, times = np.unique(anchors(_texts([blob for _, blob in held]), least).key, return_counts=True)
+            _, sizes, blobs = zip(*held)
+            keys, times = np.unique(anchors(_texts(sizes, blobs), least).key, return_counts=True)
             if len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), leaf)), pa.array(keys), pa.array(times)], names=["leaf", "key", "n"])
 
-    asked = stored.filter(F.col("n_bytes") >= least).select("leaf", "blob").mapInArrow(run, "leaf long, key long, n long")
+    asked = stored.select("leaf", "sizes", "blob").mapInArrow(run, "leaf long, key long, n long")
     # A key has a row for each leaf at most.
     return asked.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).filter("total > 1").select("leaf", "key", "total")
 
@@ -304,7 +333,8 @@ def _contexts(stored: DataFrame, told: DataFrame, least: int, most: int) -> Data
             return _rows([])
         leaf, order = texts.column("leaf")[0].as_py(), np.argsort(told.column("key").to_numpy())
         keys, totals = told.column("key").to_numpy()[order], told.column("total").to_numpy()[order]
-        places, whole = texts.column("nth").to_pylist(), _texts(texts.column("blob").to_pylist())
+        sizes = texts.column("sizes").to_pylist()
+        places, whole = _places(texts.column("nth").to_pylist(), sizes), _texts(sizes, texts.column("blob").to_pylist())
         found = anchors(whole, least)
         at = np.minimum(np.searchsorted(keys, found.key), len(keys) - 1)
         met = np.flatnonzero(keys[at] == found.key)
@@ -329,8 +359,7 @@ def _contexts(stored: DataFrame, told: DataFrame, least: int, most: int) -> Data
             rows.append(_spans(leaf, places[t], *united(found.first[own], found.last[own] + least)))
         return _rows(rows)
 
-    sides = stored.filter(F.col("n_bytes") >= least).select("leaf", "nth", "blob").groupBy("leaf"), told.groupBy("leaf")
-    return sides[0].cogroup(sides[1]).applyInArrow(run, SENT)
+    return stored.select("leaf", "nth", "sizes", "blob").groupBy("leaf").cogroup(told.groupBy("leaf")).applyInArrow(run, SENT)
 
 
 class _Group(NamedTuple):
@@ -453,8 +482,8 @@ def drop_repeats(df: DataFrame, least: int = 200, id_col: str = "doc_id", text_c
         for nth, packed in zip(spans.column("nth").to_pylist(), spans.column("bytes").to_pylist()):
             by_text.setdefault(nth, []).append(packed)
         removed, runs, kept = [], [], []
-        for nth, blob in zip(texts.column("nth").to_pylist(), texts.column("blob").to_pylist()):
-            text = zstandard.decompress(blob)
+        sizes = texts.column("sizes").to_pylist()
+        for nth, text in zip(_places(texts.column("nth").to_pylist(), sizes), _texts(sizes, texts.column("blob").to_pylist())):
             met = [np.frombuffer(p, "<i8").reshape(2, -1) for p in by_text.get(nth, [])]
             starts, ends = united(*np.concatenate(met, axis=1)) if met else (np.zeros(0, np.int64),) * 2
             edges = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(text)]
@@ -463,7 +492,7 @@ def drop_repeats(df: DataFrame, least: int = 200, id_col: str = "doc_id", text_c
             runs.append([{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist())])
         shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.Table.from_arrays(
-            [texts.column("id"), texts.column("n_bytes"), pa.array(removed, pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, shape), pa.array(kept, pa.binary())],
+            [pa.array([i for own in texts.column("ids").to_pylist() for i in own], pa.int64()), pa.array([n for own in sizes for n in own], pa.int64()), pa.array(removed, pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, shape), pa.array(kept, pa.binary())],
             names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
         )
 

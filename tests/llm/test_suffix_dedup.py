@@ -39,7 +39,7 @@ def copies(rnd, n, alphabet=b"ab\0", longest=120):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.randoms(use_true_random=False), st.integers(16, 40))
+@given(st.randoms(use_true_random=False), st.integers(32, 60))
 def test_anchors_own_each_start_once(rnd, least):
     texts = copies(rnd, 6)
     found = sd.anchors(texts, least)
@@ -81,11 +81,11 @@ def test_stretches_of_long_texts(monkeypatch):
     monkeypatch.setattr(sd, "PIECE_BITS", 8)
     rnd = random.Random(2)
     texts = copies(rnd, 20, longest=900)
-    found = sd.anchors(texts, 20)
+    found = sd.anchors(texts, 40)
     starts = [(t, s) for t, a, b in zip(*(c.tolist() for c in found[:3])) for s in range(a, b + 1)]
-    assert sorted(starts) == [(n, s) for n, t in enumerate(texts) for s in range(len(t) - 19)]
+    assert sorted(starts) == [(n, s) for n, t in enumerate(texts) for s in range(len(t) - 39)]
     with pytest.raises(ValueError):
-        sd.anchors([b"x" * 30], 15)
+        sd.anchors([b"x" * 60], 31)
 
 
 def found(spark, texts, least, parts=4, **how):
@@ -105,13 +105,14 @@ def found(spark, texts, least, parts=4, **how):
 def test_against_brute_force(spark, monkeypatch, most):
     """By suffix arrays alone, by digests alone, and both; in leaves of several sizes."""
     monkeypatch.setattr(sd, "LEAF_BYTES", 900)
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 300)
     monkeypatch.setattr(sd, "GATHERED", 3000)
     rnd = random.Random(most)
     texts = copies(rnd, 120, b"abcdefgh \n", 200) + [b"word " * 60, b"word " * 40, b"x" * 300, b"", b"short", "é🎉".encode() * 30]
     texts += [texts[3]] * 3
-    expected = brute(texts, 24)
+    expected = brute(texts, 36)
     assert sum(map(len, expected)) > 50
-    assert found(spark, texts, 24, most=most) == expected
+    assert found(spark, texts, 36, most=most) == expected
 
 
 def test_query_against_brute_force(spark):
