@@ -46,13 +46,15 @@ from .byte_bpe import BYTE_OF
 from .common import cut, per_text
 
 #: Chunks whose alignment a worker keeps in each of two tables, and the longest one kept.
-KEPT_CHUNKS, KEPT_CHARS = 150_000, 64
+KEPT_CHUNKS, KEPT_CHARS = 250_000, 64
 #: Pairs that are sent to all tasks have at least this share of all links.
 HOT_PAIRS = 1 << 16
 #: Pairs a task gathers before it counts them.
 GATHERED = 1 << 21
 #: A space at a text's end is no chunk: B, whose own space would be all of it, gives nothing for an empty text.
-BREAK = re.compile(r"(?s)(?<=\S)(?= .)")
+BREAK = re.compile(r"(?s)(?<=\S) (?=.)")
+#: Where the cuts are not simply all spaces.
+ODD = re.compile(r"\s | $")
 #: What is a link: tokens that end together, tokens that overlap, all tokens of a group.
 LINKS = ("ends", "overlaps", "products")
 
@@ -88,7 +90,7 @@ def expand(sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Aligned(NamedTuple):
-    """What a stretch of text comes to; links are pairs packed as A's id << 32 | B's id."""
+    """What a stretch of text comes to; links are pairs packed as A's id << 32 | B's id. Of a chunk, the groups end in a semicolon."""
 
     n_a: int
     n_b: int
@@ -112,6 +114,8 @@ class Aligner:
         self.bytes_a = [bytes(BYTE_OF.get(c, 0) for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        #: What a token is called before another of its own (even) and before the other tokenizer's (odd).
+        self.names = [f"{i}{end}" for size, ends in ((len(self.bytes_a), ",|"), (len(pieces), ",;")) for i in range(size) for end in ends]
         self.size_a, self.size_b = (np.array([len(b) for b in known], np.int64) for known in (self.bytes_a, self.bytes_b))
         self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces)
         self.kept: dict[str, Aligned | None] = {}
@@ -121,7 +125,7 @@ class Aligner:
         """Ids of A and of B for a text that begins with a space; none if they don't spell it."""
         if "▁" in text:
             return None
-        a, b, raw = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]), text.encode()
+        a, b, raw = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:]), text.encode()
         spelt = all(b"".join(map(known.__getitem__, i)) == raw for known, i in ((self.bytes_a, a), (self.bytes_b, b)))
         return (a, b) if spelt else None
 
@@ -138,27 +142,28 @@ class Aligner:
             at_a, at_b, per_group = cut_up.own_a, cut_up.own_b, np.diff(np.flatnonzero(cut_up.closes), prepend=-1)
         else:
             (at_a, at_b), per_group = expand(n_a, n_b), n_a * n_b
-        pairs, linked = (a[at_a] << 32 | b[at_b]).astype("<i8"), np.cumsum(per_group)
-        names_a, names_b = list(map(str, ids[0])), list(map(str, ids[1]))
-        shown, p, q = [], 0, 0
-        for i, j in zip(last_a.tolist(), last_b.tolist()):
-            shown.append(",".join(names_a[p:i]) + "|" + ",".join(names_b[q:j]))
-            p, q = i, j
-        sizes = np.cumsum([len(c.encode()) for c in chunks])
-        closed, met = np.searchsorted(cut_up.ends[cut_up.closes], sizes) + 1, np.searchsorted(cut_up.ends, sizes) + 1
-        was = [0] * 5
-        for g, m in zip(closed.tolist(), met.tolist()):
-            now = [int(last_a[g - 1]), int(last_b[g - 1]), g, m, int(linked[g - 1])]
-            yield Aligned(*(x - y for x, y in zip(now, was)), ";".join(shown[was[2] : g]), pairs[was[4] : now[4]].tobytes())
-            was = now
+        pairs = (a[at_a] << 32 | b[at_b]).astype("<i8").tobytes()
+        # Each token's name with what follows it, a group's tokens of A before those of B.
+        group_a, group_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+        names = np.empty(len(a) + len(b), np.int64)
+        names[np.arange(len(a)) + (last_b - n_b)[group_a]] = 2 * a + np.isin(np.arange(len(a)), last_a - 1)
+        names[np.arange(len(b)) + last_a[group_b]] = 2 * (len(self.bytes_a) + b) + np.isin(np.arange(len(b)), last_b - 1)
+        shown = list(map(self.names.__getitem__, names.tolist()))
+        sizes = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        closed, met = np.searchsorted(cut_up.ends[cut_up.closes], sizes), np.searchsorted(cut_up.ends, sizes) + 1
+        upto = [last_a[closed], last_b[closed], closed + 1, met, np.cumsum(per_group)[closed]]
+        begin = link = 0
+        for n, m, g, o, k in zip(*(np.diff(u, prepend=0).tolist() for u in upto)):
+            yield Aligned(n, m, g, o, k, "".join(shown[begin : begin + n + m]), pairs[8 * link : 8 * (link + k)])
+            begin, link = begin + n + m, link + k
 
     def _several(self, chunks: list[str]) -> Iterator[tuple[str, Aligned | None]]:
         if not chunks:
             return
-        both = self.ids("".join(chunks))
+        both = self.ids(" " + " ".join(chunks))
         if both:
             # The cuts were sound if both tokenizers have ends at them.
-            sizes = np.cumsum([len(c.encode()) for c in chunks])
+            sizes = np.cumsum([len(c.encode()) + 1 for c in chunks])
             if all(np.isin(sizes, np.cumsum(size[np.array(i, np.int64)])).all() for size, i in zip((self.size_a, self.size_b), both)):
                 yield from zip(chunks, self._aligned(chunks, both))
                 return
@@ -170,38 +175,50 @@ class Aligner:
         yield from self._several(chunks[half:])
 
     def _learn(self, chunks: set[str]) -> dict[str, Aligned | None]:
-        unmet = chunks - self.kept.keys()
-        found = {c: self.older[c] for c in unmet & self.older.keys()}
-        new = [c for c in unmet if c not in found]
+        """Of each chunk, named without the space that it begins with."""
+        known, new = {}, []
+        kept, older = self.kept, self.older
+        for c in chunks:
+            if c in kept:
+                known[c] = kept[c]
+            elif c in older:
+                known[c] = kept[c] = older[c]
+            else:
+                new.append(c)
         # Behind white space another chunk's space would not be a place to cut; what only one tokenizer spells is met alone.
-        joined = [c for c in new if not c[-1].isspace() and "▁" not in c]
-        found.update(self._several(joined))
+        joined = [c for c in new if c and not c[-1].isspace() and "▁" not in c]
+        found = dict(self._several(joined))
         for c in set(new).difference(joined):
             found.update(self._several([c]))
-        long = {c: x for c, x in found.items() if len(c) > KEPT_CHARS}
-        for c in long:
-            del found[c]
-        if len(self.kept) + len(found) > KEPT_CHUNKS:
-            found |= {c: self.kept[c] for c in chunks & self.kept.keys()}
-            self.older, self.kept = self.kept, {}
-        self.kept.update(found)
-        return self.kept | long if long else self.kept
+        known.update(found)
+        kept.update((c, x) for c, x in found.items() if len(c) <= KEPT_CHARS)
+        if len(kept) > KEPT_CHUNKS:
+            self.older, self.kept = kept, {}
+        return known
 
     def align(self, texts: list[str]) -> list[Aligned | None]:
         """Of each text; none where it has no tokens."""
-        cuts = [(BREAK.split(" " + t) if self.cuttable else [" " + t]) if t else [] for t in texts]
+        cuts = []
+        for t in texts:
+            if not t:
+                cuts.append([])
+            elif not self.cuttable:
+                cuts.append([t])
+            else:
+                # Chunks are named without their space; the first one's is not in the text.
+                cuts.append(BREAK.split(t) if ODD.search(" " + t) else t.split(" "))
         known, out = self._learn({c for chunks in cuts for c in chunks}), []
         for chunks in cuts:
             met = [known[c] for c in chunks]
             if not met or None in met:
                 out.append(None)
                 continue
-            *numbers, groups, links = zip(*met)
-            out.append(Aligned(*map(sum, numbers), ";".join(groups), b"".join(links)))
+            n_a, n_b, n_groups, n_overlaps, n_links, groups, links = zip(*met)
+            out.append(Aligned(sum(n_a), sum(n_b), sum(n_groups), sum(n_overlaps), sum(n_links), "".join(groups)[:-1], b"".join(links)))
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=3)
 def aligner(path_a: str, path_b: str, links: str = "ends") -> Aligner:
     return Aligner(path_a, path_b, links)
 
@@ -230,7 +247,9 @@ NUMBERS = ["n_a", "n_b", "n_groups", "n_overlaps", "n_links"]
 
 def _packed(links: bytes) -> bytes:
     """Distinct pairs in order and how often each is linked."""
-    pairs, times = np.unique(np.frombuffer(links, "<i8"), return_counts=True)
+    links = np.sort(np.frombuffer(links, "<i8"))
+    first = np.flatnonzero(np.concatenate([[True], links[1:] != links[:-1]])[: len(links)])
+    pairs, times = links[first], np.diff(first, append=len(links))
     return zstandard.compress(pairs.tobytes() + times.astype("<i8").tobytes(), 1) if len(pairs) else b""
 
 
