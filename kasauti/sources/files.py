@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.etree import ElementTree
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workbooks import read_xlsx
+
 #: Where a normalised claim column may come from, first non-empty first. Fixed values.
 ALIASES = {
     "claim": ["claim", "claim_text", "Claim", "claim1"],
@@ -27,44 +25,6 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
 
 
-def read_xlsx(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataFrame:
-    """The first sheet of one workbook: header row, all cells as strings, empty ones null.
-
-    A workbook is read through Spark's file source and parsed by the driver, so
-    its size is bounded by ``most_bytes``.
-    """
-    file = spark.read.format("binaryFile").load(path)
-    size = file.select("length").first()[0]
-    if size > most_bytes:
-        raise ValueError(f"{path} has {size} bytes, more than {most_bytes}")
-    rows = _sheet_rows(file.select("content").first()[0])
-    header = [h or "" for h in rows[0]] if rows else []
-    filled = [tuple((r + [None] * len(header))[: len(header)]) for r in rows[1:]]
-    return spark.createDataFrame(filled, T.StructType([T.StructField(h, T.StringType()) for h in header]))
-
-
-def _sheet_rows(content: bytes) -> list[list[str | None]]:
-    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
-        shared = ["".join(t.text or "" for t in item.iter(f"{space}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        sheet = ElementTree.fromstring(book.read(min(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml"))))
-    out = []
-    for row in sheet.iter(f"{space}row"):
-        cells: list[str | None] = []
-        for cell in row.iter(f"{space}c"):
-            at = 0
-            for letter in (cell.get("r") or "").rstrip("0123456789"):
-                at = at * 26 + ord(letter) - 64
-            cells += [None] * (at - 1 - len(cells))
-            value = cell.find(f"{space}v")
-            inline = "".join(t.text or "" for t in cell.iter(f"{space}t"))
-            text = inline if cell.get("t") == "inlineStr" else None if value is None else value.text
-            cells.append(shared[int(text)] if cell.get("t") == "s" and text is not None else text)
-        out.append(cells)
-    return out
-
-
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
@@ -107,3 +67,6 @@ def write_summary(df: DataFrame, folder: str) -> None:
 
 def append_audit(df: DataFrame, folder: str) -> None:
     df.write.mode("append").json(folder)
+
+
+__all__ = ["append_audit", "first_rows", "parse_json_columns", "pick", "read_csv", "read_json", "read_per_attack", "read_xlsx", "write_all", "write_per_attack", "write_summary"]
