@@ -18,8 +18,12 @@ below ``THRESHOLD`` go. The evidence, by block:
 
 * *left out* (never stays): within elements whose tag or role names a menu, header,
   footer, sidebar, notice, form and so on, or whose class or id is made of words for
-  these, adverts or comments and of neutral words alone. An element that holds the
-  page's article is a wrapper: its class, a form or a header then says nothing.
+  these, adverts or comments and of neutral words alone. The page's article is the
+  outermost one with most text, outside boxes that are named so if there is such (or a main);
+  only what is around it is a wrapper, whose class, form or header says nothing, so
+  comments and teasers that are articles themselves go with their box.
+* *named for what repeats*: in the region, in a box named menu, notice and so on by class
+  or id alone. It stays where the host's tree is sure that its texts differ.
 * *region*: in ``article`` or ``main``. Without such a mark the tree decides alone;
   with one, what is outside goes, and what is in ``main`` beside an ``article`` needs
   a tree that speaks for it. Articles that call themselves cards or teasers are no
@@ -33,6 +37,8 @@ reads once for all pages of the host. Of hosts with more pages than one in
 ``HOT_HOSTS`` of all, pages are dealt out by hash and the nodes repeated, never
 more often than there are pages; there are at most ``HOT_HOSTS`` such hosts.
 
+How many blocks went, and how many the tree alone would drop, is told for each page.
+
 A block is the text between two boundaries of block elements, with character
 references decoded and runs of white space as one space; ``<br>`` is white space.
 Unclosed and stray tags are handled as browsers do in the common cases (an open
@@ -70,6 +76,8 @@ LAYOUTS = 8
 PRIOR = 20
 NEUTRAL = 0.5
 THRESHOLD = 0.75
+#: Importance of content that surely differs from page to page.
+SURE = 0.9
 DEPTH = 512
 #: Evidence of mark and weight: in the page's region; there, but doubtful; in main beside an article; doubtful on a page without region.
 REGION, REGION_DOUBTFUL, BESIDE, DOUBTFUL_ALONE, NONE = (1.0, 0.6), (THRESHOLD, 0.4), (0.65, 0.4), (0.0, 0.2), (0.0, 0.0)
@@ -87,6 +95,8 @@ ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponso
 LEFT_OUT_WORDS = ADVERT_WORDS | frozenset(
     "banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pagination pager popup recommended related respond share sharing sidebar signup social subscribe toolbar widget widgets".split()
 )
+#: Those that name what is the same on a host's pages, so that its tree can tell when they name something else.
+SAME_WORDS = frozenset("banner cookie cookies consent footer gdpr header login masthead menu menubar nav navbar navigation newsletter notice notices signup subscribe toolbar".split())
 CARD_WORDS = frozenset("card cards teaser teasers preview previews".split())
 NEUTRAL_WORDS = frozenset(
     "main site page global top bottom left right upper lower inner outer primary secondary mobile desktop sticky fixed container wrapper wrap holder box block area region section row col column list item items group slot bar unit zone module component panel strip link links text title body form inline large small medium js sm md lg xs xl".split()
@@ -103,43 +113,53 @@ CLOSES = {
 }
 
 #: A comment or declaration starts, or a whole tag: /, name, attributes, and > unless it never ends.
-TAG = re.compile(r"<!--|<[!?]|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)")
+#: A quote counts where a value begins, nowhere else.
+TAG = re.compile(r"<!--|<[!?]|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>|$)))*+)(>?)")
 #: The same where quotes don't count.
 TAG_UNQUOTED = re.compile(r"<!--|<[!?]|<(/?)([A-Za-z][^\s/>]*)([^>]*+)(>?)")
-NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+#: Name and value of each attribute.
+NAMED = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
+MARKS = frozenset(["class", "id", "role"])
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 CLOSING = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE) for tag in RAW}
 
 # What an element says of itself.
-NOTHING, SEALED, UNLESS_WRAPPER, HEADER, DOUBTFUL, MAIN, ARTICLE, CARD = range(8)
+NOTHING, SEALED, UNLESS_WRAPPER, FORM, NAMED_SAME, HEADER, DOUBTFUL, MAIN, ARTICLE, CARD = range(10)
 # Where a block lies.
 OUT, OUTSIDE, IN_MAIN, IN_ARTICLE = range(4)
 
 
 class Element:
-    __slots__ = ("tag", "key", "parent", "says", "sealed", "holds", "children", "told")
+    __slots__ = ("tag", "key", "parent", "says", "sealed", "boxed", "article", "holds", "children", "told")
 
     def __init__(self, tag: str, key: int, parent: Element | None, says: int):
         self.tag, self.key, self.parent, self.says = tag, key, parent, says
         #: Within a menu, footer, sidebar and so on, where no article is the page's.
         self.sealed: bool = says == SEALED or parent is not None and parent.sealed
+        #: Within a box that only its class or id calls so.
+        self.boxed: bool = says in (UNLESS_WRAPPER, NAMED_SAME) or parent is not None and parent.boxed
+        #: The outermost article or, without one, the outermost main around it.
+        above = parent.article if parent is not None else None
+        self.article: Element | None = self if says == ARTICLE and (above is None or above.says == MAIN) or says == MAIN and above is None else above
         #: Whether the page's article or main is below.
         self.holds = False
         self.children: list[int] = []
-        self.told: tuple[int, bool] | None = None
+        self.told: tuple[int, bool, bool] | None = None
 
-    def place(self) -> tuple[int, bool]:
-        """Where its text lies, and whether that is doubtful; asked once the page is read."""
+    def place(self) -> tuple[int, bool, bool]:
+        """Where its text lies, whether that is doubtful, and whether it is in a box that is named for what all pages repeat; asked once the page is read."""
         if self.told is None:
             chain, e = [], self
             while e is not None and e.told is None:
                 chain.append(e)
                 e = e.parent
-            region, doubtful = e.told if e is not None else (OUTSIDE, False)
+            region, doubtful, same = e.told if e is not None else (OUTSIDE, False, False)
             for e in reversed(chain):
                 if region != OUT:
-                    if e.says == SEALED or e.says == UNLESS_WRAPPER and not e.holds or e.says == HEADER and region == OUTSIDE and not e.holds:
+                    if e.says == NAMED_SAME and not e.holds and region in (IN_ARTICLE, IN_MAIN):
+                        same = True
+                    elif e.says == SEALED or e.says in (UNLESS_WRAPPER, FORM, NAMED_SAME) and not e.holds or e.says == HEADER and region == OUTSIDE and not e.holds:
                         region = OUT
                     elif e.says == ARTICLE:
                         region, doubtful = IN_ARTICLE, False
@@ -147,10 +167,28 @@ class Element:
                         region, doubtful = IN_MAIN, False
                     elif e.says == DOUBTFUL and not e.holds:
                         doubtful = True
-                e.told = region, doubtful
+                e.told = region, doubtful, same
         return self.told
 
 
+def _choose(blocks: list[Block]) -> None:
+    """The page's article, and its main, are those with most text, outside boxes if there are such; what is around them is a wrapper."""
+    size: Counter[Element] = Counter()
+    for b in blocks:
+        e = b.element.article
+        if e is not None and not e.sealed:
+            size[e] += len(b.text)
+    free = lambda e: e.parent is None or not e.parent.boxed
+    any_free_main = any(e.says == MAIN and free(e) for e in size)
+    for kind in (ARTICLE, MAIN):
+        e = max((e for e in size if e.says == kind), key=lambda e: (free(e), size[e]), default=None)
+        if e is None or kind == ARTICLE and any_free_main and not free(e):
+            continue
+        e = e.parent
+        while e is not None and not e.holds:
+            e.holds, e = True, e.parent
+
+
 class Block(NamedTuple):
     element: Element
     text: str
@@ -166,7 +204,8 @@ def _token_says(words: set[str]) -> int:
         return NOTHING
     if words - LEFT_OUT_WORDS - NEUTRAL_WORDS:
         return DOUBTFUL
-    return HEADER if words & LEFT_OUT_WORDS == {"header"} else UNLESS_WRAPPER
+    listed = words & LEFT_OUT_WORDS
+    return HEADER if listed == {"header"} else NAMED_SAME if listed <= SAME_WORDS else UNLESS_WRAPPER
 
 
 def _reads(tag: str, attributes: str) -> tuple[int, str]:
@@ -175,6 +214,8 @@ def _reads(tag: str, attributes: str) -> tuple[int, str]:
     if "=" in attributes:
         for name, *values in NAMED.findall(attributes):
             value, name = "".join(values), name.lower()
+            if name not in MARKS:
+                continue
             if name == "role":
                 role = value.lower()
             elif value:
@@ -192,11 +233,13 @@ def _reads(tag: str, attributes: str) -> tuple[int, str]:
         return CARD if region == ARTICLE and any(words & CARD_WORDS for words in tokens) else region, mark
     if tag in ("html", "body"):
         return NOTHING, mark
-    if tag == "form":
-        return UNLESS_WRAPPER, mark
     says = {_token_says(words) for words in tokens}
     if UNLESS_WRAPPER in says:
         return UNLESS_WRAPPER, mark
+    if tag == "form":
+        return FORM, mark
+    if NAMED_SAME in says:
+        return NAMED_SAME, mark
     if tag == "header" or HEADER in says:
         return HEADER, mark
     return DOUBTFUL if DOUBTFUL in says else NOTHING, mark
@@ -204,7 +247,7 @@ def _reads(tag: str, attributes: str) -> tuple[int, str]:
 
 def _is_advert(attributes: str) -> bool:
     """Of an inline element, whose other words are no region's."""
-    words = ({w.lower() for w in PARTS.findall(token)} for name, *values in NAMED.findall(attributes) if name.lower() != "role" for token in "".join(values).split())
+    words = ({w.lower() for w in PARTS.findall(token)} for name, *values in NAMED.findall(attributes) if name.lower() in ("class", "id") for token in "".join(values).split())
     return any(w & ADVERT_WORDS and w <= ADVERT_WORDS | NEUTRAL_WORDS for w in words)
 
 
@@ -299,15 +342,12 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
         key = _key(above.key, mark)
         above.children.append(key)
         element = Element(tag, key, above, says)
-        if says in (ARTICLE, MAIN) and not above.sealed:
-            e = above
-            while e is not None and not e.holds:
-                e.holds, e = True, e.parent
         open_at[tag].append(len(stack))
         stack.append(element)
     if text:
         flush()
     pop(1)
+    _choose(blocks)
     return blocks, shown
 
 
@@ -354,35 +394,59 @@ def branch(element: Element, nodes: dict[int, float]) -> float:
     return CONTENT * nodes.get(element.key, NEUTRAL) + (1 - CONTENT) * nodes.get(~above, NEUTRAL)
 
 
-def main_text(page: str, nodes: dict[int, float], marks: bool = True) -> str:
-    """The blocks that stay; without ``marks`` by the tree alone."""
+COUNTS = ["n_blocks", "n_tree", "n_gone", "n_both"]
+
+
+class Judged(NamedTuple):
+    """The main text of a page, its blocks, those that the tree alone would drop, those that went, and of these the ones that the tree alone would drop too."""
+
+    text: str
+    blocks: int
+    tree: int
+    gone: int
+    both: int
+
+
+def judged(page: str, nodes: dict[int, float], marks: bool = True) -> Judged:
+    """Every block by the tree's importance of its branch, with the page's marks as evidence beside it (unless ``marks`` are not to be read)."""
     blocks, _ = parse(page)
-    judged: list[tuple[Block, tuple[float, float]]] = [(b, NONE) for b in blocks]
+    tree = [branch(b.element, nodes) for b in blocks]
+    evidence: list[tuple[float, float] | None] = [NONE] * len(blocks)
     if marks:
         places = [b.element.place() for b in blocks]
         size = [0, 0, 0, 0]
-        for b, (region, _) in zip(blocks, places):
-            size[region] += len(b.text)
+        for b, (region, _, same) in zip(blocks, places):
+            size[region] += len(b.text) * (not same)
         wanted = next((r for r in (IN_ARTICLE, IN_MAIN) if size[r]), OUTSIDE)
         if size[IN_MAIN] > size[IN_ARTICLE]:
             wanted = IN_MAIN
-        judged = []
-        for b, (region, doubtful) in zip(blocks, places):
+        for k, (b, (region, doubtful, same)) in enumerate(zip(blocks, places)):
             if region == OUT or region == OUTSIDE != wanted:
-                continue
-            if wanted == OUTSIDE:
-                judged.append((b, DOUBTFUL_ALONE if doubtful else NONE))
+                evidence[k] = None
+            elif same:
+                # Named for what all pages repeat: stays only if the tree is sure that it is not.
+                evidence[k] = REGION if nodes.get(b.element.key, NEUTRAL) >= SURE else None
+            elif wanted == OUTSIDE:
+                evidence[k] = DOUBTFUL_ALONE if doubtful else NONE
             elif region < wanted:
-                judged.append((b, BESIDE))
+                evidence[k] = BESIDE
             else:
-                judged.append((b, REGION_DOUBTFUL if doubtful else REGION))
-    tree = [branch(b.element, nodes) for b, _ in judged]
-    best = max(tree, default=1.0)
-    return "\n".join(b.text for (b, (mark, weight)), t in zip(judged, tree) if (1 - weight) * t / best + weight * mark >= THRESHOLD)
+                evidence[k] = REGION_DOUBTFUL if doubtful else REGION
+    best = max((t for t, e in zip(tree, evidence) if e is not None), default=1.0)
+    stays = [e is not None and (1 - e[1]) * t / best + e[1] * e[0] >= THRESHOLD for t, e in zip(tree, evidence)]
+    most = max(tree, default=1.0)
+    alone = [t / most >= THRESHOLD for t in tree]
+    text = "\n".join(b.text for b, k in zip(blocks, stays) if k)
+    return Judged(text, len(blocks), alone.count(False), stays.count(False), sum(not a and not k for a, k in zip(alone, stays)))
+
+
+def main_text(page: str, nodes: dict[int, float], marks: bool = True) -> str:
+    """The blocks that stay; without ``marks`` by the tree alone."""
+    return judged(page, nodes, marks).text
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", marks: bool = True) -> DataFrame:
-    """id_col, url_col, text and n_chars of every page."""
+    """id_col, url_col, text, n_chars of every page, and its blocks: n_blocks, n_tree (the tree alone would drop them), n_gone, n_both (gone and dropped by the tree alone too)."""
     pages = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), host_of(f"`{url_col}`").alias("host"), text_or_empty(f"`{html_col}`").alias("html"))
     nodes = cut(importances(pages))
     counts = cut(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
@@ -390,8 +454,9 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     many = max(HOT_PAGES, total // HOT_HOSTS + 1)
     # At most HOT_HOSTS rows: each host has more than its share of all pages.
     hot = F.broadcast(counts.filter(F.col("pages") >= many))
-    own = nodes.join(hot, "host").groupBy("host", "pages").agg(F.count(F.lit(1)).alias("nodes"))
-    dealt = F.broadcast(cut(own.select("host", F.ceil(F.col("pages") / F.greatest(F.lit(many), F.col("nodes"))).cast("int").alias("parts"))))
+    # A hot host without nodes (no html at all) is dealt out by its pages alone.
+    own = counts.filter(F.col("pages") >= many).join(nodes.join(hot.select("host"), "host").groupBy("host").agg(F.count(F.lit(1)).alias("nodes")), "host", "left")
+    dealt = F.broadcast(cut(own.select("host", F.ceil(F.col("pages") / F.greatest(F.lit(many), F.coalesce("nodes", F.lit(0)))).cast("int").alias("parts"))))
     parts = F.coalesce("parts", F.lit(1))
 
     empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in pages.schema if f.name != "host"}
@@ -413,9 +478,10 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                     own[node] = value[i]
                 else:
                     rows.append(i)
-                    texts.append(main_text(htmls[i], own, marks))
+                    texts.append(judged(htmls[i], own, marks))
             some = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([some.column("id"), some.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["id", "url", "text", "n_chars"])
+            counts = [pa.array([x[k] for x in texts], pa.int64()) for k in range(1, 5)]
+            yield pa.RecordBatch.from_arrays([some.column("id"), some.column("url"), pa.array([x.text for x in texts], pa.string()), pa.array([len(x.text) for x in texts], pa.int64()), *counts], names=["id", "url", "text", "n_chars", *COUNTS])
 
-    done = met.mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
-    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+    done = met.mapInArrow(run, f"id {kind}, url string, text string, n_chars long, {', '.join(f'{c} long' for c in COUNTS)}")
+    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars", *COUNTS)

@@ -4,6 +4,7 @@ import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from kasauti.llm import html_extract as h
 
@@ -42,6 +43,17 @@ PAGES = "/root/testdata/sf0.01/pages.parquet"
         ("<article><p>x</p><footer>f</footer></article><article id=comment-17><p>c</p></article>", "x"),
         ('<article><p>x</p></article><div class="ad">' + "<span>y</span>" * 3 + "</div><p>outside</p>", "x"),
         ("<p>x <a tag that never ends", "x"),
+        # Boxes that hold another article than the page's.
+        *[(f'<article><p>x</p></article><section class="{c}"><article><p>reader</p></article></section>', "x") for c in ("comments", "sidebar", "related", "cookie-notice")],
+        ('<section class="comments"><article><p>reader at length, more than the page</p></article></section><article><p>x</p></article>', "x"),
+        ('<article><p>x</p><section class="comments"><h2>Comments</h2><article class="entry"><p>reader</p></article></section></article>', "x"),
+        ('<main><p>m</p><div class="sidebar"><article><p>other</p></article></div></main>', "m"),
+        ('<form id="f"><article><p>the page</p></article></form><div class="promo"><article>buy</article></div>', "the page"),
+        # Quotes within unquoted values and names are characters.
+        ("<p title=it's>one</p><p>two</p><p>three's</p><p>four</p>", "one\ntwo\nthree's\nfour"),
+        ("<article><p title=a\"b>x</p><p class = 'c' data-x=1=2\">y</p><p a'b>z</p></article>", "x\ny\nz"),
+        ('<article><p title="class=comments id=ad">x</p></article>', "x"),
+        ("<article><p id=>x</p><p id= class='ad'>y</p></article>", "x\ny"),
     ],
 )
 def test_main_text(page, text):
@@ -125,6 +137,30 @@ def test_tree_decides_what_marks_leave_open(spark):
         assert all(h.main_text(p, {}) != t for p, t in made)
 
 
+def test_tree_overrules_a_name(spark):
+    """A menu that differs from page to page is a restaurant's; one that repeats, and one on a lone page, is the site's."""
+    page = lambda i: f"<article><h1>Place {i}</h1><div id=menu><p>dish {i} {i * i}</p></div><div class=toolbar><p>Print</p></div><p>own {i}</p></article>"
+    got = {r["page_id"]: r for r in h.extract(table(spark, [page(i) for i in range(400)])).collect()}
+    assert all(got[i]["text"] == f"Place {i}\ndish {i} {i * i}\nown {i}" for i in range(400))
+    assert all((got[i]["n_blocks"], got[i]["n_gone"], got[i]["n_tree"], got[i]["n_both"]) == (4, 1, 1, 1) for i in range(400))
+    assert h.main_text(page(1), {}) == "Place 1\nown 1"
+
+
+def test_tree_decides_on_the_given_pages(spark):
+    """Of what goes from the given pages, how much the tree alone drops, and that it alone drops next to nothing that stays."""
+    df = spark.read.parquet(PAGES.replace("0.01", "0.1"))
+    total = h.extract(df).agg(*[F.sum(c).alias(c) for c in h.COUNTS]).first()
+    print(total)
+    assert total["n_both"] >= 0.75 * total["n_gone"] and total["n_tree"] - total["n_both"] <= 0.03 * (total["n_blocks"] - total["n_gone"])
+
+
+def test_a_hot_host_without_nodes(spark, monkeypatch):
+    monkeypatch.setattr(h, "HOT_PAGES", 4)
+    monkeypatch.setattr(h, "HOT_HOSTS", 2)
+    df = spark.createDataFrame([(i, None, None) for i in range(40)], "page_id long, url string, html string")
+    assert h.extract(df).filter("text = ''").count() == 40
+
+
 def test_copies_of_an_article_stay(spark):
     pages = [f"<nav>{i}</nav><article><p>the one text</p></article>" for i in range(300)]
     assert {r["text"] for r in h.extract(table(spark, pages)).collect()} == {"the one text"}
