@@ -124,31 +124,46 @@ RARE, HOT = 200, 5_000
 
 
 def pair_neighbours(claims: DataFrame) -> DataFrame:
-    """row_id and neighbour: of the same domain, the claim that shares most distinct tokens relative to the longer; ties go to the lower id.
+    """row_id, neighbour and overlap: the row that shares most distinct tokens relative to the longer; ties go to the lower id.
 
-    Claims of one token set are one node, and have each other. A claim alone with
+    It is of the same domain where there is another one of it; rows without a domain,
+    or alone in theirs, look among all rows. Null for a lone row.
+    """
+    named = claims.withColumn("domain", F.nullif(F.btrim("domain"), F.lit("")))
+    sizes = named.filter("domain IS NOT NULL").groupBy("domain").agg((F.count(F.lit(1)) > 1).alias("together"))
+    told = named.join(sizes, "domain", "left").withColumn("together", F.coalesce("together", F.lit(False)))
+    among = _pair(told.filter("together").withColumn("asks", F.lit(True)))
+    if told.filter("NOT together").isEmpty():
+        return among
+    return among.unionByName(_pair(told.select("row_id", F.lit("all").alias("domain"), "tokens", (~F.col("together")).alias("asks"))))
+
+
+def _pair(claims: DataFrame) -> DataFrame:
+    """Of each row that asks (row_id, domain, tokens, asks), the neighbour in its domain.
+
+    Rows of one token set are one node, and have each other. A row alone with
     its set first meets those it shares one of its three rarest tokens with; the
     best of them bounds how many tokens a better one must share, hence how few of
     the rarest tokens of both must meet (prefix filter). That join is exact, each
-    task keeps the best of a claim, and frequent tokens are dealt out in parts.
+    task keeps the best of a row, and frequent tokens are dealt out in parts.
     Without common tokens it is the lowest other id of the domain; null of none.
     """
-    own = claims.select("row_id", "domain", F.sort_array("tokens").alias("tokens"), F.size("tokens").alias("n"))
+    own = claims.select("row_id", "domain", "asks", F.sort_array("tokens").alias("tokens"), F.size("tokens").alias("n"))
     full = own.filter("n > 0")
-    sets = full.groupBy("domain", "tokens").agg(F.min("row_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-    twins = full.join(sets.filter("copies > 1"), ["domain", "tokens"])
+    sets = full.groupBy("domain", "tokens").agg(F.min("row_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.bool_or("asks").alias("asks"))
+    twins = full.join(sets.filter("copies > 1").drop("asks"), ["domain", "tokens"])
     second = twins.filter("row_id <> low").groupBy("low").agg(F.min("row_id").alias("next"))
-    alike = twins.join(second, "low").select("row_id", F.when(F.col("row_id") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("neighbour"), F.lit(1.0).alias("overlap"))
+    alike = twins.filter("asks").join(second, "low").select("row_id", F.when(F.col("row_id") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("neighbour"), F.lit(1.0).alias("overlap"))
 
-    words = sets.select("domain", "low", "copies", F.explode("tokens").alias("token"))
+    words = sets.select("domain", "low", "copies", "asks", F.explode("tokens").alias("token"))
     counts = words.groupBy("domain", "token").agg(F.count(F.lit(1)).alias("often"))
-    listed = words.join(counts, ["domain", "token"]).groupBy("domain", "low").agg(F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("often", "token"))).alias("words"))
-    nodes = listed.select("domain", "low", "copies", "words", F.transform("words", lambda w: w["token"]).alias("tokens"), F.size("words").alias("n"))
+    listed = words.join(counts, ["domain", "token"]).groupBy("domain", "low").agg(F.max("copies").alias("copies"), F.bool_or("asks").alias("asks"), F.sort_array(F.collect_list(F.struct("often", "token"))).alias("words"))
+    nodes = listed.select("domain", "low", "copies", "asks", "words", F.transform("words", lambda w: w["token"]).alias("tokens"), F.size("words").alias("n"))
     placed = lambda df: df.select(*[c for c in df.columns if c != "words"], F.posexplode("words").alias("at", "w")).select("*", "w.often", "w.token").drop("w")
     index = placed(nodes).select("domain", "token", "often", "at", F.col("low").alias("neighbour"), F.col("tokens").alias("others"), F.col("n").alias("m"))
     share = F.size(F.array_intersect("tokens", "others")) / F.greatest("n", "m")
 
-    alone = nodes.filter("copies = 1").drop("copies")
+    alone = nodes.filter("copies = 1 AND asks").drop("copies", "asks")
     rare = (F.col("at") < 3) & (F.col("often") <= RARE)
     met = placed(alone).filter(rare).drop("at", "often").join(index.filter(rare).drop("at", "often"), ["domain", "token"]).filter("low <> neighbour")
     bound = met.groupBy("low").agg(F.max(share).alias("least"))
@@ -165,7 +180,7 @@ def pair_neighbours(claims: DataFrame) -> DataFrame:
     first = own.groupBy("domain").agg(F.min("row_id").alias("first"))
     after = own.join(first, "domain").filter("row_id <> first").groupBy("domain").agg(F.min("row_id").alias("after"))
     any_other = F.when(F.col("row_id") == F.col("first"), F.col("after")).otherwise(F.col("first"))
-    fallback = own.join(first, "domain", "left").join(after, "domain", "left").select("row_id", any_other.alias("any"))
+    fallback = own.filter("asks").join(first, "domain", "left").join(after, "domain", "left").select("row_id", any_other.alias("any"))
     return fallback.join(found, "row_id", "left").select("row_id", F.coalesce("neighbour", "any").alias("neighbour"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 

@@ -7,31 +7,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.picks import digest
-from ..functions.text import squeeze
+from ..functions.text import squeeze, tokens
 from ..functions.verdicts import clean_response, is_usable
-from .graph import attack_features, cosine
+from .graph import attack_features, cosine, pair_neighbours
 
-# What each model-backed perturbation writes and aims at, whether NEI claims are spared, whether evidence is injected.
+# What each model-backed perturbation writes and aims at, whether NEI claims are spared, whether evidence is injected, what a record must have,
+# the reason where it has not, and where nothing usable was written.
 GENERATORS = [
-    ("CA_06_FactMixing", "claim", "NEI", False, False),
-    ("CA_07_AdvTrigger", "trigger", "same_as_gold", False, False),
-    ("CA_16_Colloquial", "claim", "same_as_gold", False, False),
-    ("EA_ADVADD_01_AdvAdd", "evidence", "REF", False, True),
-    ("EA_CLAIMREWRITE_01_ClaimRewrite", "evidence", "SUP", True, False),
-    ("EA_CTXREP_01_ContextualizedReplace", "evidence", "REF", False, False),
-    ("EA_FACT2FICT_01_Fact2Fiction", "evidence", "REF", True, True),
+    ("CA_06_FactMixing", "claim", "NEI", False, False, "pair", "missing_evidence_pair", "llm_generation_failed"),
+    ("CA_07_AdvTrigger", "trigger", "same_as_gold", False, False, "label", "missing_claim_or_label", "llm_generation_failed"),
+    ("CA_16_Colloquial", "claim", "same_as_gold", False, False, "claim", "missing_claim", "llm_generation_failed"),
+    ("EA_ADVADD_01_AdvAdd", "evidence", "REF", False, True, "claim", "missing_claim", "llm_generation_failed"),
+    ("EA_CLAIMREWRITE_01_ClaimRewrite", "evidence", "SUP", True, False, "evidence", "missing_claim_or_evidence", "llm_generation_failed"),
+    ("EA_CTXREP_01_ContextualizedReplace", "evidence", "REF", False, False, "evidence", "missing_claim_or_evidence", "llm_generation_failed"),
+    ("EA_FACT2FICT_01_Fact2Fiction", "evidence", "REF", True, True, "claim", "missing_claim", "executor_failed"),
 ]
 
 
 def apply_generated(claims: DataFrame, generated: DataFrame) -> DataFrame:
-    """Attacked records from ``generated`` (row_id, attack_id, text): adversarial claim or evidence, target, and why one was skipped."""
-    spec = claims.sparkSession.createDataFrame(GENERATORS, "attack_id string, writes string, target string, spares_nei boolean, injected boolean")
+    """Attacked records from ``generated`` (row_id, attack_id, text): adversarial claim or evidence, target, and why one was skipped.
+
+    Facts are mixed of the claim's evidence and its ``neighbor_evidence``
+    (:func:`with_neighbours`); without that column there is no pair.
+    """
+    if "neighbor_evidence" not in claims.columns:
+        claims = claims.withColumn("neighbor_evidence", F.lit(None).cast("string"))
+    spec = claims.sparkSession.createDataFrame(GENERATORS, "attack_id string, writes string, target string, spares_nei boolean, injected boolean, needs string, missing string, failed string")
     cells = claims.join(F.broadcast(spec)).join(generated, ["row_id", "attack_id"], "left")
     clean = clean_response(F.col("text"))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    lacks = empty("claim") | (F.col("needs").isin("pair", "evidence") & empty("evidence")) | ((F.col("needs") == "pair") & empty("neighbor_evidence")) | ((F.col("needs") == "label") & empty("label"))
     skip = (
-        F.when((F.col("writes") == "evidence") & (F.coalesce("evidence", F.lit("")) == ""), "missing_claim_or_evidence_or_unsupported_language")
+        F.when(lacks, F.col("missing"))
         .when(F.col("spares_nei") & F.col("label").eqNullSafe("NEI"), "nei_claim_not_targeted")
-        .when(~F.coalesce(is_usable(clean), F.lit(False)), "no_usable_generation")
+        .when(~F.coalesce(is_usable(clean), F.lit(False)), F.col("failed"))
     )
     told = cells.withColumn("clean", clean).withColumn("skip_reason", skip)
     ok = F.col("skip_reason").isNull()
@@ -46,6 +55,13 @@ def apply_generated(claims: DataFrame, generated: DataFrame) -> DataFrame:
     )
 
 
+def with_neighbours(claims: DataFrame) -> DataFrame:
+    """``claims`` with neighbor_evidence: that of the row whose evidence is most like the own one (:func:`pair_neighbours`)."""
+    pairs = pair_neighbours(claims.select("row_id", "domain", F.array_distinct(tokens(F.coalesce("evidence", F.lit("")))).alias("tokens")))
+    other = claims.select(F.col("row_id").alias("neighbour"), F.col("evidence").alias("neighbor_evidence"))
+    return claims.join(pairs.select("row_id", "neighbour"), "row_id", "left").join(other, "neighbour", "left").drop("neighbour")
+
+
 def sub_questions(c: Column, most: int = 4) -> Column:
     """The questions of a planner's JSON object (none if it names none), else up to ``most`` lines without bullets that have more than three characters."""
     is_object = F.try_parse_json(c).isNotNull() & F.ltrim(c).startswith("{")

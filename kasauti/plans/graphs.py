@@ -49,7 +49,9 @@ def sage_mean_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attention_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir).select("id", F.get("features", F.lit(0)).cast("double").alias("score"))
+    """A claim's score is a fixed linear form of its whole vector."""
+    form = F.transform("features", lambda x, i: x.cast("double") * ((i % 7 - 3) / 10.0))
+    v = _vectors(spark, sf_dir).select("id", F.aggregate(form, F.lit(0.0), lambda s, x: s + x).alias("score"))
     targets = tables.attacks(spark).select((-1 - F.col("attack_idx")).cast("long").alias("id"), (F.col("gated_asr_pct") / 100).alias("score"))
     w = graph.attention(_edges(spark, sf_dir), v, targets)
     return w.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
@@ -106,7 +108,8 @@ def leave_attack_out_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbor_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = tables.claims(spark, sf_dir).filter("label IS NOT NULL").select("row_id", "domain", F.array_distinct(text.tokens(F.lower("claim"))).alias("tokens"))
+    """Whose evidence is most like each labelled claim's; English claims have no domain here, so they look among all."""
+    labelled = tables.claims(spark, sf_dir).filter("label IS NOT NULL").select("row_id", F.when(F.col("language") != "en", F.col("domain")).alias("domain"), F.array_distinct(text.tokens(F.col("evidence"))).alias("tokens"))
     return graph.pair_neighbours(labelled).select("row_id", "neighbour", F.round("overlap", 6).alias("overlap"))
 
 
@@ -135,7 +138,7 @@ ORACLES = {
     "edge_mask": with_ctes(CTE_VERIFIED, EDGES, then="SELECT count(*) AS edges, count(DISTINCT src) AS nodes, count(*) FILTER (gated_flip) AS gated FROM edges WHERE src <> -20 AND dst <> -20"),
     "sage_mean_aggregate": with_ctes(CTE_VERIFIED, EDGES, f"x AS (SELECT dst, unnest(range({DIMS})) AS dim, embedding FROM edges JOIN embeddings ON vec_id = src WHERE dst < 0)",
         then="SELECT dst, count(*) AS degree, CAST(dim AS INT) AS dim, round(avg(embedding[dim + 1]::DOUBLE), 5) AS value FROM x GROUP BY dst, dim"),
-    "attention_weights": with_ctes(CTE_VERIFIED, EDGES, "e AS (SELECT src, dst, embedding[1]::DOUBLE + (gated_asr_pct / 100)::DOUBLE AS e FROM edges JOIN embeddings ON vec_id = src JOIN attacks ON attack_idx = -1 - dst WHERE dst < 0)",
+    "attention_weights": with_ctes(CTE_VERIFIED, EDGES, "e AS (SELECT src, dst, list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * (((i - 1) % 7 - 3) / 10.0)::DOUBLE)) + (gated_asr_pct / 100)::DOUBLE AS e FROM edges JOIN embeddings ON vec_id = src JOIN attacks ON attack_idx = -1 - dst WHERE dst < 0)",
         "l AS (SELECT src, dst, CASE WHEN e > 0 THEN e ELSE 0.2 * e END AS e FROM e)", "x AS (SELECT src, dst, exp(e - max(e) OVER (PARTITION BY dst)) AS x FROM l)", "w AS (SELECT dst, x / sum(x) OVER (PARTITION BY dst) AS w FROM x)",
         then="SELECT dst, count(*) AS n, round(sum(w), 6) AS total, round(max(w), 6) AS largest FROM w GROUP BY dst"),
     "knn_tier_vote": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
@@ -150,8 +153,9 @@ ORACLES = {
         f"p AS (SELECT a.attack_idx AS src, b.attack_idx AS dst, round({cosine_sql('a.f[1:11]', 'b.f[1:11]')}, 9) AS s FROM f a JOIN f b ON a.attack_idx <> b.attack_idx)",
         "n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) <= 3)",
         then="""SELECT src, round(avg(rate), 6) AS predicted, round(any_value(own), 6) AS actual FROM n JOIN r ON r.attack_idx = dst JOIN (SELECT attack_idx AS src, rate AS own FROM r) USING (src) GROUP BY src"""),
-    "neighbor_pairing": with_ctes(CTE_CLAIMS, r"l AS (SELECT row_id, domain, list_distinct(regexp_extract_all(lower(claim), '[^ \t\n\v\f\r]+')) AS t FROM claims WHERE label IS NOT NULL)",
-        "p AS (SELECT a.row_id, b.row_id AS neighbour, round(coalesce(len(list_intersect(a.t, b.t)) / nullif(greatest(len(a.t), len(b.t)), 0), 0), 9) AS overlap FROM l a JOIN l b ON a.domain = b.domain AND a.row_id <> b.row_id)",
+    "neighbor_pairing": with_ctes(CTE_CLAIMS, r"l AS (SELECT row_id, CASE WHEN language <> 'en' THEN domain END AS domain, list_distinct(regexp_extract_all(evidence, '[^ \t\n\v\f\r]+')) AS t FROM claims WHERE label IS NOT NULL)",
+        "c AS (SELECT *, domain IS NOT NULL AND count(*) OVER (PARTITION BY domain) > 1 AS together FROM l)",
+        "p AS (SELECT a.row_id, b.row_id AS neighbour, round(coalesce(len(list_intersect(a.t, b.t)) / nullif(greatest(len(a.t), len(b.t)), 0), 0), 9) AS overlap FROM c a JOIN l b ON a.row_id <> b.row_id AND (NOT a.together OR a.domain = b.domain))",
         "n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY overlap DESC, neighbour) = 1)",
         then="SELECT l.row_id, n.neighbour, round(coalesce(n.overlap, 0.0), 6) AS overlap FROM l LEFT JOIN n USING (row_id)"),
 }

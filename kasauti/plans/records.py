@@ -26,7 +26,7 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = records.apply_generated(tables.claims(spark, sf_dir), _generated(spark, sf_dir))
+    done = records.apply_generated(records.with_neighbours(tables.claims(spark, sf_dir)), _generated(spark, sf_dir))
     return done.groupBy("attack_id", F.coalesce("skip_reason", F.lit("applied")).alias("result"), F.coalesce("target_label", F.lit("NONE")).alias("target"), "injected_evidence_workaround").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.char_length("adversarial_claim")), F.lit(0)).alias("claim_chars"), F.coalesce(F.sum(F.char_length("adversarial_evidence")), F.lit(0)).alias("evidence_chars")
     )
@@ -112,17 +112,20 @@ QUERIES = {
     for f in (generated_attacks, sub_question_counts, records_with_source, result_records, embedding_mean_pool, exemplar_pair_state, state_ablation, augmented_state, random_exemplars, epsilon_grid, link_prediction, link_prediction_macro)
 }
 
-_spec = ", ".join(f"({i}, '{a}', '{w}', '{t}', {s}, {j})" for i, (a, w, t, s, j) in enumerate(records.GENERATORS))
+_spec = ", ".join(f"({i}, '{a}', '{w}', '{t}', {s}, {j}, '{n}', '{m}', '{f}')" for i, (a, w, t, s, j, n, m, f) in enumerate(records.GENERATORS))
 
 ORACLES = {
     "generated_attacks": with_ctes(
         CTE_CLAIMS,
-        f"spec(n, attack_id, writes, target, spares, injected) AS (VALUES {_spec})",
+        f"spec(n, attack_id, writes, target, spares, injected, needs, missing, failed) AS (VALUES {_spec})",
         f"g AS (SELECT conv_id AS row_id, n, arg_min(text, turn) AS text FROM conversations JOIN spec ON conv_id % {len(records.GENERATORS)} = n WHERE role = 'assistant' GROUP BY ALL)",
         r"""c AS (SELECT row_id, n, trim(regexp_replace(trim(regexp_replace(regexp_replace(trim(text), '^```[a-zA-Z]*\s*', ''), '\s*```$', '')), '^"+|"+$', '', 'g')) AS t FROM g)""",
-        """x AS (SELECT claims.*, spec.*, t, CASE WHEN writes = 'evidence' AND coalesce(evidence, '') = '' THEN 'missing_claim_or_evidence_or_unsupported_language'
+        r"w AS (SELECT row_id, domain, evidence, list_distinct(regexp_extract_all(coalesce(evidence, ''), '[^ \t\n\v\f\r]+')) AS t FROM claims)",
+        """near AS (SELECT a.row_id, arg_min(b.evidence, (-round(coalesce(len(list_intersect(a.t, b.t)) / nullif(greatest(len(a.t), len(b.t)), 0), 0), 9), b.row_id)) AS other
+            FROM w a JOIN w b ON a.domain = b.domain AND a.row_id <> b.row_id GROUP BY a.row_id)""",
+        """x AS (SELECT claims.*, spec.*, t, CASE WHEN coalesce(claim, '') = '' OR (needs IN ('pair', 'evidence') AND coalesce(evidence, '') = '') OR (needs = 'pair' AND coalesce(other, '') = '') OR (needs = 'label' AND label IS NULL) THEN missing
             WHEN spares AND coalesce(label, '') = 'NEI' THEN 'nei_claim_not_targeted'
-            WHEN t IS NULL OR starts_with(t, '__ERROR__') OR length(t) < 3 THEN 'no_usable_generation' ELSE 'applied' END AS result FROM claims CROSS JOIN spec LEFT JOIN c USING (row_id, n))""",
+            WHEN t IS NULL OR starts_with(t, '__ERROR__') OR length(t) < 3 THEN failed ELSE 'applied' END AS result FROM claims LEFT JOIN near USING (row_id) CROSS JOIN spec LEFT JOIN c USING (row_id, n))""",
         then="""SELECT attack_id, result, coalesce(CASE WHEN target = 'same_as_gold' THEN label ELSE target END, 'NONE') AS target, injected AS injected_evidence_workaround, count(*) AS n,
             CAST(coalesce(sum(CASE WHEN result = 'applied' AND writes = 'claim' THEN length(t) WHEN result = 'applied' AND writes = 'trigger' THEN length(t) + 1 + length(claim) END), 0) AS BIGINT) AS claim_chars,
             CAST(coalesce(sum(CASE WHEN result = 'applied' AND writes = 'evidence' THEN length(t) END), 0) AS BIGINT) AS evidence_chars FROM x GROUP BY ALL""",

@@ -228,7 +228,20 @@ def test_generated_records(spark):
     got = {(r["row_id"], r["attack_id"][:5]): r for r in records.apply_generated(claims, made).collect()}
     assert got[1, "CA_07"]["adversarial_claim"] == "new text c" and got[1, "CA_07"]["target_label"] == "NEI"
     assert got[1, "EA_CL"]["skip_reason"] == "nei_claim_not_targeted" and got[1, "EA_CT"]["adversarial_evidence"] == "new text"
-    assert got[2, "CA_07"]["skip_reason"] == "no_usable_generation" and got[2, "EA_AD"]["skip_reason"].startswith("missing_claim_or_evidence")
+    told = {k[1]: r["skip_reason"] for k, r in got.items() if k[0] == 2}
+    assert told == {"CA_06": "missing_evidence_pair", "CA_07": "llm_generation_failed", "CA_16": "llm_generation_failed", "EA_AD": "llm_generation_failed", "EA_CL": "missing_claim_or_evidence", "EA_CT": "missing_claim_or_evidence", "EA_FA": "executor_failed"}
+    assert got[1, "CA_06"]["skip_reason"] == "missing_evidence_pair"
+
+
+def test_facts_are_mixed_of_two_evidences(spark):
+    from kasauti.operators import records
+
+    rows = [(1, "c", "a b c", "SUP", "x"), (2, "c", "a b d", "SUP", "x"), (3, "c", "z", "REF", "x"), (4, "c", "a b d", "SUP", "y"), (5, "", "e", "SUP", "x"), (6, "c", None, "SUP", "x")]
+    claims = records.with_neighbours(spark.createDataFrame(rows, "row_id long, claim string, evidence string, label string, domain string"))
+    assert {r["row_id"]: r["neighbor_evidence"] for r in claims.collect()} == {1: "a b d", 2: "a b c", 3: "a b c", 4: "a b d", 5: "a b c", 6: "a b c"}
+    made = spark.createDataFrame([(i, "CA_06_FactMixing", f"mix {i}") for i in range(1, 7)], "row_id long, attack_id string, text string")
+    got = {r["row_id"]: (r["adversarial_claim"], r["skip_reason"]) for r in records.apply_generated(claims, made).filter("attack_id = 'CA_06_FactMixing'").collect()}
+    assert got == {i: (f"mix {i}", None) if i < 5 else (None, "missing_evidence_pair") for i in range(1, 7)}
 
 
 def test_sub_questions(spark):
@@ -261,10 +274,11 @@ def test_pair_neighbours_against_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(graph, "HOT", 3)
     monkeypatch.setattr(graph, "RARE", 4)
     rng = random.Random(seed)
-    claims = [(i, rng.choice("xyz") if i else "w", rng.sample("abcdefghijkl", rng.choice([0, 1, 2, 3, 5, 8]))) for i in range(60)] + [(99, None, ["a"])]
+    claims = [(i, rng.choice("xyz") if i else "w", rng.sample("abcdefghijkl", rng.choice([0, 1, 2, 3, 5, 8]))) for i in range(60)] + [(99, None, ["a"]), (100, "", ["b", "c"]), (101, None, [])]
+    lonely = lambda domain: not domain or sum(d == domain for _, d, _ in claims) == 1
     found = {r["row_id"]: (r["neighbour"], round(r["overlap"], 6)) for r in graph.pair_neighbours(spark.createDataFrame(claims, "row_id long, domain string, tokens array<string>")).collect()}
     for i, domain, words in claims:
-        others = [(-round(len(set(words) & set(w)) / max(len(words), len(w), 1), 9), j) for j, d, w in claims if j != i and d == domain and d is not None]
+        others = [(-round(len(set(words) & set(w)) / max(len(words), len(w), 1), 9), j) for j, d, w in claims if j != i and (lonely(domain) or d == domain)]
         no, j = min(others, default=(0.0, None))
         assert found[i] == (j, round(-no, 6)), i
     assert len(found) == len(claims)

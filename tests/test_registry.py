@@ -127,7 +127,7 @@ def test_models_are_asked_again_and_audited(spark):
     assert tuple(registry.audit_rates(log).first()) == ("m", 3, 5, 0.4, 2, 0.666667)
     claims = spark.createDataFrame([(i, "claim", "evidence", "SUP", "hi") for i in range(1, 5)], CLAIMS)
     got = {r["row_id"]: r["skip_reason"] for r in apply_generated(claims, made).filter("attack_id = 'CA_16_Colloquial'").collect()}
-    assert got == {1: None, 2: "no_usable_generation", 3: "no_usable_generation", 4: None}
+    assert got == {1: None, 2: "llm_generation_failed", 3: "llm_generation_failed", 4: None}
 
 
 class Busy(Exception):
