@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -119,8 +123,10 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     return found
 
 
-#: A token in more sets of a domain than this gives no first bound; one in more than ``HOT`` is dealt out in parts.
-RARE, HOT = 200, 5_000
+#: Rows in a tile, tokens in one, and columns of a product of two tiles.
+NEIGHBOUR_TILE, TILE_TOKENS, TILE_COLUMNS = 512, 200_000, 8192
+#: Sets of one class differ in size by less than this factor.
+SIZE_STEP = 1.25
 
 
 def pair_neighbours(claims: DataFrame) -> DataFrame:
@@ -138,50 +144,97 @@ def pair_neighbours(claims: DataFrame) -> DataFrame:
     return among.unionByName(_pair(told.select("row_id", F.lit("all").alias("domain"), "tokens", (~F.col("together")).alias("asks"))))
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Shared tokens of each set of ``a`` and each of ``b``, relative to the longer; sets of hashes without repeats."""
+    sizes = [np.array([len(x) for x in side]) for side in (a, b)]
+    tokens = [np.concatenate([*side, np.zeros(0, np.int64)]) for side in (a, b)]
+    both = np.intersect1d(*tokens)
+    shared = np.zeros((len(a), len(b)), np.float32)
+    at = []
+    for size, own in zip(sizes, tokens):
+        column = np.searchsorted(both, own)
+        met = both[np.minimum(column, len(both) - 1)] == own if len(both) else np.zeros(len(own), bool)
+        order = np.argsort(column[met], kind="stable")
+        at.append((np.repeat(np.arange(len(size)), size)[met][order], column[met][order]))
+    for low in range(0, len(both), TILE_COLUMNS):
+        dense = []
+        for size, (row, column) in zip(sizes, at):
+            first, last = np.searchsorted(column, [low, low + TILE_COLUMNS])
+            part = np.zeros((len(size), min(TILE_COLUMNS, len(both) - low)), np.float32)
+            part[row[first:last], column[first:last] - low] = 1
+            dense.append(part)
+        shared += dense[0] @ dense[1].T  # counts far below 2^24
+    return np.round(shared.astype(np.float64) / np.maximum(1, np.maximum(sizes[0][:, None], sizes[1][None, :])), 9)
+
+
+def _best(ids: np.ndarray, others: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the largest overlap with another id (-1: there is none) and the smallest id that has it."""
+    found = np.where(ids[:, None] == others[None, :], -1.0, found)
+    most = found.max(axis=1, initial=-1.0)
+    return most, np.where(found == most[:, None], others[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+
+
 def _pair(claims: DataFrame) -> DataFrame:
-    """Of each row that asks (row_id, domain, tokens, asks), the neighbour in its domain.
-
-    Rows of one token set are one node, and have each other. A row alone with
-    its set first meets those it shares one of its three rarest tokens with; the
-    best of them bounds how many tokens a better one must share, hence how few of
-    the rarest tokens of both must meet (prefix filter). That join is exact, each
-    task keeps the best of a row, and frequent tokens are dealt out in parts.
-    Without common tokens it is the lowest other id of the domain; null of none.
+    """Of each row that asks (row_id, domain, tokens, asks), the neighbour in its domain; exact.
+
+    Rows are dealt into tiles of like set size. A tile meets itself first; the least of
+    what its rows found bounds which other tiles can hold better ones, as sets whose
+    sizes differ by a factor overlap by no more than it. Two tiles are compared
+    by a product of their token matrices, in one task, whatever the domain's size.
+    Without common tokens it is the lowest other id of the domain; null of none. Ids
+    are integers, none twice; tokens are told by 64-bit hashes.
     """
-    own = claims.select("row_id", "domain", "asks", F.sort_array("tokens").alias("tokens"), F.size("tokens").alias("n"))
-    full = own.filter("n > 0")
-    sets = full.groupBy("domain", "tokens").agg(F.min("row_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.bool_or("asks").alias("asks"))
-    twins = full.join(sets.filter("copies > 1").drop("asks"), ["domain", "tokens"])
-    second = twins.filter("row_id <> low").groupBy("low").agg(F.min("row_id").alias("next"))
-    alike = twins.filter("asks").join(second, "low").select("row_id", F.when(F.col("row_id") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("neighbour"), F.lit(1.0).alias("overlap"))
-
-    words = sets.select("domain", "low", "copies", "asks", F.explode("tokens").alias("token"))
-    counts = words.groupBy("domain", "token").agg(F.count(F.lit(1)).alias("often"))
-    listed = words.join(counts, ["domain", "token"]).groupBy("domain", "low").agg(F.max("copies").alias("copies"), F.bool_or("asks").alias("asks"), F.sort_array(F.collect_list(F.struct("often", "token"))).alias("words"))
-    nodes = listed.select("domain", "low", "copies", "asks", "words", F.transform("words", lambda w: w["token"]).alias("tokens"), F.size("words").alias("n"))
-    placed = lambda df: df.select(*[c for c in df.columns if c != "words"], F.posexplode("words").alias("at", "w")).select("*", "w.often", "w.token").drop("w")
-    index = placed(nodes).select("domain", "token", "often", "at", F.col("low").alias("neighbour"), F.col("tokens").alias("others"), F.col("n").alias("m"))
-    share = F.size(F.array_intersect("tokens", "others")) / F.greatest("n", "m")
-
-    alone = nodes.filter("copies = 1 AND asks").drop("copies", "asks")
-    rare = (F.col("at") < 3) & (F.col("often") <= RARE)
-    met = placed(alone).filter(rare).drop("at", "often").join(index.filter(rare).drop("at", "often"), ["domain", "token"]).filter("low <> neighbour")
-    bound = met.groupBy("low").agg(F.max(share).alias("least"))
-
-    needed = lambda size: F.ceil(F.col("least") * F.col(size) - 1e-6)
-    asked = placed(alone.join(bound, "low", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))).filter(F.col("at") <= F.col("n") - needed("n"))
-    parts = F.floor(F.col("often") / HOT)
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts))).drop("at", "often")
-    held = index.withColumn("part", F.pmod(F.xxhash64("neighbour"), parts + 1)).drop("often")
-    close = asked.join(held, ["domain", "token", "part"]).filter((F.col("low") != F.col("neighbour")) & (F.col("at") <= F.col("m") - needed("m")) & (F.col("m") >= needed("n")) & (F.col("n") >= needed("m")))
-    best = close.groupBy("low").agg(F.min(F.struct((-F.round(share, 9)).alias("no"), "neighbour")).alias("x"))
-    found = alike.unionByName(best.select(F.col("low").alias("row_id"), F.col("x.neighbour").alias("neighbour"), (-F.col("x.no")).alias("overlap")))
-
-    first = own.groupBy("domain").agg(F.min("row_id").alias("first"))
-    after = own.join(first, "domain").filter("row_id <> first").groupBy("domain").agg(F.min("row_id").alias("after"))
+    own = claims.select("row_id", "domain", "asks", F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t))).alias("tokens")).withColumn("n", F.size("tokens"))
+    full = own.filter("n > 0").withColumn("class", F.floor(F.log("n") / F.lit(math.log(SIZE_STEP))).cast("int"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / NEIGHBOUR_TILE), F.ceil(F.sum("n") / TILE_TOKENS)).cast("int")
+    dealt = full.join(full.groupBy("domain", "class").agg(parts.alias("parts")), ["domain", "class"]).withColumn("sub", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int"))
+    key = ["domain", "class", "sub"]
+    tiles = dealt.groupBy(*key).agg(F.bool_or("asks").alias("any"), F.collect_list(F.struct("row_id", "asks", "tokens")).alias("x"))
+
+    def sides(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        ids, asks, tokens = cell.values.flatten()
+        return ids.to_numpy(), asks.to_numpy(zero_copy_only=False), [t.values.to_numpy() for t in tokens]
+
+    def told(ids: np.ndarray, asks: np.ndarray, others: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+        most, who = _best(ids, others, found)
+        return pa.RecordBatch.from_arrays([pa.array(ids[asks]), pa.array(most[asks]), pa.array(who[asks])], names=["row_id", "overlap", "neighbour"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, asks, tokens = sides(batch.column(3)[k])
+                out = told(ids, asks, ids, overlaps(tokens, tokens))
+                place = [pa.array([batch.column(c)[k].as_py()] * out.num_rows, batch.schema.field(c).type) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*place, *out.columns], names=[*key, *out.schema.names])
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ids, asks, tokens), (ids_b, asks_b, tokens_b) = sides(batch.column(0)[k]), sides(batch.column(1)[k])
+                found = overlaps(tokens, tokens_b)
+                yield told(ids, asks, ids_b, found)
+                yield told(ids_b, asks_b, ids, found.T)
+
+    kinds = ", ".join(f"{c} {tiles.schema[c].dataType.simpleString()}" for c in key)
+    result = "row_id long, overlap double, neighbour long"
+    first = tiles.filter("any").select(*key, "x").mapInArrow(within, f"{kinds}, {result}")
+    least = first.groupBy(*key).agg(F.min("overlap").alias("least"))
+    # A tile that does not ask needs none.
+    bounded = tiles.select(*key).join(least, key, "left").withColumn("least", F.coalesce("least", F.lit(2.0)))
+    one, two = bounded, bounded.toDF("domain", "class_b", "sub_b", "least_b")
+    most = F.least(F.lit(1.0), F.pow(F.lit(SIZE_STEP), F.lit(1) - F.abs(F.col("class") - F.col("class_b")))) + 1e-9
+    before = (F.col("class") < F.col("class_b")) | ((F.col("class") == F.col("class_b")) & (F.col("sub") < F.col("sub_b")))
+    pairs = one.join(two, "domain").filter(before & ((F.col("least") <= most) | (F.col("least_b") <= most))).select(*key, "class_b", "sub_b")
+    work = pairs.join(tiles.select(*key, "x"), key).join(tiles.select("domain", F.col("class").alias("class_b"), F.col("sub").alias("sub_b"), F.col("x").alias("x_b")), ["domain", "class_b", "sub_b"])
+    second = work.select("x", "x_b").mapInArrow(between, result)
+    every = first.select("row_id", "overlap", "neighbour").unionByName(second).filter("overlap > 0")
+    found = every.groupBy("row_id").agg(F.min(F.struct((-F.col("overlap")).alias("no"), "neighbour")).alias("x")).select("row_id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.no")).alias("overlap"))
+
+    lowest = own.groupBy("domain").agg(F.min("row_id").alias("first"))
+    after = own.join(lowest, "domain").filter("row_id <> first").groupBy("domain").agg(F.min("row_id").alias("after"))
     any_other = F.when(F.col("row_id") == F.col("first"), F.col("after")).otherwise(F.col("first"))
-    fallback = own.filter("asks").join(first, "domain", "left").join(after, "domain", "left").select("row_id", any_other.alias("any"))
+    fallback = own.filter("asks").join(lowest, "domain", "left").join(after, "domain", "left").select("row_id", any_other.alias("any"))
     return fallback.join(found, "row_id", "left").select("row_id", F.coalesce("neighbour", "any").alias("neighbour"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
-__all__ = ["attack_features", "attention", "bipartite", "cosine", "gat", "mean_aggregate", "nearest", "pair_neighbours", "sage", "similar_pairs", "width", "without_node"]
+__all__ = ["attack_features", "attention", "bipartite", "cosine", "gat", "mean_aggregate", "nearest", "overlaps", "pair_neighbours", "sage", "similar_pairs", "width", "without_node"]

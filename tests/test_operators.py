@@ -270,9 +270,9 @@ def test_text_that_is_no_json_stays(spark):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_pair_neighbours_against_all_pairs(spark, seed, monkeypatch):
-    """Few words, so that ties, equal sets, frequent words split in parts and missing bounds all occur."""
-    monkeypatch.setattr(graph, "HOT", 3)
-    monkeypatch.setattr(graph, "RARE", 4)
+    """Few words and small tiles, so that ties, equal sets, several tiles of a size and tiles that are skipped all occur."""
+    monkeypatch.setattr(graph, "NEIGHBOUR_TILE", 6)
+    monkeypatch.setattr(graph, "TILE_COLUMNS", 4)
     rng = random.Random(seed)
     claims = [(i, rng.choice("xyz") if i else "w", rng.sample("abcdefghijkl", rng.choice([0, 1, 2, 3, 5, 8]))) for i in range(60)] + [(99, None, ["a"]), (100, "", ["b", "c"]), (101, None, [])]
     lonely = lambda domain: not domain or sum(d == domain for _, d, _ in claims) == 1
