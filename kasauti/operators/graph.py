@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+
 #: One-hot columns of a perturbation's attributes, in order; fixed values.
 CATEGORIES = ["Char", "Word", "Sentence", "Evidence"]
 ARMS = ["Rule", "LLM"]
@@ -137,7 +139,7 @@ def pair_neighbours(claims: DataFrame) -> DataFrame:
     """
     named = claims.withColumn("domain", F.nullif(F.btrim("domain"), F.lit("")))
     sizes = named.filter("domain IS NOT NULL").groupBy("domain").agg((F.count(F.lit(1)) > 1).alias("together"))
-    told = named.join(sizes, "domain", "left").withColumn("together", F.coalesce("together", F.lit(False)))
+    told = cut(named.join(sizes, "domain", "left").select("row_id", "domain", "tokens", F.coalesce("together", F.lit(False)).alias("together")))
     among = _pair(told.filter("together").withColumn("asks", F.lit(True)))
     if told.filter("NOT together").isEmpty():
         return among
@@ -189,7 +191,7 @@ def _pair(claims: DataFrame) -> DataFrame:
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / NEIGHBOUR_TILE), F.ceil(F.sum("n") / TILE_TOKENS)).cast("int")
     dealt = full.join(full.groupBy("domain", "class").agg(parts.alias("parts")), ["domain", "class"]).withColumn("sub", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int"))
     key = ["domain", "class", "sub"]
-    tiles = dealt.groupBy(*key).agg(F.bool_or("asks").alias("any"), F.collect_list(F.struct("row_id", "asks", "tokens")).alias("x"))
+    tiles = cut(dealt.groupBy(*key).agg(F.bool_or("asks").alias("any"), F.collect_list(F.struct("row_id", "asks", "tokens")).alias("x")))
 
     def sides(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         ids, asks, tokens = cell.values.flatten()
@@ -217,7 +219,7 @@ def _pair(claims: DataFrame) -> DataFrame:
 
     kinds = ", ".join(f"{c} {tiles.schema[c].dataType.simpleString()}" for c in key)
     result = "row_id long, overlap double, neighbour long"
-    first = tiles.filter("any").select(*key, "x").mapInArrow(within, f"{kinds}, {result}")
+    first = cut(tiles.filter("any").select(*key, "x").mapInArrow(within, f"{kinds}, {result}"))
     least = first.groupBy(*key).agg(F.min("overlap").alias("least"))
     # A tile that does not ask needs none.
     bounded = tiles.select(*key).join(least, key, "left").withColumn("least", F.coalesce("least", F.lit(2.0)))

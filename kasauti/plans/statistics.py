@@ -49,10 +49,11 @@ def confusion_macro_f1_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mcnemar_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character against word perturbations, claim by claim, of the claims with ids below a thousand and of all."""
-    hits = verified(spark, sf_dir).filter("NOT baseline_failed AND family IN ('Char', 'Word')").groupBy("row_id").agg(*[F.coalesce(F.bool_or(F.when(F.col("family") == f, F.col("gated_flip"))), F.lit(False)).alias(f.lower()) for f in ("Char", "Word")])
+    """Character against word perturbations, claim by claim, of each domain's claims and of all."""
+    hits = verified(spark, sf_dir).filter("NOT baseline_failed AND family IN ('Char', 'Word')").groupBy("row_id", "domain").agg(*[F.coalesce(F.bool_or(F.when(F.col("family") == f, F.col("gated_flip"))), F.lit(False)).alias(f.lower()) for f in ("Char", "Word")])
     b, c = F.count_if(F.col("char") & ~F.col("word")).alias("b"), F.count_if(~F.col("char") & F.col("word")).alias("c")
-    both = hits.filter("row_id < 1000").agg(b, c).select(F.lit("small").alias("part"), "b", "c").unionByName(hits.agg(b, c).select(F.lit("all").alias("part"), "b", "c"))
+    each = hits.groupBy(F.col("domain").alias("part")).agg(b, c)
+    both = each.unionByName(each.agg(F.lit("all").alias("part"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("c"), F.lit(0)).alias("c")))
     return both.select("part", "b", "c", F.round(stats.mcnemar_exact(F.col("b"), F.col("c")), 6).alias("p_exact"), F.round(stats.mcnemar_chi2(F.col("b"), F.col("c")), 6).alias("chi2"))
 
 
@@ -121,8 +122,8 @@ ORACLES = {
         """t AS (SELECT model, CAST(sum(support) AS BIGINT) AS n, sum(hits) / sum(support) AS accuracy, avg(2 * hits / (support + guesses)) AS macro_f1, avg(hits / nullif(support, 0)) AS balanced_accuracy,
             sum(support * guesses) / (sum(support) * sum(support)) AS chance FROM c GROUP BY model)""",
         then="SELECT model, n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(balanced_accuracy, 6) AS balanced_accuracy, round((accuracy - chance) / (1 - chance), 6) AS kappa FROM t"),
-    "mcnemar_families": with_ctes(CTE_VERIFIED, LF, "h AS (SELECT row_id, coalesce(bool_or(gated_flip) FILTER (family = 'Char'), FALSE) AS ch, coalesce(bool_or(gated_flip) FILTER (family = 'Word'), FALSE) AS wo FROM verified WHERE NOT baseline_failed AND family IN ('Char', 'Word') GROUP BY row_id)",
-        "d AS (SELECT 'small' AS part, count(*) FILTER (ch AND NOT wo) AS b, count(*) FILTER (wo AND NOT ch) AS c FROM h WHERE row_id < 1000 UNION ALL SELECT 'all', count(*) FILTER (ch AND NOT wo), count(*) FILTER (wo AND NOT ch) FROM h)",
+    "mcnemar_families": with_ctes(CTE_VERIFIED, LF, "h AS (SELECT row_id, domain, coalesce(bool_or(gated_flip) FILTER (family = 'Char'), FALSE) AS ch, coalesce(bool_or(gated_flip) FILTER (family = 'Word'), FALSE) AS wo FROM verified WHERE NOT baseline_failed AND family IN ('Char', 'Word') GROUP BY row_id, domain)",
+        "d AS (SELECT domain AS part, count(*) FILTER (ch AND NOT wo) AS b, count(*) FILTER (wo AND NOT ch) AS c FROM h GROUP BY domain UNION ALL SELECT 'all', count(*) FILTER (ch AND NOT wo), count(*) FILTER (wo AND NOT ch) FROM h)",
         "x AS (SELECT part, unnest(range(least(b, c) + 1)) AS i, b + c AS n FROM d)",
         "p AS (SELECT part, sum(exp(ln.v - li.v - lr.v - n * ln(2.0))) AS tail FROM x JOIN lf ln ON ln.x = n JOIN lf li ON li.x = i JOIN lf lr ON lr.x = n - i GROUP BY part)",
         then="SELECT part, b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * tail) END, 6) AS p_exact, round(pow(abs(b - c) - 1, 2) / nullif(b + c, 0), 6) AS chi2 FROM d JOIN p USING (part)"),
