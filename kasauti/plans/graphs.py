@@ -9,15 +9,15 @@ from pyspark.sql.window import Window
 from ..functions import text
 from ..operators import graph
 from ..sources import tables
-from ..sources.tables import CTE_ATTACKS, CTE_CLAIMS, CTE_VERIFIED, with_ctes
-from .verification import verified
+from ..sources.tables import CTE_CLAIMS, CTE_VERIFIED, with_ctes
+from .verification import CTE_MEASURED, measured, verified
 
 #: Numbers of an embedding.
 DIMS = 64
 
 
 def attack_similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = [graph.similar_pairs(tables.attacks(spark), dims).select(F.lit(dims).alias("dims"), "src", "dst", F.round("similarity", 6).alias("similarity")) for dims in (11, 12)]
+    out = [graph.similar_pairs(measured(spark, sf_dir), dims).select(F.lit(dims).alias("dims"), "src", "dst", F.round("similarity", 6).alias("similarity")) for dims in (11, 12)]
     return out[0].unionByName(out[1])
 
 
@@ -82,7 +82,7 @@ def knn_tier_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exemplar_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each perturbation's tier by the vote of all others, without rules: weight at least 0.1, ties POS, MID, NEG."""
-    a = tables.attacks(spark)
+    a = measured(spark, sf_dir)
     f = a.select("attack_idx", "attack_id", "tier", F.slice(graph.attack_features(), 1, 12).alias("f"))
     other = f.select(F.col("attack_idx").alias("o"), F.col("tier").alias("vote"), F.col("f").alias("g"))
     votes = f.join(F.broadcast(other), F.col("attack_idx") != F.col("o")).groupBy("attack_id", "tier", "vote").agg(F.round(F.sum(F.greatest(F.lit(0.1), graph.cosine(F.col("f"), F.col("g")))), 9).alias("score"))
@@ -127,12 +127,13 @@ def cosine_sql(a: str, b: str) -> str:
 
 
 FEATURED = f"f AS (SELECT attack_idx, attack_id, tier, {FEATURES} AS f FROM attacks)"
+MEASURED_FEATURES = FEATURED.replace("FROM attacks", "FROM measured")
 EDGES = """edges AS (SELECT row_id AS src, CAST(-1 - attack_idx AS BIGINT) AS dst, gated_flip, NOT excluded AS pass_edge,
     coalesce((fluency >= 3 OR meaning_preserved) AND flipped AND NOT excluded, FALSE) AS pass_env FROM verified
     UNION ALL SELECT CAST(-1 - attack_idx AS BIGINT), row_id, gated_flip, NOT excluded, coalesce((fluency >= 3 OR meaning_preserved) AND flipped AND NOT excluded, FALSE) FROM verified)"""
 
 ORACLES = {
-    "attack_similarity_edges": with_ctes(CTE_ATTACKS, FEATURED, "d(dims) AS (VALUES (11), (12))", f"p AS (SELECT dims, a.attack_idx AS src, b.attack_idx AS dst, {cosine_sql('a.f[1:dims]', 'b.f[1:dims]')} AS s FROM f a, f b, d WHERE a.attack_idx <> b.attack_idx)",
+    "attack_similarity_edges": with_ctes(CTE_VERIFIED, CTE_MEASURED, MEASURED_FEATURES, "d(dims) AS (VALUES (11), (12))", f"p AS (SELECT dims, a.attack_idx AS src, b.attack_idx AS dst, {cosine_sql('a.f[1:dims]', 'b.f[1:dims]')} AS s FROM f a, f b, d WHERE a.attack_idx <> b.attack_idx)",
         then="SELECT dims, src, dst, round(s, 6) AS similarity FROM p WHERE s >= 0.65 - 1e-12"),
     "bipartite_edges_degree": with_ctes(CTE_VERIFIED, EDGES, then="SELECT dst, count(*) AS degree, count(*) FILTER (gated_flip) AS gated, count(*) FILTER (pass_edge) AS pass_edge, count(*) FILTER (pass_env) AS pass_env FROM edges GROUP BY dst"),
     "edge_mask": with_ctes(CTE_VERIFIED, EDGES, then="SELECT count(*) AS edges, count(DISTINCT src) AS nodes, count(*) FILTER (gated_flip) AS gated FROM edges WHERE src <> -20 AND dst <> -20"),
@@ -146,7 +147,7 @@ ORACLES = {
         n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS nth FROM p),
         t AS (SELECT id, label, round(sum(greatest(0.1, s)), 6) AS score FROM n WHERE nth <= 5 GROUP BY id, label)
         SELECT id, label AS voted, score FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, label) = 1""",
-    "exemplar_vote": with_ctes(CTE_ATTACKS, FEATURED, f"v AS (SELECT a.attack_id, a.tier, b.tier AS vote, round(sum(greatest(0.1, {cosine_sql('a.f[1:12]', 'b.f[1:12]')})), 9) AS score FROM f a JOIN f b ON a.attack_idx <> b.attack_idx GROUP BY ALL)",
+    "exemplar_vote": with_ctes(CTE_VERIFIED, CTE_MEASURED, MEASURED_FEATURES, f"v AS (SELECT a.attack_id, a.tier, b.tier AS vote, round(sum(greatest(0.1, {cosine_sql('a.f[1:12]', 'b.f[1:12]')})), 9) AS score FROM f a JOIN f b ON a.attack_idx <> b.attack_idx GROUP BY ALL)",
         then="""SELECT attack_id, tier, vote AS predicted FROM v
         QUALIFY row_number() OVER (PARTITION BY attack_id ORDER BY score DESC, CASE vote WHEN 'POS' THEN 0 WHEN 'MID' THEN 1 ELSE 2 END) = 1"""),
     "leave_attack_out_baseline": with_ctes(CTE_VERIFIED, FEATURED, "r AS (SELECT attack_idx, avg(CAST(gated_flip AS INT)) AS rate FROM verified WHERE NOT baseline_failed GROUP BY attack_idx)",

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import graph, linking, records, registry
 from ..operators.evaluation import ranking
 from ..sources import tables
-from ..sources.fixed import ATTACKS
-from ..sources.tables import CTE_ATTACKS, CTE_CLAIMS, CTE_VERIFIED, with_ctes
-from .graphs import FEATURED, cosine_sql
+from ..sources.tables import CTE_CLAIMS, CTE_VERIFIED, with_ctes
+from .graphs import FEATURED, MEASURED_FEATURES, cosine_sql
 from .perturbations import GLYPH, JUMBLE, TABLE_LANGUAGES
-from .verification import verified
+from .verification import CTE_MEASURED, measured, verified
 
 #: Numbers of an embedding.
 DIMS = 64
@@ -65,7 +64,7 @@ def embedding_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exemplar_pair_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = records.pair_state(tables.attacks(spark))
+    s = records.pair_state(measured(spark, sf_dir))
     return s.select("target", "candidate", F.size("state").alias("dims"), F.round(F.aggregate("state", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("state", F.lit(28)), 6).alias("similarity"))
 
 
@@ -85,7 +84,7 @@ def augmented_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.random_exemplars(tables.attacks(spark), 8)
+    return records.random_exemplars(measured(spark, sf_dir), 8)
 
 
 def epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,15 +141,15 @@ ORACLES = {
         + ", ".join(rf"CAST(sum(length(coalesce(trim(regexp_replace({c}, '[ \t\n\v\f\r]+', ' ', 'g')), ''))) AS BIGINT) AS {n}_chars" for c, n in (("claim", "original_claim"), ("evidence", "original_evidence"), ("changed", "adversarial_claim")))
         + ", 0 AS adversarial_evidence_chars FROM made JOIN claims USING (row_id) LEFT JOIN v USING (row_id, attack_id) WHERE trim(coalesce(claim, '')) <> '' GROUP BY ALL"),
     "embedding_mean_pool": f"""SELECT label, CAST(dim AS INT) AS dim, round(avg(embedding[dim + 1]::DOUBLE), 5) AS value FROM embeddings, range({DIMS}) r(dim) GROUP BY label, dim""",
-    "exemplar_pair_state": with_ctes(CTE_ATTACKS, FEATURED, "p AS (SELECT a.attack_idx AS target, b.attack_idx AS candidate, a.f AS x, b.f AS y, m.family = n.family AS fam, m.arm = n.arm AS arm, m.injected AS inj FROM f a JOIN f b ON a.attack_idx <> b.attack_idx JOIN attacks m ON m.attack_idx = a.attack_idx JOIN attacks n ON n.attack_idx = b.attack_idx)",
+    "exemplar_pair_state": with_ctes(CTE_VERIFIED, CTE_MEASURED, MEASURED_FEATURES, "p AS (SELECT a.attack_idx AS target, b.attack_idx AS candidate, a.f AS x, b.f AS y, m.family = n.family AS fam, m.arm = n.arm AS arm, m.injected AS inj FROM f a JOIN f b ON a.attack_idx <> b.attack_idx JOIN measured m ON m.attack_idx = a.attack_idx JOIN measured n ON n.attack_idx = b.attack_idx)",
         f"s AS (SELECT *, {cosine_sql('x[1:12]', 'y[1:12]')} AS sim FROM p)",
         then="SELECT target, candidate, 34 AS dims, round(list_sum(x[1:12]) + list_sum(y) + sim + 2 * fam::INT + arm::INT + inj::INT, 6) AS total, round(sim, 6) AS similarity FROM s"),
     "state_ablation": "SELECT vec_id, round(list_sum(embedding[49:]::DOUBLE[]), 5) AS total, 48 + len(list_filter(embedding[49:], lambda x: x = 0)) AS zeros FROM embeddings",
     "augmented_state": with_ctes(CTE_VERIFIED, FEATURED, f"""o AS (SELECT row_id, count(*) AS tried, count(*) FILTER (gated_flip) AS flips, coalesce(sum(list_sum(f.f)) FILTER (NOT gated_flip), 0) / greatest(count(*) FILTER (NOT gated_flip), 1) AS rest
         FROM verified JOIN f USING (attack_idx) WHERE NOT baseline_failed GROUP BY row_id)""",
         then=f"SELECT row_id, 82 AS dims, round(tried + flips + list_sum(embedding::DOUBLE[]) + rest, 5) AS total FROM o JOIN embeddings ON vec_id = row_id"),
-    "random_exemplars": f"""SELECT a.t::INT AS target, b.e::INT AS exemplar FROM range({len(ATTACKS)}) a(t) JOIN range({len(ATTACKS)}) b(e) ON t <> e
-        QUALIFY row_number() OVER (PARTITION BY t ORDER BY md5('42:' || t || ':' || e)) <= 8""",
+    "random_exemplars": with_ctes(CTE_VERIFIED, CTE_MEASURED, then="""SELECT a.attack_idx AS target, b.attack_idx AS exemplar FROM measured a JOIN measured b ON a.attack_idx <> b.attack_idx
+        QUALIFY row_number() OVER (PARTITION BY a.attack_idx ORDER BY md5('42:' || a.attack_idx || ':' || b.attack_idx)) <= 8"""),
     "epsilon_grid": with_ctes(CTE_VERIFIED, "s AS (SELECT k AS setting, round(avg(CAST((fluency >= k) = meaning_preserved AS INT)), 6) AS score FROM verified, range(1, 6) r(k) GROUP BY k)",
         then="SELECT CAST(setting AS INT) AS setting, score FROM s ORDER BY score DESC, setting LIMIT 1"),
 }

@@ -6,14 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions import stats, verdicts
+from ..functions import stats
 from ..operators import evaluation
 from ..sources import tables
 from ..streaming.rates import windowed_rates
-from ..sources.tables import CTE_ATTACKS, CTE_VERIFIED, CTE_VOTES, with_ctes
-from .verification import verified
+from ..sources.tables import CTE_VERIFIED, with_ctes
+from .verification import CTE_MEASURED, measured, measured_votes, verified
 
 RULE = """CASE WHEN arm = 'LLM' AND family = 'Evidence' AND attack_id NOT LIKE '%Imperceptible%' THEN 'POS' WHEN attack_id LIKE '%FactMixing' THEN 'POS'
     WHEN attack_id LIKE '%Omission%' OR attack_id LIKE '%ClaimRewrite' OR attack_id LIKE '%Jumbling' THEN 'MID'
@@ -26,24 +25,33 @@ def auroc_auprc_by_attack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("attack_id", "hits", "misses", F.round("auroc", 6).alias("auroc"), F.round("auprc", 6).alias("auprc"))
 
 
-def tier_prediction_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = tables.model_votes(spark).join(F.broadcast(tables.attacks(spark).select("attack_idx", "tier")), "attack_idx")
-    together = evaluation.majority(votes, "predicted", "attack_idx", "tier").select("attack_idx", F.lit("consensus").alias("model"), F.col("consensus").alias("predicted"), "tier")
-    every = votes.select("attack_idx", "model", "predicted", "tier").unionByName(together)
+def leaderboard(votes: DataFrame, attacks: DataFrame) -> DataFrame:
+    """How many tiers each model, and all together by majority, foretold."""
+    told = votes.join(F.broadcast(attacks.select("attack_idx", "tier")), "attack_idx")
+    together = evaluation.majority(told, "predicted", "attack_idx", "tier").select("attack_idx", F.lit("consensus").alias("model"), F.col("consensus").alias("predicted"), "tier")
+    every = told.select("attack_idx", "model", "predicted", "tier").unionByName(together)
     return every.groupBy("model").agg(F.count_if(F.col("predicted") == F.col("tier")).alias("correct"), F.count(F.lit(1)).alias("n")).select("model", "correct", "n", F.round(100.0 * F.col("correct") / F.col("n"), 2).alias("accuracy_pct"))
 
 
-def rule_predictor_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tier_prediction_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard(measured_votes(spark, sf_dir), measured(spark, sf_dir))
+
+
+def rule_predictions(attacks: DataFrame) -> DataFrame:
     """Ordered rules, then the first other perturbation of the same granularity and arm, then NEG."""
-    a = tables.attacks(spark).withColumn("rule", F.expr(RULE))
+    a = attacks.withColumn("rule", F.expr(RULE))
     other = a.select(F.col("attack_idx").alias("o"), F.col("family").alias("f"), F.col("arm").alias("r"), F.col("tier").alias("t"))
     near = a.join(F.broadcast(other), (F.col("attack_idx") != F.col("o")) & (F.col("family") == F.col("f")) & (F.col("arm") == F.col("r")), "left")
     first = near.groupBy("attack_id", "tier", "rule").agg(F.min_by("t", "o").alias("fallback"))
     return first.select("attack_id", "tier", F.coalesce("rule", "fallback", F.lit("NEG")).alias("predicted")).withColumn("correct", F.col("tier") == F.col("predicted"))
 
 
+def rule_predictor_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_predictions(measured(spark, sf_dir))
+
+
 def confusion_macro_f1_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = tables.model_votes(spark).join(F.broadcast(tables.attacks(spark).select("attack_idx", "tier")), "attack_idx")
+    votes = measured_votes(spark, sf_dir).join(F.broadcast(measured(spark, sf_dir).select("attack_idx", "tier")), "attack_idx")
     out = evaluation.agreement(votes, "tier", "predicted", "model")
     return out.select("model", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "balanced_accuracy", "kappa")])
 
@@ -86,9 +94,8 @@ def unmeasured_rule_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def empirical_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The measured tiers, recomputed from the measured rates."""
-    a = tables.attacks(spark)
-    return a.select("attack_id", verdicts.tier(F.col("gated_asr_pct") / 100).alias("tier"))
+    """The tiers that the outcomes show."""
+    return measured(spark, sf_dir).select("attack_id", "tier")
 
 
 def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,12 +117,12 @@ ORACLES = {
         "t AS (SELECT attack_id, CAST(sum(p) AS BIGINT) AS hits, CAST(sum(q) AS BIGINT) AS misses, sum(q * (tp - p / 2)) AS wins, sum(p * tp / (tp + fp)) AS area FROM r GROUP BY attack_id)",
         then="""SELECT attack_id, hits, misses, round(CASE WHEN hits = 0 OR misses = 0 THEN 0.5 ELSE wins / (hits * misses) END, 6) AS auroc,
         round(CASE WHEN hits = 0 OR misses = 0 THEN hits / (hits + misses) ELSE area / hits END, 6) AS auprc FROM t"""),
-    "tier_prediction_leaderboard": with_ctes(CTE_ATTACKS, CTE_VOTES, "m AS (SELECT attack_idx, 'consensus' AS model, predicted FROM votes GROUP BY attack_idx, predicted QUALIFY row_number() OVER (PARTITION BY attack_idx ORDER BY count(*) DESC, predicted) = 1)",
-        "e AS (SELECT * FROM votes UNION ALL SELECT * FROM m)", then="SELECT model, count(*) FILTER (predicted = tier) AS correct, count(*) AS n, round(100.0 * count(*) FILTER (predicted = tier) / count(*), 2) AS accuracy_pct FROM e JOIN attacks USING (attack_idx) GROUP BY model"),
-    "rule_predictor_loo": with_ctes(CTE_ATTACKS, f"a AS (SELECT *, {RULE} AS rule FROM attacks)",
-        "p AS (SELECT attack_id, tier, coalesce(rule, (SELECT arg_min(b.tier, b.attack_idx) FROM attacks b WHERE b.attack_idx <> a.attack_idx AND b.family = a.family AND b.arm = a.arm), 'NEG') AS predicted FROM a)",
+    "tier_prediction_leaderboard": with_ctes(CTE_VERIFIED, CTE_MEASURED, "m AS (SELECT attack_idx, 'consensus' AS model, predicted FROM ballots GROUP BY attack_idx, predicted QUALIFY row_number() OVER (PARTITION BY attack_idx ORDER BY count(*) DESC, predicted) = 1)",
+        "e AS (SELECT * FROM ballots UNION ALL SELECT * FROM m)", then="SELECT model, count(*) FILTER (predicted = tier) AS correct, count(*) AS n, round(100.0 * count(*) FILTER (predicted = tier) / count(*), 2) AS accuracy_pct FROM e JOIN measured USING (attack_idx) GROUP BY model"),
+    "rule_predictor_loo": with_ctes(CTE_VERIFIED, CTE_MEASURED, f"a AS (SELECT *, {RULE} AS rule FROM measured)",
+        "p AS (SELECT attack_id, tier, coalesce(rule, (SELECT arg_min(b.tier, b.attack_idx) FROM measured b WHERE b.attack_idx <> a.attack_idx AND b.family = a.family AND b.arm = a.arm), 'NEG') AS predicted FROM a)",
         then="SELECT *, tier = predicted AS correct FROM p"),
-    "confusion_macro_f1_kappa": with_ctes(CTE_ATTACKS, CTE_VOTES, "v AS (SELECT model, tier, predicted FROM votes JOIN attacks USING (attack_idx))",
+    "confusion_macro_f1_kappa": with_ctes(CTE_VERIFIED, CTE_MEASURED, "v AS (SELECT model, tier, predicted FROM ballots JOIN measured USING (attack_idx))",
         "l AS (SELECT DISTINCT model, x AS label FROM (SELECT model, tier AS x FROM v UNION ALL SELECT model, predicted FROM v))",
         """c AS (SELECT l.model, label, count(*) FILTER (tier = label) AS support, count(*) FILTER (predicted = label) AS guesses, count(*) FILTER (tier = label AND predicted = label) AS hits
             FROM l JOIN v USING (model) GROUP BY ALL)""",
@@ -140,5 +147,5 @@ ORACLES = {
             WHEN regexp_matches(name, 'evidence|retrieval|corpus') THEN 3 WHEN regexp_matches(name, 'char|keyboard|visual') THEN 4 ELSE 5 END AS rule FROM n),
         r(rule, tier, probability, scope, priority) AS (VALUES (1, 'MID', 0.35::DOUBLE, 'untestable', 'Medium'), (2, 'POS', 0.70::DOUBLE, 'untestable', 'Low'), (3, 'POS', 0.58::DOUBLE, 'testable', 'High'), (4, 'NEG', 0.03::DOUBLE, 'testable', 'Low'), (5, 'MID', 0.22::DOUBLE, 'testable', 'Medium'))
         SELECT row_number() OVER (ORDER BY probability DESC, p_partkey) AS rank, p_partkey, tier, probability, scope, priority FROM k JOIN r USING (rule)""",
-    "empirical_tiers": with_ctes(CTE_ATTACKS, then="SELECT attack_id, CASE WHEN gated_asr_pct / 100 >= 0.40 THEN 'POS' WHEN gated_asr_pct / 100 >= 0.15 THEN 'MID' ELSE 'NEG' END AS tier FROM attacks"),
+    "empirical_tiers": with_ctes(CTE_VERIFIED, CTE_MEASURED, then="SELECT attack_id, tier FROM measured"),
 }

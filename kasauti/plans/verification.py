@@ -14,12 +14,30 @@ from ..sources.fixed import INJECTED_SEPARATOR
 from ..sources.tables import CTE_CLAIMS, CTE_VERIFIED, with_ctes
 
 TIER_SQL = "CASE WHEN {x} >= 0.40 THEN 'POS' WHEN {x} >= 0.15 THEN 'MID' ELSE 'NEG' END"
+RATE_SQL = "coalesce(count(*) FILTER (gated_flip)::DOUBLE / nullif(count(*) FILTER (reason IN ('flip', 'no_flip') AND NOT excluded), 0), 0.0)"
+#: After the verified outcomes: ``measured`` as the perturbations and ``ballots`` as the votes.
+CTE_MEASURED = f"""rated AS (SELECT attack_idx, {RATE_SQL} AS rate FROM verified GROUP BY attack_idx),
+    measured AS (SELECT a.attack_idx, a.attack_id, a.family, a.arm, a.injected, 100.0::DOUBLE * rate AS gated_asr_pct, {TIER_SQL.format(x='rate')} AS tier FROM attacks a JOIN rated USING (attack_idx)),
+    ballots AS (SELECT attack_idx, domain AS model, {TIER_SQL.format(x=RATE_SQL)} AS predicted FROM verified GROUP BY attack_idx, domain)"""
 
 
 def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(tables.outcomes(spark, sf_dir), tables.attacks(spark))
 
 
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The perturbations with the gated rate and tier that the outcomes show in place of the published ones."""
+    rate = F.coalesce("gated_asr", F.lit(0.0))
+    rates = success_rates(verified(spark, sf_dir), "attack_idx").select("attack_idx", (100.0 * rate).alias("gated_asr_pct"), verdicts.tier(rate).alias("tier"))
+    return tables.attacks(spark).drop("gated_asr_pct", "tier").join(rates, "attack_idx")
+
+
+def measured_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """attack_idx, model and predicted: each domain's outcomes stand for a model that foretells a tier by its own rate."""
+    rates = success_rates(verified(spark, sf_dir), "attack_idx", "domain")
+    return rates.select("attack_idx", F.col("domain").alias("model"), verdicts.tier(F.coalesce("gated_asr", F.lit(0.0))).alias("predicted"))
+
+
 def six(column: str) -> Column:
     return F.round(column, 6).alias(column)
 

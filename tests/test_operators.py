@@ -154,11 +154,11 @@ def test_auroc_against_pairs(spark, cases):
 
 
 def test_published_leaderboard(spark):
-    from kasauti.plans.statistics import rule_predictor_loo, tier_prediction_leaderboard
+    from kasauti.plans.statistics import leaderboard, rule_predictions
 
-    got = {r["model"]: r["correct"] for r in tier_prediction_leaderboard(spark, SMALL).collect()}
+    got = {r["model"]: r["correct"] for r in leaderboard(tables.model_votes(spark), tables.attacks(spark)).collect()}
     assert (got["deepseek"], got["sarvam"], got["gpt4o"], got["claude"], got["kimi"]) == (16, 9, 6, 6, 6)
-    assert rule_predictor_loo(spark, SMALL).filter("correct").count() == 19
+    assert rule_predictions(tables.attacks(spark)).filter("correct").count() == 19
 
 
 def test_files_round_trip(spark, tmp_path):
