@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import MORE, WIDE, kappa, log_factorial, ratio
+from ..functions.tails import t_two_sided
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, *keys: str) -> DataFrame:
@@ -34,21 +35,44 @@ def agreement(df: DataFrame, truth: str, predicted: str, *keys: str) -> DataFram
     return out.withColumn("kappa", kappa(F.col("accuracy"), F.col("chance"))).drop("chance")
 
 
-def ranking(df: DataFrame, score: str, hit: str, *keys: str) -> DataFrame:
+def ranking(df: DataFrame, score: str, hit: str, *keys: str, parts: int = 64) -> DataFrame:
     """AUROC (mid-ranks) and average precision; 0.5 and the base rate where all cases are of one class.
 
-    Rows meet the windows as counts of distinct scores.
+    Rows are met as counts of distinct scores. A key's scores are cut at approximate
+    quantiles into at most ``parts`` + 2 spans: running totals of the spans, then of
+    the scores within each, so that no key's scores meet in one task. Where the cuts
+    fall changes the work alone. A null score comes last; null keys are a key.
     """
-    steps = df.groupBy(*keys, F.col(score).alias("s")).agg(F.count_if(F.col(hit)).alias("p"), F.count_if(~F.col(hit)).alias("q"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = steps.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down))
+    steps = df.groupBy(*keys, F.col(score).alias("s")).agg(F.count_if(F.col(hit)).alias("p"), F.count_if(~F.col(hit)).alias("q")).withColumn("__all", F.lit(0))
+    by = [*keys, "__all"]
+    spanned = spans(steps, by, parts)
+    down = Window.partitionBy(*by, "__span").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = spanned.withColumn("tp", F.sum("p").over(down) + F.col("__p")).withColumn("fp", F.sum("q").over(down) + F.col("__q"))
     wins = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2.0))
-    out = run.groupBy(*keys).agg(F.sum("p").alias("hits"), F.sum("q").alias("misses"), wins.alias("wins"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("area"))
+    out = run.groupBy(*by).agg(F.sum("p").alias("hits"), F.sum("q").alias("misses"), wins.alias("wins"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("area"))
     h, m = F.col("hits"), F.col("misses")
     one = (h == 0) | (m == 0)
     return out.select(*keys, "hits", "misses", F.when(one, 0.5).otherwise(F.col("wins") / (h * m)).alias("auroc"), F.when(one, h / (h + m)).otherwise(F.col("area") / h).alias("auprc"))
 
 
+def spans(steps: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """``steps`` (s, p, q of each key ``by``) with __span, higher scores first, and the key's p and q in earlier spans."""
+    cuts = steps.groupBy(*by).agg(F.percentile_approx("s", [i / parts for i in range(1, parts)], 100 * parts).alias("__cuts"))
+    place = F.when(F.col("s").isNull(), parts + 1).otherwise(F.coalesce(F.size(F.filter("__cuts", lambda c: c > F.col("s"))), F.lit(0)))
+    placed = _beside(steps, cuts, by).withColumn("__span", place).drop("__cuts")
+    totals = placed.groupBy(*by, "__span").agg(F.sum("p").alias("__p"), F.sum("q").alias("__q"))
+    earlier = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*by, "__span", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("__p", "__q")])
+    return _beside(placed, before, [*by, "__span"])
+
+
+def _beside(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row for each of their keys; nulls are equal."""
+    named = table.select(*[F.col(c).alias(f"__of_{c}") for c in by], *[c for c in table.columns if c not in by])
+    met = reduce(lambda x, c: x & c, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by])
+    return rows.join(named, met).drop(*[f"__of_{c}" for c in by])
+
+
 def majority(votes: DataFrame, vote: str, *keys: str) -> DataFrame:
     """The most frequent vote; ties go to the first in the alphabet."""
     counts = votes.groupBy(*keys, vote).agg(F.count(F.lit(1)).alias("n"))
@@ -110,5 +134,7 @@ def ranked(df: DataFrame, score: str, id_col: str) -> DataFrame:
 
 
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
+    """n, mean_difference, t and the two-sided p of the rows that have both; t and p are null of fewer than two, or of differences that are all the same."""
     d = F.col(a) - F.col(b)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_difference"), ratio(F.avg(d) * F.sqrt(F.count(F.lit(1))), F.stddev_samp(d)).alias("t"))
+    out = df.agg(F.count(d).alias("n"), F.avg(d).alias("mean_difference"), ratio(F.avg(d) * F.sqrt(F.count(d)), F.stddev_samp(d)).alias("t"))
+    return out.withColumn("p", t_two_sided(F.col("t"), F.col("n") - 1))

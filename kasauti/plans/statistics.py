@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import stats, tails
 from ..operators import evaluation
 from ..sources import tables
 from ..streaming.rates import windowed_rates
@@ -62,7 +62,8 @@ def mcnemar_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, c = F.count_if(F.col("char") & ~F.col("word")).alias("b"), F.count_if(~F.col("char") & F.col("word")).alias("c")
     each = hits.groupBy(F.col("domain").alias("part")).agg(b, c)
     both = each.unionByName(each.agg(F.lit("all").alias("part"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("c"), F.lit(0)).alias("c")))
-    return both.select("part", "b", "c", F.round(stats.mcnemar_exact(F.col("b"), F.col("c")), 6).alias("p_exact"), F.round(stats.mcnemar_chi2(F.col("b"), F.col("c")), 6).alias("chi2"))
+    chi2 = stats.mcnemar_chi2(F.col("b"), F.col("c"))
+    return both.select("part", "b", "c", F.round(stats.mcnemar_exact(F.col("b"), F.col("c")), 6).alias("p_exact"), F.round(chi2, 6).alias("chi2"), F.round(tails.chi2_tail(chi2, 1), 6).alias("p_chi2"))
 
 
 def fisher_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,7 @@ def paired_t_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of flips by rules against that by models, over domains."""
     rate = lambda arm: F.avg(F.when(F.col("arm") == arm, F.col("gated_flip").cast("double"))).alias(arm.lower())
     each = verified(spark, sf_dir).filter("NOT baseline_failed").groupBy("domain").agg(rate("Rule"), rate("LLM"))
-    return evaluation.paired_t(each, "rule", "llm").select("n", F.round("mean_difference", 6).alias("mean_difference"), F.round("t", 4).alias("t"))
+    return evaluation.paired_t(each, "rule", "llm").select("n", F.round("mean_difference", 6).alias("mean_difference"), F.round("t", 4).alias("t"), F.round("p", 6).alias("p"))
 
 
 #: Words that parts' types stand for, so that each rule of the cascade applies to some.
@@ -108,6 +109,11 @@ QUERIES = {
     for f in (auroc_auprc_by_attack, tier_prediction_leaderboard, rule_predictor_loo, confusion_macro_f1_kappa, mcnemar_families, fisher_enrichment, paired_t_arms, unmeasured_rule_ranking, empirical_tiers, event_rates)
 }
 
+#: Twice the upper tail of the normal distribution, and Student's two tails by the angle whose tangent is t / sqrt(v): integrals by Simpson's rule.
+SIMPSON = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+CHI2_SQL = f"(SELECT sum({SIMPSON} * exp(-0.5 * pow(sqrt(chi2) + i * 0.003, 2))) * 0.001 * 2 / sqrt(2 * pi()) FROM range(4001) g(i))"
+STUDENT_SQL = f"""(SELECT 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()) * sum({SIMPSON} * pow(greatest(0, cos(angle + i * (pi() / 2 - angle) / 4000)), v - 1)) * (pi() / 2 - angle) / 12000 FROM range(4001) g(i))"""
+
 LF = "lf AS (SELECT 0 AS x, 0.0::DOUBLE AS v UNION ALL SELECT i, sum(ln(i)) OVER (ORDER BY i) FROM range(1, 400001) r(i))"
 
 ORACLES = {
@@ -133,7 +139,7 @@ ORACLES = {
         "d AS (SELECT domain AS part, count(*) FILTER (ch AND NOT wo) AS b, count(*) FILTER (wo AND NOT ch) AS c FROM h GROUP BY domain UNION ALL SELECT 'all', count(*) FILTER (ch AND NOT wo), count(*) FILTER (wo AND NOT ch) FROM h)",
         "x AS (SELECT part, unnest(range(least(b, c) + 1)) AS i, b + c AS n FROM d)",
         "p AS (SELECT part, sum(exp(ln.v - li.v - lr.v - n * ln(2.0))) AS tail FROM x JOIN lf ln ON ln.x = n JOIN lf li ON li.x = i JOIN lf lr ON lr.x = n - i GROUP BY part)",
-        then="SELECT part, b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * tail) END, 6) AS p_exact, round(pow(abs(b - c) - 1, 2) / nullif(b + c, 0), 6) AS chi2 FROM d JOIN p USING (part)"),
+        then="SELECT part, b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * tail) END, 6) AS p_exact, round(chi2, 6) AS chi2, round(CASE WHEN chi2 IS NOT NULL THEN " + CHI2_SQL + " END, 6) AS p_chi2 FROM (SELECT *, pow(abs(b - c) - 1, 2) / nullif(b + c, 0) AS chi2 FROM d JOIN p USING (part))"),
     "fisher_enrichment": with_ctes(CTE_VERIFIED, LF, "c AS (SELECT row_id, domain, bool_or(gated_flip) AS hit FROM verified WHERE NOT baseline_failed GROUP BY ALL)", "e AS (SELECT domain, count(*) FILTER (hit) AS k, count(*) AS n FROM c GROUP BY domain)",
         "t AS (SELECT CAST(sum(k) AS BIGINT) AS kk, CAST(sum(n) AS BIGINT) AS nn FROM e)", "x AS (SELECT domain, k, n, kk, nn, unnest(range(k, least(n, kk) + 1)) AS i FROM e, t)",
         """p AS (SELECT domain, k, n, sum(exp(a.v - b.v - c2.v + d.v - e2.v - f.v - (g.v - h.v - m.v))) AS p FROM x
@@ -141,7 +147,8 @@ ORACLES = {
             JOIN lf g ON g.x = nn JOIN lf h ON h.x = n JOIN lf m ON m.x = nn - n GROUP BY domain, k, n)""",
         then="SELECT domain, k, n, round(least(1.0, p), 5) AS p, round(least(1.0, least(1.0, p) * 5), 5) AS p_bonferroni FROM p"),
     "paired_t_arms": with_ctes(CTE_VERIFIED, "d AS (SELECT domain, avg(CAST(gated_flip AS INT)) FILTER (arm = 'Rule') - avg(CAST(gated_flip AS INT)) FILTER (arm = 'LLM') AS x FROM verified WHERE NOT baseline_failed GROUP BY domain)",
-        then="SELECT count(*) AS n, round(avg(x), 6) AS mean_difference, round(avg(x) * sqrt(count(*)) / stddev_samp(x), 4) AS t FROM d"),
+        "m AS (SELECT count(*) AS n, avg(x) AS mean_difference, avg(x) * sqrt(count(*)) / stddev_samp(x) AS t, count(*) - 1 AS v FROM d)",
+        then=f"SELECT n, round(mean_difference, 6) AS mean_difference, round(t, 4) AS t, round(CASE WHEN t IS NOT NULL THEN {STUDENT_SQL} END, 6) AS p FROM (SELECT *, atan(abs(t) / sqrt(v)) AS angle FROM m)"),
     "unmeasured_rule_ranking": f"""WITH n AS (SELECT p_partkey, {reduce(lambda x, w: f"replace({x}, '{w[0]}', '{w[1]}')", STAND_INS.items(), "lower(p_type || ' ' || p_name)")} AS name FROM part),
         k AS (SELECT p_partkey, CASE WHEN regexp_matches(name, 'hop') THEN 1 WHEN regexp_matches(name, 'gradient|hotflip|embedding') THEN 2
             WHEN regexp_matches(name, 'evidence|retrieval|corpus') THEN 3 WHEN regexp_matches(name, 'char|keyboard|visual') THEN 4 ELSE 5 END AS rule FROM n),
