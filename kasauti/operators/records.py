@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.picks import digest
@@ -97,6 +103,33 @@ def mean_pool(vectors: DataFrame, key: str, mask: Column, dims: int, vector: str
     return sums.select(key, F.array(*[f"m{i}" for i in range(dims)]).alias("pooled"))
 
 
+def pool_tokens(df: DataFrame, key: str, tokens: str, mask: str, dims: int, most: int = 128) -> DataFrame:
+    """key and pooled: the mean of a text's token vectors that its attention mask counts, as a sentence encoder pools them.
+
+    ``tokens`` is an array of arrays of ``dims`` numbers, ``mask`` an array of numbers
+    beside it; tokens beyond the encoder's limit ``most`` count for nothing, as
+    published. A token is not counted where its mask is 0, null or missing, or where it is null, has a null or another
+    width. Without counted tokens the mean is all zeros; null tokens give null. A row
+    for each row. The sums of all texts of an Arrow batch are taken at once.
+    """
+    token = lambda x, i: (F.coalesce(F.get(mask, i).cast("double"), F.lit(0.0)) != 0) & (F.size(F.filter(x, lambda v: v.isNotNull())) == dims) & (F.size(x) == dims)
+    kept = df.select(key, F.filter(F.slice(tokens, 1, most), token).alias("kept"))
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("kept")
+            counts = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+            numbers = texts.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
+            means = np.zeros((len(counts), dims))
+            some = counts > 0
+            if some.any():
+                means[some] = np.add.reduceat(numbers, (np.cumsum(counts) - counts)[some], axis=0) / counts[some, None]
+            offsets = pa.array(np.arange(0, dims * len(counts) + 1, dims, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(offsets, pa.array(means.ravel()), mask=texts.is_null())], names=[key, "pooled"])
+
+    return kept.mapInArrow(pool, StructType([kept.schema[key], StructField("pooled", ArrayType(DoubleType()))]))
+
+
 def pair_state(attacks: DataFrame) -> DataFrame:
     """target, candidate and the 34 numbers that describe a candidate exemplar of a target before any was chosen."""
     a = attacks.select("attack_idx", "family", "arm", "injected", attack_features().alias("f"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.picks import digest
+from .lineage import cut
 
 
 #: Hex digits of a hash range: 65,536 ranges of each stratum, so that none holds more than some millions of 100 billion rows.
@@ -114,3 +118,67 @@ def bootstrap_means(values: DataFrame, draws: int, value: str, id_col: str = "ro
     rows = F.array(*[F.struct((F.col("__group") * DRAWS + i).alias("draw"), F.col(f"w{i}").alias("w"), F.col(f"s{i}").alias("s")) for i in range(DRAWS)])
     out = each.select(F.explode(rows).alias("x")).select("x.*").filter(F.col("draw") < draws)
     return out.select("draw", (F.col("s") / F.nullif(F.col("w"), F.lit(0))).alias("mean"))
+
+
+class Splits:
+    """How often each leaf is drawn in ``draws`` resamples of as many rows as there are.
+
+    The leaves' rows are split in two again and again; at each node a binomial number
+    of the draws goes left. A node has its own stream of random numbers, so every task
+    finds the same numbers from the leaves' sizes alone, in as many steps as the tree
+    is deep.
+    """
+
+    def __init__(self, sizes: np.ndarray, draws: int, seed: int):
+        self.before = np.concatenate([[0], np.cumsum(sizes)])
+        self.draws, self.seed = draws, seed
+
+    def stream(self, *place: int) -> np.random.Generator:
+        return np.random.default_rng([self.seed, *place])
+
+    def drawn(self, leaf: int) -> np.ndarray:
+        low, high, depth = 0, len(self.before) - 1, 0
+        taken = np.full(self.draws, self.before[-1])
+        while high - low > 1:
+            middle = (low + high) // 2
+            all_rows, left_rows = self.before[high] - self.before[low], self.before[middle] - self.before[low]
+            left = self.stream(depth, low).binomial(taken, left_rows / all_rows)
+            taken, low, high = (left, low, middle) if leaf < middle else (taken - left, middle, high)
+            depth += 1
+        return taken
+
+
+def exact_bootstrap(values: DataFrame, columns: list[str], draws: int = 10_000, seed: int = 42, bits: int = 10) -> DataFrame:
+    """draw, n and the mean of each column in ``draws`` resamples of exactly as many rows, with replacement.
+
+    Rows that are alike are one cell and its count, formed where they are, so work
+    grows with different rows and not with rows. Cells are dealt to 2 ** ``bits``
+    leaves by hash; a leaf's share of each draw is split over its cells one by one, as
+    they stream by. A task holds draws x columns sums, which are all that is shuffled;
+    the leaves' sizes, at most 2 ** ``bits``, pass the driver. Rows with a null are
+    left out; no rows give no draws.
+    """
+    cells = values.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop().groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+    cells = cut(cells.withColumn("__leaf", F.pmod(F.xxhash64(*columns), F.lit(2**bits)).cast("int")))
+    sizes = np.zeros(2**bits, dtype=np.int64)
+    for r in cells.groupBy("__leaf").agg(F.sum("__n").alias("n")).collect():
+        sizes[r["__leaf"]] = r["n"]
+    splits, total, apart = Splits(sizes, draws, seed), int(sizes.sum()), bits + 1
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, weight, leaf = np.zeros((draws, len(columns))), np.zeros(draws, dtype=np.int64), None
+        for batch in batches:
+            for at, n, *cell in zip(batch["__leaf"], batch["__n"], *[batch[c] for c in columns]):
+                if at != leaf:
+                    leaf, left, rows, stream = at, splits.drawn(at), int(sizes[at]), splits.stream(apart, at)
+                taken = left if n == rows else stream.binomial(left, n / rows)
+                left, rows = left - taken, rows - n
+                weight += taken
+                sums += taken[:, None] * np.array(cell)
+        if leaf is not None:
+            yield pd.DataFrame({"draw": np.arange(draws), "w": weight, **{f"s{i}": sums[:, i] for i in range(len(columns))}})
+
+    schema = "draw int, w long, " + ", ".join(f"s{i} double" for i in range(len(columns)))
+    parts = cells.repartition("__leaf").sortWithinPartitions("__leaf", *columns).mapInPandas(resample, schema)
+    out = parts.groupBy("draw").agg(F.sum("w").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(columns))])
+    return out.select("draw", "n", *[(F.col(f"s{i}") / F.lit(total)).alias(c) for i, c in enumerate(columns)])

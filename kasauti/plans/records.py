@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, linking, records, registry
 from ..operators.evaluation import ranking
+from ..operators.lineage import cut
 from ..sources import tables
 from ..sources.tables import CTE_CLAIMS, CTE_VERIFIED, with_ctes
 from .graphs import FEATURED, MEASURED_FEATURES, cosine_sql
@@ -63,6 +64,18 @@ def embedding_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("label", F.posexplode("pooled").alias("dim", "value")).select("label", "dim", F.round("value", 5).alias("value"))
 
 
+#: Tokens that an embedding is read as, and the numbers of each.
+TOKENS, TOKEN_DIMS = 16, DIMS // 16
+
+
+def token_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector read as sixteen tokens of four numbers; those whose first number is above 0 are attended to."""
+    e, d = F.col("embedding"), TOKEN_DIMS
+    v = tables.read(spark, sf_dir, "embeddings").select("vec_id", F.array(*[F.slice(e, 1 + d * i, d) for i in range(TOKENS)]).alias("tokens"), F.array(*[(F.get(e, F.lit(d * i)) > 0).cast("int") for i in range(TOKENS)]).alias("mask"))
+    pooled = records.pool_tokens(v, "vec_id", "tokens", "mask", d).select("vec_id", F.posexplode("pooled").alias("dim", "value"))
+    return pooled.select("vec_id", "dim", F.round("value", 5).alias("value"))
+
+
 def exemplar_pair_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = records.pair_state(measured(spark, sf_dir))
     return s.select("target", "candidate", F.size("state").alias("dims"), F.round(F.aggregate("state", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("state", F.lit(28)), 6).alias("similarity"))
@@ -106,9 +119,21 @@ def link_prediction_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_prediction(spark, sf_dir).agg(F.count(F.lit(1)).alias("folds"), F.round(F.avg("auroc"), 6).alias("auroc"), F.round(F.avg("auprc"), 6).alias("auprc"))
 
 
+def link_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network of one hidden layer over a claim's whole vector and a perturbation's features, each perturbation held out in turn; of claims that have a vector. Part "all" averages the folds."""
+    features = tables.attacks(spark).select("attack_idx", F.slice(graph.attack_features(), 1, 11).alias("f"))
+    v = tables.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    seen = verified(spark, sf_dir).filter("NOT baseline_failed AND verdict IS NOT NULL").select("row_id", "attack_idx", F.col("gated_flip").alias("hit"))
+    scored = linking.link_mlp(seen.join(v.select("row_id"), "row_id", "left_semi"), v, features, graph.width(v, "vector"))
+    each = cut(ranking(scored, "p", "hit", "attack_idx"))
+    total = each.agg(F.lit("all").alias("part"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hits", "misses")], F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"))
+    both = each.select(F.col("attack_idx").cast("string").alias("part"), "hits", "misses", "auroc", "auprc").unionByName(total)
+    return both.select("part", "hits", "misses", F.round("auroc", 6).alias("auroc"), F.round("auprc", 6).alias("auprc"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (generated_attacks, sub_question_counts, records_with_source, result_records, embedding_mean_pool, exemplar_pair_state, state_ablation, augmented_state, random_exemplars, epsilon_grid, link_prediction, link_prediction_macro)
+    for f in (link_mlp, token_mean_pool, generated_attacks, sub_question_counts, records_with_source, result_records, embedding_mean_pool, exemplar_pair_state, state_ablation, augmented_state, random_exemplars, epsilon_grid, link_prediction, link_prediction_macro)
 }
 
 _spec = ", ".join(f"({i}, '{a}', '{w}', '{t}', {s}, {j}, '{n}', '{m}', '{f}')" for i, (a, w, t, s, j, n, m, f) in enumerate(records.GENERATORS))
@@ -141,6 +166,9 @@ ORACLES = {
         + ", ".join(rf"CAST(sum(length(coalesce(trim(regexp_replace({c}, '[ \t\n\v\f\r]+', ' ', 'g')), ''))) AS BIGINT) AS {n}_chars" for c, n in (("claim", "original_claim"), ("evidence", "original_evidence"), ("changed", "adversarial_claim")))
         + ", 0 AS adversarial_evidence_chars FROM made JOIN claims USING (row_id) LEFT JOIN v USING (row_id, attack_id) WHERE trim(coalesce(claim, '')) <> '' GROUP BY ALL"),
     "embedding_mean_pool": f"""SELECT label, CAST(dim AS INT) AS dim, round(avg(embedding[dim + 1]::DOUBLE), 5) AS value FROM embeddings, range({DIMS}) r(dim) GROUP BY label, dim""",
+    "token_mean_pool": f"""WITH t AS (SELECT vec_id, d, len(list_filter(range({TOKENS}), lambda i: embedding[{TOKEN_DIMS} * i + 1] > 0)) AS n,
+            coalesce(list_sum(list_transform(list_filter(range({TOKENS}), lambda i: embedding[{TOKEN_DIMS} * i + 1] > 0), lambda i: embedding[{TOKEN_DIMS} * i + d + 1]::DOUBLE)), 0) AS s FROM embeddings, range({TOKEN_DIMS}) r(d))
+        SELECT vec_id, CAST(d AS INT) AS dim, round(s / greatest(n, 1), 5) + 0.0 AS value FROM t""",
     "exemplar_pair_state": with_ctes(CTE_VERIFIED, CTE_MEASURED, MEASURED_FEATURES, "p AS (SELECT a.attack_idx AS target, b.attack_idx AS candidate, a.f AS x, b.f AS y, m.family = n.family AS fam, m.arm = n.arm AS arm, m.injected AS inj FROM f a JOIN f b ON a.attack_idx <> b.attack_idx JOIN measured m ON m.attack_idx = a.attack_idx JOIN measured n ON n.attack_idx = b.attack_idx)",
         f"s AS (SELECT *, {cosine_sql('x[1:12]', 'y[1:12]')} AS sim FROM p)",
         then="SELECT target, candidate, 34 AS dims, round(list_sum(x[1:12]) + list_sum(y) + sim + 2 * fam::INT + arm::INT + inj::INT, 6) AS total, round(sim, 6) AS similarity FROM s"),
