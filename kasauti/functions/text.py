@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EXTEND = r"\p{Mn}\p{Mc}\p{Me}\p{Cf}\p{Cc}\p{Sk}"
 SPACES = " \t\n\x0b\x0c\r"
@@ -110,6 +113,54 @@ def char_fscore(a: Column, b: Column) -> Column:
     return _let(F.struct(left.alias("a"), right.alias("b")), score)
 
 
+def packed_grams(text: str) -> list[np.ndarray]:
+    """The distinct 2-, 3- and 4-grams of a text, each gram as numbers: 21 bits a character, the fourth beside them."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    pack = lambda n: sum(letters[k : len(letters) - n + 1 + k] << np.uint64(21 * (n - 1 - k)) for k in range(n))
+    two, three = (np.unique(pack(n)) if len(letters) >= n else letters[:0] for n in (2, 3))
+    if len(letters) < 4:
+        return [two, three, np.zeros(0, dtype=FOUR)]
+    four = np.empty(len(letters) - 3, dtype=FOUR)
+    four["head"], four["last"] = pack(3)[:-1], letters[3:]
+    order = np.lexsort((four["last"], four["head"]))
+    four = four[order]
+    return [two, three, four[np.append(True, four[1:] != four[:-1])]]
+
+
+#: A 4-gram: three packed characters and the last.
+FOUR = np.dtype([("head", np.uint64), ("last", np.uint64)])
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many rows two sorted sets share: the shorter one looks its rows up in the longer."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(a):
+        return 0
+    if a.dtype != FOUR:
+        return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    both = np.concatenate([a, b])
+    both = both[np.lexsort((both["last"], both["head"]))]
+    return int((both[1:] == both[:-1]).sum())
+
+
+@F.pandas_udf(DoubleType())
+def _char_fscore_of_batches(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for left, right in zip(a, b):
+        if left is None or right is None:
+            out.append(None)
+            continue
+        pairs = list(zip(packed_grams(left), packed_grams(right)))
+        scores = [2.0 * n / (len(x) + len(y)) for x, y in pairs if (n := _shared(x, y))]
+        out.append(sum(scores) / len(scores) if scores else 0.0)
+    return pd.Series(out, dtype="float64")
+
+
+def char_fscore_of_texts(a: Column, b: Column) -> Column:
+    """``char_fscore`` of long texts, in Arrow batches: grams are packed into numbers instead of strings of their own; null if a text is."""
+    return _char_fscore_of_batches(*(F.regexp_replace(c, r"\s+", "") for c in (a, b)))
+
+
 def script_ratio(c: Column) -> Column:
     """Share of Devanagari, ASCII and punctuation among the characters that are not white space."""
     solid = F.regexp_replace(c, r"\s+", "")

@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,26 +104,73 @@ def gat(nodes: DataFrame, edges: DataFrame, linear: list[list[float]], source: l
     return nodes.select("id").join(sums, "id", "left").select("id", F.array(*[F.when(x > 0, x).otherwise(F.expm1(x)) for x in raised]).alias("h"))
 
 
-#: Queries that are broadcast at once; more of them pass over the candidates in blocks.
-QUERY_BLOCK = 20_000
+#: Queries that go to the tasks at once (more of them pass over the candidates in blocks), and candidates in one product.
+QUERY_BLOCK, COLUMNS = 8_192, 256
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """id, other, similarity of the k most similar candidates of each query (id, features); ties go to the lower id.
 
-    Exact: every query meets every candidate. Each task keeps k of its candidates
-    for a query before anything is shuffled.
+    Exact: every query meets every candidate, a block of queries and a batch of
+    candidates in one product of matrices. A task keeps k of its candidates for a
+    query, so tasks x k rows of each are shuffled. The driver holds one block of
+    queries: where there are more, each block's answers are computed and written before the next. A vector without length has
+    similarity 0 to all; a null one, one of another width than the first query's or
+    one with a null or infinite number has none and is left out.
     """
     n = -(-queries.count() // QUERY_BLOCK) or 1
-    other = candidates.select(F.col("id").alias("other"), F.col("features").alias("fb"))
     best, found = Window.partitionBy("id").orderBy(F.desc("similarity"), "other"), None
+    size, schema = None, "id long, other long, similarity double"
     for block in range(n):
-        some = queries.select("id", F.col("features").alias("fa")).filter(F.pmod(F.xxhash64("id"), F.lit(n)) == block)
-        pairs = F.broadcast(some).join(other, F.col("id") != F.col("other"))
-        scored = pairs.select("id", "other", F.round(cosine(F.col("fa"), F.col("fb")), 9).alias("similarity"))
-        part = scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k)
-        found = part if found is None else found.unionByName(part)
-    return found
+        rows = queries.select(F.col("id").cast("long"), "features").filter("features IS NOT NULL").filter(F.pmod(F.xxhash64("id"), F.lit(n)) == block).collect()
+        size = size or (len(rows[0].features) if rows else None)
+        some = [(r.id, np.array(r.features, dtype=float)) for r in rows if r.id is not None and len(r.features) == size and None not in r.features]
+        some = [(i, v) for i, v in some if np.isfinite(v).all()]
+        asked = np.array([i for i, _ in some], dtype=np.int64)
+        units = _units(np.array([v for _, v in some]).reshape(len(some), size or 0))
+
+        def closest(batches: Iterator[pa.RecordBatch], asked: np.ndarray = asked, units: np.ndarray = units) -> Iterator[pa.RecordBatch]:
+            top = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+            least = np.full(len(asked), -np.inf)
+            for batch in batches:
+                vectors = batch.column("features")
+                fits = pc.fill_null(pc.and_(pc.equal(pc.list_value_length(vectors), units.shape[1]), pc.is_valid(batch.column("other"))), False)
+                others = batch.column("other").filter(fits).to_numpy()
+                values = vectors.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(others), units.shape[1])
+                whole = np.isfinite(values).all(axis=1)
+                others, values = others[whole], _units(values[whole])
+                for at in range(0, len(others), COLUMNS):
+                    seen = others[at : at + COLUMNS]
+                    similar = np.round(units @ values[at : at + COLUMNS].T, 9)
+                    q, c = np.nonzero((similar >= least[:, None]) & (asked[:, None] != seen[None, :]))
+                    top = _first(*(np.concatenate(x) for x in zip(top, (q, seen[c], similar[q, c]))), k)
+                    full = np.bincount(top[0], minlength=len(asked)) == k
+                    lowest = np.full(len(asked), np.inf)
+                    np.minimum.at(lowest, top[0], top[2])
+                    least = np.where(full, lowest, -np.inf)
+            yield pa.RecordBatch.from_pydict({"id": asked[top[0]], "other": top[1], "similarity": top[2]})
+
+        if len(asked):
+            part = candidates.select(F.col("id").cast("long").alias("other"), F.col("features")).mapInArrow(closest, schema)
+            part = part.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k)
+            part = cut(part) if n > 1 else part
+            found = part if found is None else found.unionByName(part)
+    return queries.sparkSession.createDataFrame([], schema + ", nth int") if found is None else found
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; those of length 0 as they are."""
+    length = np.sqrt((rows * rows).sum(axis=1))
+    return rows / np.where(length > 0, length, 1.0)[:, None]
+
+
+def _first(q: np.ndarray, other: np.ndarray, similarity: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query."""
+    order = np.lexsort((other, -similarity, q))
+    q, other, similarity = q[order], other[order], similarity[order]
+    starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, dtype=np.int64)
+    nth = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    return q[nth < k], other[nth < k], similarity[nth < k]
 
 
 #: Rows in a tile, tokens in one, and columns of a product of two tiles.

@@ -121,7 +121,7 @@ def hybrid_auditor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ablation_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned policies with and without graph nodes, price, exploration and failed claims."""
-    vectors = tables.read(spark, sf_dir, "embeddings").groupBy(F.col("vec_id").alias("row_id")).agg(F.first("embedding").alias("vector"))
+    vectors = tables.read(spark, sf_dir, "embeddings").groupBy(F.col("vec_id").alias("row_id")).agg(F.min("embedding").alias("vector"))
     return ablation.suite(verified(spark, sf_dir), vectors, tables.attacks(spark))
 
 

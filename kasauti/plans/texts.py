@@ -23,7 +23,7 @@ def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_ngram_fscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.claims(spark, sf_dir).select("row_id", F.round(text.char_fscore(F.col("claim"), F.col("evidence")), 6).alias("char_f"))
+    return tables.claims(spark, sf_dir).select("row_id", F.round(text.char_fscore_of_texts(F.col("claim"), F.col("evidence")), 6).alias("char_f"))
 
 
 def orthographic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

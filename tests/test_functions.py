@@ -1,5 +1,7 @@
 """Text, verdict and statistics columns on literals."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +154,11 @@ def test_picks_are_stable(spark):
 def test_attack_table(spark):
     a = tables.attacks(spark)
     assert a.count() == 22 and a.select("attack_id").distinct().count() == 22
+
+
+def test_packed_grams_score_as_strings_do(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab कि😀\u2028\t") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 30, 400]))) for _ in range(80)]
+    df = spark.createDataFrame([(a, rng.choice([b, a, a[: len(a) // 2]])) for a, b in zip(texts, texts[::-1])] + [(None, "abc"), ("abc", None), ("x" * 50_000, "x" * 3)], "a string, b string")
+    for r in df.select("a", "b", text.char_fscore(F.col("a"), F.col("b")).alias("one"), text.char_fscore_of_texts(F.col("a"), F.col("b")).alias("two")).collect():
+        assert r.two == (pytest.approx(r.one) if r.a is not None and r.b is not None else None)

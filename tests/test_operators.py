@@ -124,6 +124,24 @@ def test_published_graph_size(spark):
     assert 2 * 1120 * 22 + graph.similar_pairs(a, 12).count() == 49_364
 
 
+def test_nearest_against_all_cosines(spark):
+    rng = np.random.default_rng(6)
+    v = rng.integers(-2, 3, (700, 4)).astype(float)
+    odd = [(900, None), (901, [1.0, 2.0]), (902, [1.0, None, 1.0, 1.0]), (None, [1.0] * 4)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + odd, "id long, features array<float>")
+    length = np.sqrt((v * v).sum(axis=1))
+    unit = v / np.where(length > 0, length, 1)[:, None]
+    near = np.round(unit @ unit.T, 9)
+    found = {}
+    for r in graph.nearest(df.filter("id % 50 = 0"), df.repartition(5), 4).collect():
+        found.setdefault(r.id, []).append((-r.similarity, r.other))
+    assert set(found) == set(range(0, 700, 50))
+    for i, rows in found.items():
+        expected = sorted((-near[i, j], j) for j in range(700) if j != i)[:4]
+        assert sorted(rows) == [(pytest.approx(s), j) for s, j in expected]
+    assert graph.nearest(df.filter("id = 900"), df, 4).count() == graph.nearest(df.limit(0), df, 4).count() == 0
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     v = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(30)], "id long, features array<double>")
     one = sorted(map(tuple, graph.nearest(v.filter("id < 9"), v, 3).collect()))
