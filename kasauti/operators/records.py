@@ -34,15 +34,24 @@ def apply_generated(claims: DataFrame, generated: DataFrame) -> DataFrame:
     """Attacked records from ``generated`` (row_id, attack_id, text): adversarial claim or evidence, target, and why one was skipped.
 
     Facts are mixed of the claim's evidence and its ``neighbor_evidence``
-    (:func:`with_neighbours`); without that column there is no pair.
+    (:func:`with_neighbours`); without that column there is no pair. Where a column
+    ``has_evidence`` or ``has_neighbor_evidence`` says whether there is a text, the text is
+    not read. The texts of a row meet its claim once, not once for each perturbation.
     """
-    if "neighbor_evidence" not in claims.columns:
-        claims = claims.withColumn("neighbor_evidence", F.lit(None).cast("string"))
     spec = claims.sparkSession.createDataFrame(GENERATORS, "attack_id string, writes string, target string, spares_nei boolean, injected boolean, needs string, missing string, failed string")
-    cells = claims.join(F.broadcast(spec)).join(generated, ["row_id", "attack_id"], "left")
+
+    def has(c: str) -> Column:
+        if f"has_{c}" in claims.columns:
+            return F.coalesce(F.col(f"has_{c}"), F.lit(False))
+        return F.coalesce(F.col(c), F.lit("")) != "" if c in claims.columns else F.lit(False)
+
+    own = claims.select("row_id", "claim", "label", has("evidence").alias("has_evidence"), has("neighbor_evidence").alias("has_neighbor"))
+    texts = generated.groupBy("row_id").agg(F.collect_list(F.struct("attack_id", "text")).alias("texts"))
+    one = F.transform(F.filter("texts", lambda x: x["attack_id"] == F.col("attack_id")), lambda x: x["text"])
+    cells = own.join(texts, "row_id", "left").join(F.broadcast(spec)).withColumn("text", F.explode_outer(one))
     clean = clean_response(F.col("text"))
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    lacks = empty("claim") | (F.col("needs").isin("pair", "evidence") & empty("evidence")) | ((F.col("needs") == "pair") & empty("neighbor_evidence")) | ((F.col("needs") == "label") & empty("label"))
+    lacks = empty("claim") | (F.col("needs").isin("pair", "evidence") & ~F.col("has_evidence")) | ((F.col("needs") == "pair") & ~F.col("has_neighbor")) | ((F.col("needs") == "label") & empty("label"))
     skip = (
         F.when(lacks, F.col("missing"))
         .when(F.col("spares_nei") & F.col("label").eqNullSafe("NEI"), "nei_claim_not_targeted")
@@ -61,11 +70,17 @@ def apply_generated(claims: DataFrame, generated: DataFrame) -> DataFrame:
     )
 
 
-def with_neighbours(claims: DataFrame) -> DataFrame:
-    """``claims`` with neighbor_evidence: that of the row whose evidence is most like the own one (:func:`pair_neighbours`)."""
-    pairs = pair_neighbours(claims.select("row_id", "domain", F.array_distinct(tokens(F.coalesce("evidence", F.lit("")))).alias("tokens")))
-    other = claims.select(F.col("row_id").alias("neighbour"), F.col("evidence").alias("neighbor_evidence"))
-    return claims.join(pairs.select("row_id", "neighbour"), "row_id", "left").join(other, "neighbour", "left").drop("neighbour")
+def with_neighbours(claims: DataFrame, evidences: DataFrame | None = None, whole: bool = True) -> DataFrame:
+    """``claims`` with neighbor_evidence: that of the row whose evidence is most like the own one (:func:`pair_neighbours`).
+
+    ``evidences`` (row_id, domain, evidence) is where evidences are read, if not from ``claims``. Without ``whole`` only
+    has_neighbor_evidence is told, whether there is such a text.
+    """
+    found = claims if evidences is None else evidences
+    pairs = pair_neighbours(found.select("row_id", "domain", F.array_distinct(tokens(F.coalesce("evidence", F.lit("")))).alias("tokens"))).select("row_id", "neighbour")
+    text = F.col("evidence").alias("neighbor_evidence") if whole else (F.coalesce("evidence", F.lit("")) != "").alias("has_neighbor_evidence")
+    told = pairs.join(found.select(F.col("row_id").alias("neighbour"), text), "neighbour").drop("neighbour")
+    return claims.join(told, "row_id", "left")
 
 
 def sub_questions(c: Column, most: int = 4) -> Column:

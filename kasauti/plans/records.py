@@ -26,7 +26,8 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = records.apply_generated(records.with_neighbours(tables.claims(spark, sf_dir)), _generated(spark, sf_dir))
+    claims = tables.claims(spark, sf_dir, has_evidence=F.coalesce(F.expr(tables.EVIDENCE), F.lit("")) != "")
+    done = records.apply_generated(records.with_neighbours(claims, tables.evidences(spark, sf_dir), whole=False), _generated(spark, sf_dir))
     return done.groupBy("attack_id", F.coalesce("skip_reason", F.lit("applied")).alias("result"), F.coalesce("target_label", F.lit("NONE")).alias("target"), "injected_evidence_workaround").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.char_length("adversarial_claim")), F.lit(0)).alias("claim_chars"), F.coalesce(F.sum(F.char_length("adversarial_evidence")), F.lit(0)).alias("evidence_chars")
     )
